@@ -12,6 +12,16 @@ from pyspark.sql import Column, functions as F
 from framelake.functions.measures import MAD_TO_SIGMA, as_column, is_finite
 
 
+def once(value: Column) -> Column:
+    """The same value, which the optimizer will not copy.
+
+    A filter on a staged column is otherwise rewritten in terms of the stages below, each of
+    which repeats the arrays below it: the cost grows with every stage. A projection that reads
+    the task's number is left in place. The condition always holds.
+    """
+    return F.when(F.spark_partition_id() >= 0, value)
+
+
 def as_doubles(pixels: Column | str) -> Column:
     return as_column(pixels).cast("array<double>")
 
@@ -54,11 +64,15 @@ def count_above(values: Column | str, threshold: Column | str) -> Column:
     return F.size(F.filter(as_column(values), lambda v: v > threshold))
 
 
-def noise(values: Column | str, level: Column | str) -> Column:
-    """Median absolute deviation, scaled to a standard deviation."""
+def deviations(values: Column | str, level: Column | str) -> Column:
+    """Distances from ``level`` in rising order."""
     level = as_column(level)
-    deviations = F.sort_array(F.transform(as_column(values), lambda v: F.abs(v - level)))
-    return median_of_sorted(deviations) * MAD_TO_SIGMA
+    return F.sort_array(F.transform(as_column(values), lambda v: F.abs(v - level)))
+
+
+def noise(deviations_sorted: Column | str) -> Column:
+    """Median absolute deviation, scaled to a standard deviation."""
+    return median_of_sorted(deviations_sorted) * MAD_TO_SIGMA
 
 
 def span_of_sorted(values: Column | str) -> Column:

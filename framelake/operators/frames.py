@@ -38,7 +38,7 @@ def pixel_explode(
 
 def with_valid(frames: DataFrame, pixels: str) -> DataFrame:
     """Add ``_sorted``, the finite pixels in rising order."""
-    return frames.withColumn("_sorted", px.valid_sorted(pixels))
+    return frames.withColumn("_sorted", px.once(px.valid_sorted(pixels)))
 
 
 def frame_median(frames: DataFrame, pixels: str, out: str = "median_bg") -> DataFrame:
@@ -63,12 +63,12 @@ def frame_stats(frames: DataFrame, pixels: str) -> DataFrame:
     staged = (
         with_valid(frames, pixels)
         .withColumn("n_valid", F.greatest(F.size("_sorted"), F.lit(0)))
-        .withColumn("median_bg", px.median_of_sorted("_sorted"))
+        .withColumn("median_bg", px.once(px.median_of_sorted("_sorted")))
         .drop(pixels)
     )
-    staged = staged.withColumn("_sub", px.subtract("_sorted", "median_bg")).drop("_sorted")
-    staged = staged.withColumn("mean_sub", px.mean("_sub"))
-    staged = staged.withColumn("std_sub", px.std_population("_sub", "mean_sub"))
+    staged = staged.withColumn("_sub", px.once(px.subtract("_sorted", "median_bg"))).drop("_sorted")
+    staged = staged.withColumn("mean_sub", px.once(px.mean("_sub")))
+    staged = staged.withColumn("std_sub", px.once(px.std_population("_sub", "mean_sub")))
     bright = px.count_above("_sub", F.col("mean_sub") + F.col("std_sub") * 3.0)
     return staged.withColumn(
         "bright_pixels", F.when(F.col("n_valid") > 0, bright)
@@ -135,8 +135,9 @@ def background_noise(frames: DataFrame, pixels: str) -> DataFrame:
     """Add n_valid, background_level and background_noise; keeps ``_sorted`` and the pixels."""
     staged = with_valid(frames, pixels)
     staged = staged.withColumn("n_valid", F.greatest(F.size("_sorted"), F.lit(0)))
-    staged = staged.withColumn("background_level", px.median_of_sorted("_sorted"))
-    return staged.withColumn("background_noise", px.noise("_sorted", "background_level"))
+    staged = staged.withColumn("background_level", px.once(px.median_of_sorted("_sorted")))
+    staged = staged.withColumn("_deviations", px.once(px.deviations("_sorted", "background_level")))
+    return staged.withColumn("background_noise", px.once(px.noise("_deviations"))).drop("_deviations")
 
 
 def mad_noise(frames: DataFrame, pixels: str) -> DataFrame:
@@ -163,7 +164,7 @@ def hot_pixels(frames: DataFrame, pixels: str, sigma: float) -> DataFrame:
     """
     threshold = F.when(F.col("background_noise") > 0, F.col("background_noise") * float(sigma))
     return frames.withColumn(
-        "_hot", px.positions_above(pixels, "background_level", threshold)
+        "_hot", px.once(px.positions_above(pixels, "background_level", threshold))
     )
 
 
@@ -187,9 +188,9 @@ def sigma_mask(
 def _plain_stats(frames: DataFrame, sample: str) -> DataFrame:
     """mean, std and count above mean + 3 deviations of the finite values of ``sample``."""
     staged = with_valid(frames, sample).drop(sample)
-    staged = staged.withColumn("mean_value", F.coalesce(px.mean("_sorted"), F.lit(0.0)))
+    staged = staged.withColumn("mean_value", px.once(F.coalesce(px.mean("_sorted"), F.lit(0.0))))
     staged = staged.withColumn(
-        "std_value", F.coalesce(px.std_population("_sorted", "mean_value"), F.lit(0.0))
+        "std_value", px.once(F.coalesce(px.std_population("_sorted", "mean_value"), F.lit(0.0)))
     )
     above = px.count_above("_sorted", F.col("mean_value") + F.col("std_value") * 3.0)
     return staged.withColumn("num_objects", F.greatest(above, F.lit(0))).drop("_sorted")

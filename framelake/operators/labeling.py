@@ -125,7 +125,9 @@ def trace_sources(
     def trace(p: pa.Array, a: pa.Array, w: pa.Array, f: pa.Array) -> pa.Array:
         return _trace(p, a, w, f)
 
-    return trace(as_column(positions), as_column(above), as_column(width), as_column(floor))
+    # Declared nondeterministic so that a filter on the sources does not trace them twice.
+    once = trace.asNondeterministic()
+    return once(as_column(positions), as_column(above), as_column(width), as_column(floor))
 
 
 def detect(
@@ -154,7 +156,7 @@ def detect(
         )
     staged = staged.drop("_sorted")
     staged = hot_pixels(staged, pixels, min(detection_sigma, bright_sigma))
-    staged = staged.withColumn("_above", px.values_at(pixels, "_hot", "background_level"))
+    staged = staged.withColumn("_above", px.once(px.values_at(pixels, "_hot", "background_level")))
     staged = staged.drop(pixels)
 
     def traced(sigma: float) -> Column:

@@ -9,7 +9,7 @@ from framelake.plans import catalog as cat, detection, diagnostics, medallion
 from framelake.plans.runs import run_job
 from framelake.registry.base import query, rounded, sql_round as r, table
 from framelake.registry.derived import PATHS_SQL, image_files, paths
-from framelake.registry.images import BRIGHT, BRONZE_SQL, DETECT, REPORT_SQL, SATURATED
+from framelake.registry.images import BRIGHT, STORED_BRONZE_SQL, DETECT, REPORT_SQL, SATURATED
 from framelake.registry.names import BASE, CLASS, DATE, HSC_CLASS, RUN10, RUN6, BAND, bucket_sql
 from framelake.registry.rows import SCORES_SQL, scores
 from framelake.sources.specs import HSC, HSC_DETECTORS, ZTF
@@ -24,9 +24,9 @@ def as_doubles(df, columns):
 
 
 @query("medallion_batch", f"""
-WITH b AS MATERIALIZED ({BRONZE_SQL})
+WITH b AS MATERIALIZED ({STORED_BRONZE_SQL})
 SELECT d.object_id, """ + ", ".join(
-    (r(f"{k[0].lower()}.{m}", 4) if m in METRICS else f"{k[0].lower()}.{m}") + f" AS {k}_{m}"
+    f"{k[0].lower()}.{m} AS {k}_{m}"
     for k in schemas.IMAGE_TYPES for m in schemas.BRONZE_METRICS
 ) + """
 FROM b d JOIN b s USING (object_id) JOIN b t USING (object_id)
@@ -35,7 +35,7 @@ def medallion_batch(spark, sf):
     """Decode, bronze and silver, each written once and read back by the next."""
     bronze = materialize(medallion.bronze(image_files(spark, sf)), "bronze")
     silver = materialize(medallion.silver(bronze), "silver")
-    return rounded(as_doubles(silver, SILVER_COLUMNS), *SILVER_COLUMNS, digits=4)
+    return rounded(as_doubles(silver, SILVER_COLUMNS), *SILVER_COLUMNS)
 
 
 @query("medallion_gold")

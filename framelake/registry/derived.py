@@ -131,7 +131,9 @@ def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> Data
                 names=["vec_id", "path", "content"],
             )
 
-    return named_frames(spark, sf_dir).mapInArrow(
+    # The small test tables are one file each; spread their rows over the cores first.
+    spread = named_frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "vec_id")
+    return spread.mapInArrow(
         encode, schemas.struct(vec_id=schemas.BIGINT, path=schemas.STRING, content=schemas.BINARY)
     )
 

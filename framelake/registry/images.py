@@ -57,12 +57,20 @@ def three_sigma_count(spark, sf):
     return fr.frame_stats(frames(spark, sf), "pixels").select("vec_id", "bright_pixels")
 
 
+# What a float column holds, as a double.
+STORED_SQL = """
+SELECT vec_id, CAST(CAST(median_bg AS FLOAT) AS DOUBLE) AS median_bg,
+       CAST(CAST(mean_sub AS FLOAT) AS DOUBLE) AS mean_sub,
+       CAST(CAST(std_sub AS FLOAT) AS DOUBLE) AS std_sub, bright_pixels FROM {stats}"""
 BRONZE_SQL = f"""
 SELECT path AS file_path, split_part(regexp_extract(path, '[^/]*$'), '_', 1) AS object_id,
        upper(replace(split_part(regexp_extract(path, '[^/]*$'), '_', 2), '.fits', '')) AS image_type,
        {r("median_bg")} AS median_bg, {r("mean_sub")} AS mean_sub, {r("std_sub")} AS std_sub,
        bright_pixels, 'SUCCESS' AS status
 FROM (SELECT vec_id, {FRAME_PATH} AS path FROM embeddings) JOIN {FRAME_STATS_SQL} USING (vec_id)"""
+STORED_BRONZE_SQL = BRONZE_SQL.replace(
+    FRAME_STATS_SQL, f"({STORED_SQL.format(stats=FRAME_STATS_SQL)})"
+)
 
 
 @query("bronze_features", BRONZE_SQL)
@@ -164,10 +172,10 @@ LISTED = 2
 
 @query("source_lists", f"""
 WITH RECURSIVE {labeled_sql(BRIGHT, "b")}, c AS ({CATALOG_SQL})
-SELECT vec_id, CAST(count(label) AS INTEGER) AS listed, {r("coalesce(sum(x), 0)")} AS sum_x,
+SELECT vec_id, CAST(count(place) AS INTEGER) AS listed, {r("coalesce(sum(x), 0)")} AS sum_x,
        {r("coalesce(sum(y), 0)")} AS sum_y, {r("coalesce(sum(flux_total), 0)")} AS sum_flux,
        {r("coalesce(sum(magnitude_estimate), 0)")} AS sum_magnitude, {r("coalesce(sum(snr), 0)")} AS sum_snr
-FROM embeddings LEFT JOIN (SELECT * FROM c WHERE label <= {LISTED}) USING (vec_id) GROUP BY vec_id""")
+FROM embeddings LEFT JOIN (SELECT * RENAME (label AS place) FROM c WHERE label <= {LISTED}) USING (vec_id) GROUP BY vec_id""")
 def source_lists(spark, sf):
     found = lab.detect(frames(spark, sf), "pixels", SIDE, DETECT, BRIGHT)
     positions, photometry = lab.source_lists("sources", "background_noise", LISTED)

@@ -2,7 +2,7 @@
 
 from framelake import schemas
 from framelake.registry.base import query, rounded, sql_round as r, table
-from framelake.registry.images import BRONZE_SQL
+from framelake.registry.images import STORED_BRONZE_SQL
 from framelake.registry.sources_sinks import written_images
 from framelake.sources.sinks import named_image_files
 from framelake.streaming import live
@@ -38,8 +38,7 @@ def live_pending_gold(spark, sf):
 
 
 @query("live_bronze_ingest", f"""
-SELECT object_id, image_type, {r("median_bg", 4)} AS median_bg, {r("mean_sub", 4)} AS mean_sub,
-       {r("std_sub", 4)} AS std_sub, bright_pixels, status FROM ({BRONZE_SQL})""")
+SELECT object_id, image_type, median_bg, mean_sub, std_sub, bright_pixels, status FROM ({STORED_BRONZE_SQL})""")
 def live_bronze_ingest(spark, sf):
     arriving = named_image_files(live.stream_images(spark, written_images(spark, sf)))
     rows = live.live_bronze_ingest(
@@ -47,4 +46,4 @@ def live_bronze_ingest(spark, sf):
     )
     metrics = ["median_bg", "mean_sub", "std_sub"]
     out = rows.drop("file_path").withColumns({c: rows[c].cast("double") for c in metrics})
-    return rounded(out, *metrics, digits=4)
+    return rounded(out, *metrics)

@@ -7,10 +7,10 @@ from framelake.operators import clustering as ml
 from framelake.registry.aggregates import LONG_STATS_SQL, triplets
 from framelake.registry.base import query, rounded, sql_round as r
 
-FEATURES = ["A_std_sub", "A_bright_pixels", "N_std_sub"]
+FEATURES = ["A_std_sub", "A_median_bg", "N_std_sub"]
 FEATURES_SQL = f"""
 (WITH st AS MATERIALIZED {LONG_STATS_SQL}
- SELECT a.l_suppkey, a.std_sub AS A_std_sub, CAST(a.bright_pixels AS DOUBLE) AS A_bright_pixels,
+ SELECT a.l_suppkey, a.std_sub AS A_std_sub, a.median_bg AS A_median_bg,
         n.std_sub AS N_std_sub
  FROM st a JOIN st n USING (l_suppkey) JOIN st r USING (l_suppkey)
  WHERE a.l_returnflag = 'A' AND n.l_returnflag = 'N' AND r.l_returnflag = 'R')"""
@@ -33,7 +33,7 @@ def assemble_features(spark, sf):
 
 
 @query("standardize", "SELECT l_suppkey, " + ", ".join(
-    r(f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER ()") + f" AS {c}" for c in FEATURES
+    r(f"coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_samp({c}) OVER (), 0), 0)") + f" AS {c}" for c in FEATURES
 ) + f" FROM {FEATURES_SQL}")
 def standardize(spark, sf):
     scaled = ml.standardize(features(spark, sf)).select("l_suppkey", "features")

@@ -196,18 +196,18 @@ def order_stats(spark, sf):
 
 
 @query("snr_density_score", f"""
-SELECT l_orderkey, {r("CASE WHEN std_value > 0 THEN mean_value / std_value ELSE 0 END", 4)} AS snr,
+SELECT l_orderkey, {r("CASE WHEN std_value > 0 THEN mean_value / std_value ELSE 0 END", 8)} AS snr,
        {r("bright_objects / 10000.0")} AS object_density,
-       {r("least(100, mean_value / 1000 / 10 + bright_objects * 5 - std_value / 50)")} AS quality_score
+       {r("least(100, mean_value / 1000 / 10 + bright_objects * 5 - std_value / 50)", 9)} AS quality_score
 FROM {ORDER_STATS_SQL}""")
 def snr_density_score(spark, sf):
     rows = order_stats(spark, sf).select(
         "l_orderkey",
-        F.round(signal_to_noise("mean_value", "std_value"), 4).alias("snr"),
+        F.round(signal_to_noise("mean_value", "std_value"), 8).alias("snr"),
         object_density("bright_objects").alias("object_density"),
         table_quality(F.col("mean_value") / 1000, "std_value", "bright_objects").alias("quality_score"),
     )
-    return rounded(rows, "object_density", "quality_score")
+    return rounded(rows, "object_density", "quality_score", digits=9)
 
 
 @query("partition_layout", """

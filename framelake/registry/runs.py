@@ -102,7 +102,7 @@ WITH s AS (SELECT event_id, user_id, avg(value) OVER w AS cpu, avg(user_id) OVER
            WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW))
 SELECT event_id, user_id, {r("cpu")} AS avg_cpu_percent, {r("mem")} AS avg_memory_percent,
        free AS min_memory_available_gb,
-       {r("least(0.6 * cpu / 100 + 0.4 * mem / 100, 1)")} AS resource_pressure FROM s""")
+       {r("least(0.6 * cpu / 100 + 0.4 * mem / 100, 1)", 9)} AS resource_pressure FROM s""")
 def rolling_pressure(spark, sf):
     events = table(spark, sf, "events").select(
         "event_id", "user_id", "ts", "value", F.col("user_id").cast("double").alias("memory")
@@ -110,10 +110,8 @@ def rolling_pressure(spark, sf):
     out = history.rolling_pressure(
         events, ["user_id"], ["ts", "event_id"], "value", "memory", "value"
     )
-    return rounded(
-        out.drop("ts", "value", "memory"),
-        "avg_cpu_percent", "avg_memory_percent", "resource_pressure",
-    )
+    out = rounded(out.drop("ts", "value", "memory"), "resource_pressure", digits=9)
+    return rounded(out, "avg_cpu_percent", "avg_memory_percent")
 
 
 @query("retain_last_n", """

@@ -19,9 +19,16 @@ DRAIN = {"availableNow": True}
 
 def stream_parquet(spark: SparkSession, path: str, schema: T.StructType,
                    files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files arriving at ``path``: a folder, a pattern, or one file."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(target) and fs.getFileStatus(target).isFile():
+        # The stream source watches folders: watch the file's folder for its name.
+        reader = reader.option("pathGlobFilter", target.getName())
+        path = target.getParent().toString()
     return reader.parquet(path)
 
 
