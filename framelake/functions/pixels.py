@@ -85,20 +85,24 @@ def share_at_least(values: Column | str, threshold: float) -> Column:
     return F.try_divide(F.size(F.filter(values, lambda v: v >= threshold)), F.size(values))
 
 
-def positions_above(pixels: Column | str, level: Column | str, threshold: Column | str) -> Column:
+def positions_above(pixels: str, level: Column | str, threshold: Column | str) -> Column:
     """Row-major indexes of the finite pixels more than ``threshold`` above ``level``.
 
-    Only indexes are built, so the cost of quiet pixels is one comparison each.
+    Only indexes are built. ``pixels`` names a column: an expression would be evaluated again
+    for every index, and so the widening to double is done per pixel, not per array.
     """
-    pixels, level, threshold = as_doubles(pixels), as_column(level), as_column(threshold)
-    index = F.sequence(F.lit(0), F.size(pixels) - 1)
-    hot = F.filter(
-        index,
-        lambda i: is_finite(F.get(pixels, i)) & (F.get(pixels, i) - level > threshold),
+    values, level, threshold = F.col(pixels), as_column(level), as_column(threshold)
+
+    def is_hot(i: Column) -> Column:
+        value = F.get(values, i).cast("double")
+        return is_finite(value) & (value - level > threshold)
+
+    index = F.sequence(F.lit(0), F.size(values) - 1)
+    return F.when(F.size(values) > 0, F.filter(index, is_hot)).otherwise(
+        F.array().cast("array<int>")
     )
-    return F.when(F.size(pixels) > 0, hot).otherwise(F.array().cast("array<int>"))
 
 
-def values_at(pixels: Column | str, positions: Column | str, level: Column | str) -> Column:
-    pixels, level = as_doubles(pixels), as_column(level)
-    return F.transform(as_column(positions), lambda i: F.get(pixels, i) - level)
+def values_at(pixels: str, positions: Column | str, level: Column | str) -> Column:
+    values, level = F.col(pixels), as_column(level)
+    return F.transform(as_column(positions), lambda i: F.get(values, i).cast("double") - level)

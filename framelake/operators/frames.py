@@ -201,14 +201,35 @@ def light_stats(frames: DataFrame, pixels: str) -> DataFrame:
     return _plain_stats(frames, pixels)
 
 
-def _sampled_pixels(frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int):
+def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) -> Column:
+    """The ``sample`` pixels with the smallest hashes.
+
+    Only pixels below a hash bound that lets slightly more than ``sample`` through are sorted. In
+    the rare case that too few pass, all are, so the draw is always the same.
+    """
     values = F.col(pixels)
     key = [F.col(k) for k in keys]
-    tagged = F.transform(
-        values, lambda v, i: F.struct(F.xxhash64(*key, i, F.lit(seed)).alias("h"), v.alias("v"))
+    buckets = 1 << 40
+    share = (sample + 8.0 * sample**0.5 + 8.0) / F.size(values)
+    bound = F.least(share, F.lit(1.0)) * float(buckets)
+
+    def drawn(limit: Column) -> Column:
+        def tag(v: Column, i: Column) -> Column:
+            h = F.pmod(F.xxhash64(*key, i, F.lit(seed)), F.lit(buckets))
+            return F.when(h < limit, F.struct(h.alias("h"), i.alias("i"), v.alias("v")))
+
+        return F.array_compact(F.transform(values, tag))
+
+    # A one-element array binds the candidates to a name, so they are built once.
+    chosen = F.get(
+        F.transform(
+            F.array(drawn(bound)),
+            lambda few: F.when(F.size(few) >= sample, few).otherwise(drawn(F.lit(float(buckets)))),
+        ),
+        0,
     )
-    drawn = F.transform(F.slice(F.array_sort(tagged), 1, sample), lambda t: t["v"])
-    return F.when(F.size(values) > sample, drawn).otherwise(values)
+    picked = F.transform(F.slice(F.array_sort(chosen), 1, sample), lambda t: t["v"])
+    return F.when(F.size(values) > sample, picked).otherwise(values)
 
 
 def sampled_stats(
@@ -220,7 +241,7 @@ def sampled_stats(
     ``sample`` pixels or fewer are used whole.
     """
     staged = frames.withColumn("_n", F.size(pixels)).withColumn(
-        pixels, _sampled_pixels(frames, pixels, keys, sample, seed)
+        pixels, px.once(_sampled_pixels(pixels, keys, sample, seed))
     )
     staged = _plain_stats(staged, pixels)
     scale = F.try_divide(F.col("_n"), F.least(F.col("_n"), F.lit(sample)))
@@ -237,7 +258,7 @@ def light_or_sampled(
     pressure = pressure if isinstance(pressure, Column) else F.lit(float(pressure))
     whole = pressure < low_pressure
     chosen = F.when(whole, F.col(pixels)).otherwise(
-        _sampled_pixels(frames, pixels, keys, sample, seed)
+        _sampled_pixels(pixels, keys, sample, seed)
     )
     staged = frames.withColumn("_n", F.size(pixels)).withColumn("_whole", whole)
     staged = _plain_stats(staged.withColumn(pixels, chosen), pixels)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, types as T
 
 from framelake import schemas
@@ -33,18 +36,17 @@ def scan_listing(spark: SparkSession, path: str | Sequence[str], glob: str | Non
 
 def scan_listings(spark: SparkSession, paths: Sequence[str], glob: str | None = None
                   ) -> tuple[DataFrame | None, list[str]]:
-    """Listing of all readable paths together, and the paths that could not be read."""
-    readable, skipped = [], []
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
+    """Listing of all readable paths together, and the paths that could not be read.
+
+    Each path is listed once, by Spark; a missing one fails there and then.
+    """
+    listings, skipped = [], []
     for path in paths:
-        target = hadoop.Path(path)
         try:
-            found = target.getFileSystem(conf).globStatus(target)
-        except Exception:  # an unknown or unreachable file system
-            found = None
-        (readable if found else skipped).append(path)
-    return (scan_listing(spark, readable, glob) if readable else None), skipped
+            listings.append(scan_listing(spark, path, glob))
+        except (PySparkException, Py4JError):  # missing, unreachable, unknown file system
+            skipped.append(path)
+    return (reduce(DataFrame.union, listings) if listings else None), skipped
 
 
 def scan_parquet(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None):

@@ -36,11 +36,16 @@ def stream_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.text(path)
 
 
-def stream_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
-    return (
+def stream_images(spark: SparkSession, path: str, recursive: bool = True,
+                  files_per_batch: int | None = None) -> DataFrame:
+    """Image files arriving below ``path``. Limit the batch when a large backlog is waiting."""
+    reader = (
         spark.readStream.format("binaryFile").schema(schemas.RAW_FILES)
-        .option("recursiveFileLookup", str(recursive).lower()).load(path)
+        .option("recursiveFileLookup", str(recursive).lower())
     )
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.load(path)
 
 
 def _latest(stream: DataFrame, label: str, trigger: Mapping) -> DataFrame:

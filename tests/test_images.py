@@ -148,6 +148,23 @@ def test_sampling(spark, sky):
     assert draw(1, 10_000) == sorted(map(tuple, fr.light_stats(df, "pixels").collect()))
 
 
+def test_sample_is_the_smallest_hashes(spark, sky):
+    """The bounded draw equals a full sort by hash, also when the bound lets too few through."""
+    df = frames_of(spark, sky).select("frame_id", "pixels")
+    for n in (1, 7, 60, 300):
+        drawn = df.select("frame_id", fr._sampled_pixels("pixels", ["frame_id"], n, 3).alias("s"))
+        got = {r["frame_id"]: sorted(map(str, r["s"])) for r in drawn.collect()}
+        tagged = df.select("frame_id", F.posexplode("pixels")).withColumn(
+            "h", F.pmod(F.xxhash64("frame_id", "pos", F.lit(3)), F.lit(1 << 40))
+        )
+        by_frame = {}
+        for r in tagged.collect():
+            by_frame.setdefault(r["frame_id"], []).append((r["h"], r["pos"], r["col"]))
+        want = {k: sorted(str(v) for _, _, v in sorted(rows, key=lambda t: t[:2])[:n])
+                for k, rows in by_frame.items()}
+        assert got == want
+
+
 def files_of(spark, contents):
     return spark.createDataFrame(
         [(name, bytearray(data)) for name, data in contents.items()], "path string, content binary"
