@@ -8,6 +8,7 @@ task. No plan drops or samples rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -19,6 +20,8 @@ MAX_GROUP_ROWS = 1_000_000
 #: At most this many groups can exceed a limit of ``total rows / MAX_HOT_GROUPS``, so their keys
 #: have a bounded size and may be broadcast.
 MAX_HOT_GROUPS = 100_000
+#: Most slices a range shuffle is cut into; beyond it slices grow instead.
+MAX_SLICES = 20_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -34,38 +37,62 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.select("l.*", *added)
 
 
+@dataclass(frozen=True)
+class Split:
+    """Rows of ordinary groups (``cold``) and of oversized ones (``hot``); either may be None."""
+
+    cold: DataFrame | None
+    hot: DataFrame | None = None
+    slices: int = 1
+    hot_keys: DataFrame | None = None
+
+
 def split_hot(
     df: DataFrame, keys: Sequence[str], max_group_rows: int = MAX_GROUP_ROWS
-) -> tuple[DataFrame | None, DataFrame | None]:
-    """Rows of ordinary groups and rows of oversized groups; either may be None.
+) -> Split:
+    """Tell oversized groups from ordinary ones, and say how many slices the former need.
 
-    Costs one count that reads the key columns only and fetches two numbers.
+    Costs one count that reads the key columns only and fetches two numbers; when there are
+    oversized groups, their keys are written and counted as well.
     """
+
+    def slices(rows: int) -> int:
+        return min(MAX_SLICES, rows // max_group_rows + 1)
+
     if not keys:
         total = df.count()
-        return (df, None) if total <= max_group_rows else (None, df)
+        return Split(df) if total <= max_group_rows else Split(None, df, slices(total))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
     total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     if largest is None or largest <= max_group_rows:
-        return df, None
+        return Split(df)
     limit = max(max_group_rows, total // MAX_HOT_GROUPS)
-    hot_keys = F.broadcast(
-        materialize(sizes.filter(F.col("_rows") > limit).select(*keys), "hot-keys")
+    if largest <= limit:
+        return Split(df)
+    hot_sizes = materialize(sizes.filter(F.col("_rows") > limit), "hot-keys")
+    hot_rows = hot_sizes.agg(F.sum("_rows")).first()[0]
+    hot_keys = F.broadcast(hot_sizes.select(*keys))
+    return Split(
+        null_safe_join(df, hot_keys, keys, "left_anti"),
+        null_safe_join(df, hot_keys, keys, "left_semi"),
+        slices(hot_rows),
+        hot_keys,
     )
-    return null_safe_join(df, hot_keys, keys, "left_anti"), null_safe_join(df, hot_keys, keys, "left_semi")
 
 
 def _union(parts: Sequence[DataFrame | None]) -> DataFrame:
     return reduce(DataFrame.unionByName, [part for part in parts if part is not None])
 
 
-def sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+def sorted_slices(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: int
+) -> DataFrame:
     """``df`` written in ranges of (keys, order), each row tagged with its range as ``_slice``.
 
     Ranges are cut on the full sort key, so a huge group spans many of them. Writing the table
     fixes the tags: range bounds come from sampling and would differ if computed again.
     """
-    ranged = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+    ranged = df.repartitionByRange(slices, *keys, *order).withColumn("_slice", F.spark_partition_id())
     return materialize(ranged, "slices")
 
 
@@ -104,12 +131,13 @@ def rolling(
         window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(*frame)
         return rows.withColumns({name: make(window) for name, make in columns.items()})
 
-    cold, hot = split_hot(df, keys, max_group_rows)
-    result_cold = with_columns(cold, keys) if cold is not None else None
+    split = split_hot(df, keys, max_group_rows)
+    hot = split.hot
+    result_cold = with_columns(split.cold, keys) if split.cold is not None else None
     if hot is None:
         return result_cold
 
-    sliced = sorted_slices(hot, keys, order)
+    sliced = sorted_slices(hot, keys, order, split.slices)
     offsets = slice_offsets(sliced, keys)
     groups = [*keys, "_slice"]
     # Ranks wanted by each slice: the last `before` ranks of what lies ahead of it.
@@ -144,30 +172,34 @@ def running_number(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Number the rows of each group from 1 in ``order``."""
-    cold, hot = split_hot(df, keys, max_group_rows)
-    place = lambda groups: F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+    split = split_hot(df, keys, max_group_rows)
+
+    def place(groups: Sequence[str]) -> Column:
+        window = Window.partitionBy(*groups).orderBy(*order)
+        return F.row_number().over(window).cast("bigint")
+
     parts = []
-    if cold is not None:
-        parts.append(cold.withColumn(out, place(keys)))
-    if hot is not None:
+    if split.cold is not None:
+        parts.append(split.cold.withColumn(out, place(keys)))
+    if split.hot is not None:
         groups = [*keys, "_slice"]
-        sliced = sorted_slices(hot, keys, order)
+        sliced = sorted_slices(split.hot, keys, order, split.slices)
         numbered = null_safe_join(
             sliced.withColumn("_place", place(groups)), slice_offsets(sliced, keys), groups, "inner"
         )
-        number = (F.col("_before") + F.col("_place")).cast("int")
-        parts.append(numbered.withColumn(out, number).select(*hot.columns, out))
+        number = F.col("_before") + F.col("_place")
+        parts.append(numbered.withColumn(out, number).select(*df.columns, out))
     return _union(parts)
 
 
-def _hot_medians(hot: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+def _hot_medians(split: Split, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Exact medians of oversized groups by rank, from sorted slices of (value, copies)."""
     copies = (
-        hot.filter(F.col(value).isNotNull())
+        split.hot.filter(F.col(value).isNotNull())
         .groupBy(*keys, value)
         .agg(F.count(F.lit(1)).alias("_copies"))
     )
-    sliced = sorted_slices(copies, keys, [value])
+    sliced = sorted_slices(copies, keys, [value], split.slices)
     offsets = slice_offsets(sliced, keys, F.col("_copies"))
     totals = offsets.groupBy(*keys).agg(F.sum("_inside").alias("_n"))
     middle = totals.select(
@@ -188,11 +220,13 @@ def _hot_medians(hot: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     ).withColumn("_upto", F.sum("_copies").over(running))
     hits = null_safe_join(candidates, target.select(*groups, "_before", "_wanted"), groups, "inner")
     inside = F.col("_wanted") - F.col("_before")
-    return (
+    medians = (
         hits.filter((inside < F.col("_upto")) & (inside >= F.col("_upto") - F.col("_copies")))
         .groupBy(*keys)
         .agg(F.avg(value).alias(out))
     )
+    # A group without any value keeps its row.
+    return null_safe_join(split.hot_keys, medians, keys, "left")
 
 
 def group_medians(
@@ -203,9 +237,13 @@ def group_medians(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Exact median per group, nulls ignored. Values must not be NaN."""
-    cold, hot = split_hot(df, keys, max_group_rows)
-    plain = cold.groupBy(*keys).agg(F.median(value).alias(out)) if cold is not None else None
-    return _union([plain, _hot_medians(hot, keys, value, out) if hot is not None else None])
+    split = split_hot(df, keys, max_group_rows)
+    parts = []
+    if split.cold is not None:
+        parts.append(split.cold.groupBy(*keys).agg(F.median(value).alias(out)))
+    if split.hot is not None:
+        parts.append(_hot_medians(split, keys, value, out))
+    return _union(parts)
 
 
 def long_frame_stats(
@@ -219,7 +257,7 @@ def long_frame_stats(
     broadcast of one row per oversized image.
     """
     pixels = df.select(*keys, mask_non_finite(F.col(value).cast("double")).alias("_v"))
-    cold, hot = split_hot(pixels, keys, max_group_rows)
+    split = split_hot(pixels, keys, max_group_rows)
 
     def summary(rows: DataFrame) -> DataFrame:
         return rows.groupBy(*keys).agg(
@@ -232,17 +270,17 @@ def long_frame_stats(
         )
 
     parts = []
-    if cold is not None:
+    if split.cold is not None:
         group = Window.partitionBy(*keys)
-        rows = cold.withColumn("median_bg", F.median("_v").over(group))
+        rows = split.cold.withColumn("median_bg", F.median("_v").over(group))
         rows = rows.withColumn("_sub", F.col("_v") - F.col("median_bg"))
         rows = rows.withColumns(
             {"mean_sub": F.avg("_sub").over(group), "std_sub": F.stddev_pop("_sub").over(group)}
         )
         parts.append(summary(rows))
-    if hot is not None:
-        level = materialize(_hot_medians(hot, keys, "_v", "median_bg"), "hot-levels")
-        rows = null_safe_join(hot, F.broadcast(level), keys, "left").withColumn(
+    if split.hot is not None:
+        level = materialize(_hot_medians(split, keys, "_v", "median_bg"), "hot-levels")
+        rows = null_safe_join(split.hot, F.broadcast(level), keys, "left").withColumn(
             "_sub", F.col("_v") - F.col("median_bg")
         )
         moments = materialize(

@@ -163,7 +163,7 @@ def label_pixels(spark, sf):
         lab.label_pixels(mask, ["vec_id"], tile=3), ["vec_id"], "above"
     )
     out = lab.with_photometry(found.join(noise, "vec_id"))
-    out = lab.number_sources(out, ["vec_id"])
+    out = lab.number_sources(out, ["vec_id"]).withColumn("label", F.col("label").cast("int"))
     return rounded(out.drop("background_noise", "source"), *MEASURES)
 
 

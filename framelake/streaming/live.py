@@ -6,6 +6,7 @@ folder. ``availableNow`` drains what has arrived and stops; pass another trigger
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -49,29 +50,24 @@ def stream_images(spark: SparkSession, path: str, recursive: bool = True,
 
 
 def _latest(stream: DataFrame, label: str, trigger: Mapping) -> DataFrame:
-    """Run a complete-mode aggregate and return the table of its last result.
+    """Run a global aggregate in complete mode and return the table of its last result.
 
-    Each batch overwrites a small table, so no result is held by the driver. No data means no
-    batch and an empty table.
+    The result is one row, so the in-memory table that keeps it stays that small however much
+    arrives. No data means no batch and an empty table.
     """
-    spark, schema = stream.sparkSession, stream.schema
-    target = new_folder(spark, label)
-    spark.createDataFrame([], schema).write.parquet(target)
-
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
-
+    spark = stream.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
     query = (
-        stream.writeStream.outputMode("complete").foreachBatch(replace)
+        stream.writeStream.outputMode("complete").format("memory").queryName(name)
         .option("checkpointLocation", new_folder(spark, f"{label}-checkpoint"))
         .trigger(**trigger).start()
     )
     query.awaitTermination()
-    return spark.read.schema(schema).parquet(target)
+    return spark.table(name)
 
 
 def live_bronze_count(rows: DataFrame, out: str = "bronze_rows", trigger: Mapping = DRAIN):
-    return _latest(rows.agg(F.count(F.lit(1)).alias(out)), "bronze-count", trigger)
+    return _latest(rows.agg(F.count(F.lit(1)).alias(out)), "bronze_count", trigger)
 
 
 def live_gold_stats(rows: DataFrame, objects: str, quality: str, trigger: Mapping = DRAIN):
@@ -80,7 +76,7 @@ def live_gold_stats(rows: DataFrame, objects: str, quality: str, trigger: Mappin
         F.avg(objects).alias("avg_objects"),
         F.max(quality).alias("max_quality"),
     )
-    return _latest(stats, "gold-stats", trigger)
+    return _latest(stats, "gold_stats", trigger)
 
 
 def live_pending_gold(bronze_rows: DataFrame, gold_rows: DataFrame, objects: str, quality: str,

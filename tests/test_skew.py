@@ -27,14 +27,14 @@ def rows_of(df):
 
 
 def test_split_keeps_every_row_once(skewed):
-    cold, hot = skew.split_hot(skewed, ["g"], SMALL)
-    assert hot is not None and rows_of(cold.union(hot)) == rows_of(skewed)
-    assert {r[0] for r in hot.select("g").distinct().collect()} >= {0, None}
+    split = skew.split_hot(skewed, ["g"], SMALL)
+    assert split.slices > 10 and rows_of(split.cold.union(split.hot)) == rows_of(skewed)
+    assert {r[0] for r in split.hot.select("g").distinct().collect()} >= {0, None}
 
 
 def test_no_hot_group_leaves_the_plan_alone(skewed):
-    cold, hot = skew.split_hot(skewed, ["g"])
-    assert hot is None and cold is skewed
+    split = skew.split_hot(skewed, ["g"])
+    assert split.hot is None and split.cold is skewed
 
 
 @pytest.mark.parametrize("before,current", [(9, True), (5, False), (1, False)])
@@ -59,6 +59,12 @@ def test_group_medians(skewed):
     assert rows_of(plain) == rows_of(skew.group_medians(skewed, ["g"], "v", max_group_rows=SMALL))
 
 
+def test_median_of_a_hot_group_without_values(skewed):
+    bare = skewed.withColumn("v", F.when(F.col("g").isNotNull(), F.col("v")))
+    plain = skew.group_medians(bare, ["g"], "v")
+    assert rows_of(plain) == rows_of(skew.group_medians(bare, ["g"], "v", max_group_rows=SMALL))
+
+
 def test_long_frame_stats(skewed):
     digits = lambda df: df.withColumns({c: F.round(c, 9) for c in ("mean_sub", "std_sub")})
     plain = digits(skew.long_frame_stats(skewed, ["g"], "v"))
