@@ -11,6 +11,7 @@ Pixels touch when they share a side or a corner. Two plans give the same sources
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,12 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from framelake.functions import pixels as px
 from framelake.functions.measures import as_column, magnitude
 from framelake.operators.frames import background_noise, hot_pixels
-from framelake.operators.skew import null_safe_join, running_number
+from framelake.operators.skew import (
+    MAX_GROUP_ROWS,
+    null_safe_join,
+    running_number,
+    split_hot,
+)
 from framelake.workspace import materialize
 
 # Fixed values.
@@ -39,15 +45,30 @@ SOURCE = T.StructType(
 )
 
 
+def smallest_members(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of ``count`` nodes the smallest node its edges connect it to."""
+    roots = np.arange(count)
+    while left.size:
+        a, b = roots[left], roots[right]
+        unequal = a != b
+        left, right, a, b = left[unequal], right[unequal], a[unequal], b[unequal]
+        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            shorter = roots[roots]
+            if np.array_equal(shorter, roots):
+                break
+            roots = shorter
+    return roots
+
+
 def component_roots(nodes: np.ndarray, row_step: np.ndarray) -> np.ndarray:
     """For each node the index of the first node of its component.
 
     ``nodes`` are rising integers in which the right neighbour is +1 and the pixel below is
     ``+ row_step``; callers leave a gap between rows and images so that ends never touch.
     """
-    roots = np.arange(nodes.size)
     if nodes.size < 2:
-        return roots
+        return np.arange(nodes.size)
     sources, targets = [], []
     for step in (1, row_step - 1, row_step, row_step + 1):
         wanted = nodes + step
@@ -55,19 +76,7 @@ def component_roots(nodes: np.ndarray, row_step: np.ndarray) -> np.ndarray:
         found = np.flatnonzero(nodes[at] == wanted)
         sources.append(found)
         targets.append(at[found])
-    left, right = np.concatenate(sources), np.concatenate(targets)
-    while left.size:
-        a, b = roots[left], roots[right]
-        open_edges = a != b
-        left, right = left[open_edges], right[open_edges]
-        a, b = a[open_edges], b[open_edges]
-        np.minimum.at(roots, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            shorter = roots[roots]
-            if np.array_equal(shorter, roots):
-                break
-            roots = shorter
-    return roots
+    return smallest_members(nodes.size, np.concatenate(sources), np.concatenate(targets))
 
 
 def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -250,12 +259,16 @@ def _label_tile(tile: pa.Table) -> pa.Table:
     return tile.append_column("_part", pa.array(names[roots]))
 
 
-def label_pixels(pixels: DataFrame, keys: Sequence[str], tile: int = 512) -> DataFrame:
+def label_pixels(
+    pixels: DataFrame, keys: Sequence[str], tile: int = 512, max_group_rows: int = MAX_GROUP_ROWS
+) -> DataFrame:
     """Add ``source``, the raster number of the first pixel of the region a pixel belongs to.
 
-    ``pixels`` holds only the pixels of interest, with int columns y and x. A task sees one tile
-    of at most ``tile * tile`` pixels. Regions that cross borders are merged through the pairs of
-    border pixels that touch, a graph much smaller than the image and of bounded degree.
+    ``pixels`` holds only the pixels of interest, each once, with int columns y and x. A task
+    sees one tile of at most ``tile * tile`` pixels. Regions that cross borders are merged
+    through the pairs of border pixels that touch, a graph much smaller than the image. The
+    graph of an image is merged by one task, or, above ``max_group_rows`` pairs, in rounds of
+    joins.
     """
     input_columns = pixels.columns
     with_tile = pixels.withColumns(
@@ -265,8 +278,12 @@ def label_pixels(pixels: DataFrame, keys: Sequence[str], tile: int = 512) -> Dat
     labeled = materialize(
         with_tile.groupBy(*keys, "_ty", "_tx").applyInArrow(_label_tile, schema), "tiles"
     )
-    ahead = materialize(_touching_parts(labeled, keys, tile), "touching")
-    merged = _merge_parts(ahead, keys)
+    pairs = materialize(_touching_parts(labeled, keys, tile), "touching")
+    split = split_hot(pairs, keys, max_group_rows)
+    graphs = [_merge_by_image(split.cold, keys)] if split.cold is not None else []
+    if split.hot is not None:
+        graphs.append(_merge_in_rounds(split.hot, keys))
+    merged = reduce(DataFrame.unionByName, graphs)
     named = null_safe_join(labeled, merged, [*keys, "_part"], "left")
     return named.select(*input_columns, F.coalesce("_root", "_part").alias("source"))
 
@@ -296,7 +313,26 @@ def _touching_parts(labeled: DataFrame, keys: Sequence[str], tile: int) -> DataF
     ).distinct()
 
 
-def _merge_parts(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _merge_by_image(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Root of every part named in ``pairs``, one image at a time."""
+    key_columns = list(keys)
+
+    def merge(group: pa.Table) -> pa.Table:
+        low, high = group["_low"].to_numpy(), group["_high"].to_numpy()
+        parts, index = np.unique(np.concatenate([low, high]), return_inverse=True)
+        roots = smallest_members(parts.size, index[: low.size], index[low.size :])
+        out = group.select(key_columns).take(pa.array(np.zeros(parts.size, np.int64)))
+        out = out.append_column("_part", pa.array(parts))
+        return out.append_column("_root", pa.array(parts[roots]))
+
+    fields = [pairs.schema[k] for k in key_columns]
+    schema = T.StructType(
+        fields + [T.StructField("_part", T.LongType()), T.StructField("_root", T.LongType())]
+    )
+    return pairs.groupBy(*key_columns).applyInArrow(merge, schema)
+
+
+def _merge_in_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Root of every part named in ``pairs``: the smallest part it is connected to.
 
     Each round hooks the larger root of every open pair under the smallest root it meets, then

@@ -160,7 +160,7 @@ def label_pixels(spark, sf):
     noise = fr.mad_noise(frames(spark, sf), "pixels").select("vec_id", "background_noise")
     mask = fr.sigma_mask(frames(spark, sf), ["vec_id"], "pixels", SIDE, DETECT)
     found = lab.measure_sources(
-        lab.label_pixels(mask, ["vec_id"], tile=3), ["vec_id"], "above"
+        lab.label_pixels(mask, ["vec_id"], tile=5), ["vec_id"], "above"
     )
     out = lab.with_photometry(found.join(noise, "vec_id"))
     out = lab.number_sources(out, ["vec_id"]).withColumn("label", F.col("label").cast("int"))

@@ -105,13 +105,13 @@ def test_scaling_steps_sliced(spark):
     assert rows_of(plain) == rows_of(history.scaling_steps(sizes, "n", "thr", max_group_rows=SMALL))
 
 
-@pytest.mark.parametrize("density", [0.2, 0.45, 0.7])
-def test_tiled_labels_match_flood_fill(spark, density):
+@pytest.mark.parametrize("density,limit", [(0.2, 10**6), (0.45, 10**6), (0.45, 60), (0.7, 60)])
+def test_tiled_labels_match_flood_fill(spark, density, limit):
     rng = np.random.default_rng(int(density * 100))
     masks = {k: rng.random((23, 31)) < density for k in range(3)}
     rows = [(k, int(y), int(x)) for k, m in masks.items() for y, x in zip(*np.nonzero(m))]
     pixels = spark.createDataFrame(rows, "k int, y int, x int")
-    found = labeling.label_pixels(pixels, ["k"], tile=5).collect()
+    found = labeling.label_pixels(pixels, ["k"], 5, limit).collect()
     assert len(found) == len(rows)
     for key, mask in masks.items():
         regions = {}
@@ -122,7 +122,8 @@ def test_tiled_labels_match_flood_fill(spark, density):
         assert ordered == [set(region) for region in brute_components(mask)]
 
 
-def test_tiled_labels_of_a_snake(spark):
+@pytest.mark.parametrize("limit", [10**6, 10])
+def test_tiled_labels_of_a_snake(spark, limit):
     """One thin region that crosses the tiles many times."""
     mask = np.zeros((24, 24), bool)
     mask[::2] = True
@@ -132,7 +133,7 @@ def test_tiled_labels_of_a_snake(spark):
         mask[row, 0] = True
     rows = [(int(y), int(x)) for y, x in zip(*np.nonzero(mask))]
     pixels = spark.createDataFrame(rows, "y int, x int").withColumn("k", F.lit("a"))
-    found = labeling.label_pixels(pixels, ["k"], tile=4)
+    found = labeling.label_pixels(pixels, ["k"], 4, limit)
     assert found.select("source").distinct().count() == 1
 
 
