@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from framelake.functions.measures import (
     BYTES_PER_MB,
-    flag,
     is_missing,
     is_valid,
     object_density,

@@ -7,10 +7,10 @@ from framelake.functions.measures import percent_of
 from framelake.operators.aggregates import QUALITY_BUCKETS
 from framelake.plans import catalog as cat, detection, diagnostics, medallion
 from framelake.plans.runs import run_job
-from framelake.registry.base import query, rounded, sql_round as r, table
+from framelake.registry.base import query, rounded, sql_round as r
 from framelake.registry.derived import PATHS_SQL, image_files, paths
 from framelake.registry.images import BRIGHT, STORED_BRONZE_SQL, DETECT, REPORT_SQL, SATURATED
-from framelake.registry.names import BASE, CLASS, DATE, HSC_CLASS, RUN10, RUN6, BAND, bucket_sql
+from framelake.registry.names import CLASS, DATE, HSC_CLASS, RUN10, RUN6, BAND, bucket_sql
 from framelake.registry.rows import SCORES_SQL, scores
 from framelake.sources.specs import HSC, HSC_DETECTORS, ZTF
 from framelake.workspace import materialize

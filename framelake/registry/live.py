@@ -1,6 +1,5 @@
 """Streams over arriving files."""
 
-from framelake import schemas
 from framelake.registry.base import query, rounded, sql_round as r, table
 from framelake.registry.images import STORED_BRONZE_SQL
 from framelake.registry.sources_sinks import written_images

@@ -132,7 +132,7 @@ WITH s AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_discount,
            WINDOW w AS (PARTITION BY l_orderkey ORDER BY {JOB_ORDER}
                         ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING))
 SELECT l_orderkey, l_linenumber, l_partkey, {r("rate")} AS avg_files_per_second,
-       {r("CASE WHEN rate > 0 THEN l_quantity / rate * 1.2 ELSE l_quantity * 2.0 END")} AS estimated_seconds
+       {r("CASE WHEN rate > 0 THEN l_quantity / rate * 1.2 ELSE l_quantity * 2.0 END", 12)} AS estimated_seconds
 FROM s""")
 def rolling_throughput(spark, sf):
     order = JOB_ORDER.split(", ")
@@ -140,12 +140,10 @@ def rolling_throughput(spark, sf):
     out = history.rolling_throughput(
         jobs, ["l_orderkey"], order, "l_quantity", "l_discount", F.lit(0.4)
     )
-    return rounded(
-        out.select(
-            "l_orderkey", "l_linenumber", "l_partkey", "avg_files_per_second", "estimated_seconds"
-        ),
-        "avg_files_per_second", "estimated_seconds",
+    out = out.select(
+        "l_orderkey", "l_linenumber", "l_partkey", "avg_files_per_second", "estimated_seconds"
     )
+    return rounded(rounded(out, "avg_files_per_second"), "estimated_seconds", digits=12)
 
 
 @query("top_k_per_group", """
