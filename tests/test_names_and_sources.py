@@ -141,3 +141,17 @@ def test_efficiency_needs_two_sizes(spark):
     one = spark.createDataFrame([(100, 5.0)], "n int, thr double")
     row = history.scaling_verdict(history.scaling_efficiency(one, "n", "thr")).first()
     assert (row["avg_efficiency"], row["verdict"]) == (None, None)
+
+
+def test_shared_folder(spark):
+    from types import SimpleNamespace
+
+    from framelake import workspace
+
+    assert workspace.shared_root(spark) == spark.conf.get("spark.checkpoint.dir")
+    unset = SimpleNamespace(get=lambda key, default: default)
+    cluster = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="yarn", applicationId="a"))
+    with pytest.raises(RuntimeError):
+        workspace.shared_root(cluster)
+    local = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]", applicationId="b"))
+    assert workspace.shared_root(local) == workspace.shared_root(local)
