@@ -1,9 +1,7 @@
-"""What the text operators share: table access, words of a text, Arrow maps."""
+"""What the text operators share: table access, words of a text, Arrow schemas."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -31,38 +29,15 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_rows(df: DataFrame, schema: str, function: Callable[[list[dict]], dict[str, list]]) -> DataFrame:
-    """``function`` gets each Arrow batch as columns of Python lists and returns columns.
-
-    It runs inside Spark's tasks; a batch holds ``spark.sql.execution.arrow.maxRecordsPerBatch``
-    rows at most, so what a task holds does not grow with the table.
-    """
-    target = schema_of(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = function({name: batch.column(i) for i, name in enumerate(batch.schema.names)})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(out[f.name], type=f.type) if not isinstance(out[f.name], pa.Array) else out[f.name]
-                 for f in target], schema=target)
-
-    return df.mapInArrow(run, schema)
-
-
 #: Arrow types of the DDL names used here.
 ARROW = {
     "bigint": pa.int64(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64(),
     "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(),
     "array<bigint>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()),
-    "array<float>": pa.list_(pa.float32()), "array<string>": pa.list_(pa.string()),
+    "array<float>": pa.list_(pa.float32()), "array<double>": pa.list_(pa.float64()), "array<string>": pa.list_(pa.string()),
 }
 
 
 def schema_of(ddl: str) -> pa.Schema:
     """Arrow schema of ``name type, name type``."""
     return pa.schema([(name, ARROW[kind]) for name, kind in (x.split() for x in ddl.split(","))])
-
-
-def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)

@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framelake.llm import decontamination, html_extraction, mixing, perplexity, quality, secrets, simhash, token_counts, url_filters
+from framelake.llm import (
+    decontamination, html_extraction, mixing, perplexity, quality, secrets, simhash, token_counts, transcripts,
+    url_filters,
+)
 from framelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +33,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+@query("op2_chat_formatting")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transcripts.parse(table(spark, sf_dir, "conversations")).drop("place")
+
+
 @query("op3_secret_scans")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(table(spark, sf_dir, "documents"))

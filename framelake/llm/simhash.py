@@ -231,18 +231,54 @@ def near_links(distinct: DataFrame, threshold: int = 3, cell: int = CELL) -> Dat
     return dealt.mapInArrow(_compare_cells(threshold), "a long, b long").distinct()
 
 
+def _classes(distinct: DataFrame, threshold: int, cell: int) -> DataFrame:
+    """(fp, first_id, root): different fingerprints with the smallest fingerprint they reach."""
+    roots = components(near_links(distinct, threshold, cell))
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
+        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                     threshold: int = 3, cell: int = CELL) -> DataFrame:
-    """doc_id, fp, fingerprint, component_id and ``is_first`` for every row of ``docs``.
+    """doc_id, fp, fingerprint and component_id for every row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links of at most ``threshold`` bits reach.
     """
     marked = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(near_links(distinct, threshold, cell))
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = _classes(distinct, threshold, cell)
     ids = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = materialize(rooted.join(ids, "root").select("fp", "component_id"), "fingerprint-classes")
     return marked.join(classes, "fp").select(
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                  threshold: int = 3, cell: int = CELL) -> DataFrame:
+    """``docs`` with one row of each group of near copies: the one of the smallest id.
+
+    Rows of equal id and fingerprint count as copies; one of them stays. A null id comes last, so a
+    group of null ids keeps one row too. Texts are not moved unless their row stays a candidate: the
+    rows to keep are found on (id, fingerprint) alone.
+    """
+    marked = with_fingerprints(docs, text, shingle)
+    narrow = materialize(marked.select(F.col(doc_id).alias("doc_id"), "__fp"), "fingerprints")
+    distinct = materialize(narrow.groupBy(F.col("__fp").alias("fp")).agg(F.min("doc_id").alias("first_id")),
+                           "distinct-fingerprints")
+    classes = _classes(distinct, threshold, cell)
+    # Of each class, the fingerprint that holds the smallest id; ties, among null ids, by fingerprint.
+    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "fp")).alias("best"))
+    keep = materialize(best.select(F.col("best.first_id").alias("keep_id"), F.col("best.fp").alias("keep_fp")), "kept")
+    candidates = marked.join(
+        keep, (F.col("__fp") == F.col("keep_fp")) & F.col(doc_id).eqNullSafe(F.col("keep_id")), "left_semi")
+    return candidates.dropDuplicates([doc_id, "__fp"]).drop("__fp")
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
+    """``docs`` with the fingerprint of each text in ``__fp``."""
+
+    @F.arrow_udf("bigint")
+    def mark(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
+
+    return docs.withColumn("__fp", mark(F.col(text)))
