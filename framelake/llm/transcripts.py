@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from framelake.llm.common import schema_of
@@ -140,13 +141,25 @@ def lines_of(label: str | None, text: str | None) -> list[str]:
     return ((f"{label}: " if label else "") + (text or "")).split("\n")
 
 
-def emissions(lines: list[str]) -> tuple[np.ndarray, list[str]]:
-    """Log-probabilities (lines, STATES), and the lines without markers."""
+def emissions(lines: list[str], places: list[tuple]) -> tuple[np.ndarray, list[str]]:
+    """Log-probabilities (lines, STATES), and the lines without markers.
+
+    A line's place, its row's position and its number in the row, shifts them by a millionth at
+    most. That decides between paths of equal probability alike however a transcript is cut.
+    """
     seen = [observe(line) for line in lines]
     marker, form = np.array([s[0] for s in seen]), np.array([s[1] for s in seen])
     # A marker line without more text says nothing by being blank.
     silent = (form == 0) & (marker < len(ROLES))
-    return MARK[:, marker].T + np.where(silent[:, None], 0, FORM[:, form].T), [s[2] for s in seen]
+    shift = np.frombuffer(b"".join(xxhash.xxh64_digest(repr(p)) for p in places), np.uint8).reshape(len(lines), 8)[:, :STATES]
+    return MARK[:, marker].T + np.where(silent[:, None], 0, FORM[:, form].T) + shift * 4e-9, [s[2] for s in seen]
+
+
+def scores_of(rows: list[dict]) -> tuple[np.ndarray, list[str], list[int]]:
+    """Emissions and bare lines of rows with position, label and text, and each row's number of lines."""
+    lines = [lines_of(r["label"], r["text"]) for r in rows]
+    places = [(r["position"], k) for r, own in zip(rows, lines) for k in range(len(own))]
+    return *emissions([x for own in lines for x in own], places), [len(own) for own in lines]
 
 
 def parts_of(states: np.ndarray, lines: list[str]) -> list[tuple[int, bool, str]]:
@@ -219,8 +232,7 @@ def _dealt(df: DataFrame, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
 
 def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, ("conversation", "piece")):
-        lines = [x for a, b in zip(table["label"].to_pylist(), table["text"].to_pylist()) for x in lines_of(a, b)]
-        through, opening = summary(emissions(lines)[0])
+        through, opening = summary(scores_of(table.select(["position", "label", "text"]).to_pylist())[0])
         yield _rows_of(MATRICES, [table["conversation"].to_pylist()[:1], table["piece"].to_pylist()[:1],
                                   [through.ravel().tolist()], [opening.tolist()]])
 
@@ -265,13 +277,12 @@ PARTS = ("conversation long, position long, place long, part int, role string, b
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for table in groups(batches, ("conversation", "piece")):
         rows = table.to_pylist()
-        lines = [lines_of(r["label"], r["text"]) for r in rows]
-        scores, bare = emissions([x for own in lines for x in own])
+        scores, bare, sizes = scores_of(rows)
         states = decode(scores, rows[0]["entry"], rows[0]["leave"])
         out, at = [], 0
-        for row, own in zip(rows, lines):
-            found = parts_of(states[at:at + len(own)], bare[at:at + len(own)])
-            at += len(own)
+        for row, n in zip(rows, sizes):
+            found = parts_of(states[at:at + n], bare[at:at + n])
+            at += n
             out += [(row["conversation"], row["position"], row["place"], k, ROLES[role], begins, text,
                      render(ROLES[role], begins, text)) for k, (role, begins, text) in enumerate(found)]
         yield _rows_of(PARTS, list(zip(*out)))

@@ -115,20 +115,19 @@ def test_pieces_decode_as_one_run(spark):
     none_first = lambda x: (x is not None, x or "")
     for c, own in found.items():
         order = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1], none_first(r[2]), none_first(r[3])))
-        lines = [transcripts.lines_of(r[2], r[3]) for r in order]
-        scores, bare = transcripts.emissions([x for ls in lines for x in ls])
+        scores, bare, sizes = transcripts.scores_of([dict(zip(("id", "position", "label", "text"), r)) for r in order])
         states, want, at = transcripts.decode(scores), [], 0
-        for r, ls in zip(order, lines):
+        for r, n in zip(order, sizes):
             want += [(r[1], transcripts.ROLES[role], begins, text) for role, begins, text in
-                     transcripts.parts_of(states[at:at + len(ls)], bare[at:at + len(ls)])]
-            at += len(ls)
+                     transcripts.parts_of(states[at:at + n], bare[at:at + n])]
+            at += n
         assert [(r.turn, r.role, r.begins, r.text) for r in sorted(own, key=lambda r: (r.place, r.part))] == want
 
 
 def test_viterbi_is_the_best_path():
     rng = random.Random(1)
     for _ in range(20):
-        scores, _ = transcripts.emissions([rng.choice(["User: a", "b", "Bot: c?", ""]) for _ in range(4)])
+        scores, _ = transcripts.emissions([rng.choice(["User: a", "b", "Bot: c?", ""]) for _ in range(4)], list(range(4)))
         best = max(np.ndindex(*[transcripts.STATES] * 4), key=lambda p: (
             transcripts.FIRST[p[0]] + scores[0][p[0]]
             + sum(transcripts.MOVE[p[t - 1], p[t]] + scores[t][p[t]] for t in range(1, 4))))
