@@ -7,19 +7,21 @@ per stage, so that no array is built twice.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from framelake.functions.measures import MAD_TO_SIGMA, as_column, is_finite
 
 
-def once(value: Column) -> Column:
-    """The same value, which the optimizer will not copy.
+def stage(frames: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that the optimizer computes once, or replace those of the same name.
 
-    A filter on a staged column is otherwise rewritten in terms of the stages below, each of
-    which repeats the arrays below it: the cost grows with every stage. A projection that reads
-    the task's number is left in place. The condition always holds.
+    A filter on a projected column is rewritten in terms of the columns below it, which repeats
+    their arrays with every stage. Columns of an inlined one-element array are not taken apart, so
+    such a filter stays above the stage, while filters on other columns pass below it to the scan.
     """
-    return F.when(F.spark_partition_id() >= 0, value)
+    kept = [F.col(f"`{c}`") for c in frames.columns if c not in columns]
+    made = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return frames.select(*kept, F.inline(F.array(made)))
 
 
 def as_doubles(pixels: Column | str) -> Column:

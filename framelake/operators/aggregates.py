@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framelake.functions.measures import (
     BYTES_PER_MB,
@@ -205,15 +205,26 @@ def pivot_first(
     """One row per key with ``<KIND>_<metric>`` columns.
 
     The row with the lowest ``tie_break`` supplies all metrics of its kind, nulls included, so a
-    duplicate never mixes two rows. Stating the kinds makes this one aggregate behind one
-    shuffle and keeps unexpected kinds from adding columns.
+    duplicate never mixes two rows; a null ``tie_break`` comes last. Stating the kinds makes this one
+    aggregate behind one shuffle and keeps unexpected kinds from adding columns. With a numeric
+    ``tie_break`` below the largest double the aggregate combines by hashing, one value per metric.
     """
+    place = F.col(tie_break)
+    if isinstance(df.schema[tie_break].dataType, T.NumericType) and all(
+        isinstance(df.schema[m].dataType, (T.NumericType, T.BooleanType)) for m in metrics
+    ):
+        rank = F.coalesce(place.cast("double"), F.lit(float("inf"))) \
+            if isinstance(df.schema[tie_break].dataType, (T.FloatType, T.DoubleType)) \
+            else F.coalesce(place.cast("bigint"), F.lit(2**63 - 1))
+        return df.groupBy(key).agg(*[
+            F.min_by(F.col(metric), F.when(F.col(kind) == name, rank)).alias(f"{name}_{metric}")
+            for name in kinds
+            for metric in metrics
+        ])
+    order = F.struct(place.isNull().alias("_last"), place.alias("_place"))
     picked = df.groupBy(key).agg(
         *[
-            F.min_by(
-                F.when(F.col(kind) == name, F.struct(*metrics)),
-                F.when(F.col(kind) == name, F.col(tie_break)),
-            ).alias(f"_{i}")
+            F.min_by(F.struct(*metrics), F.when(F.col(kind) == name, order)).alias(f"_{i}")
             for i, name in enumerate(kinds)
         ]
     )
@@ -267,16 +278,17 @@ def best_worst_by_group(
     """
     kept = df if where is None else df.filter(where)
     settings = F.struct(*config)
-    earlier_wins = F.struct(F.col(throughput), *[(-F.col(c)).alias(f"_{c}") for c in run_order])
-    earlier_wins_low = F.struct(F.col(throughput), *[F.col(c).alias(f"_{c}") for c in run_order])
+    runs = [F.col(c).alias(f"_{c}") for c in run_order]  # numbers, texts or times
+    fastest = F.struct((-F.col(throughput)).alias("_speed"), *runs)
+    slowest = F.struct(F.col(throughput).alias("_speed"), *runs)
     grouped = (
         kept.groupBy(size)
         .agg(
             _count().alias("num_configurations_tested"),
             F.max(throughput).alias("best_throughput"),
             F.min(throughput).alias("worst_throughput"),
-            F.max_by(settings, earlier_wins).alias("_best"),
-            F.min_by(settings, earlier_wins_low).alias("_worst"),
+            F.min_by(settings, fastest).alias("_best"),
+            F.min_by(settings, slowest).alias("_worst"),
             F.var_pop(throughput).alias("throughput_variance"),
             F.avg(seconds).alias("avg_execution_time"),
         )

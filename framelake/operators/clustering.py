@@ -9,9 +9,9 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
-from pyspark.storagelevel import StorageLevel
 
 from framelake.operators.aggregates import group_count
+from framelake.workspace import materialize
 
 # Fixed values.
 FEATURES = ["DIFFERENCE_std_sub", "DIFFERENCE_bright_pixels", "SCIENCE_std_sub"]
@@ -43,9 +43,9 @@ def kmeans_fit_assign(
     df: DataFrame, key: str, vector: str = "features", k: int = 3, seed: int = 42,
     out: str = "cluster",
 ) -> tuple[DataFrame, KMeansModel]:
-    """Rows with their cluster, and the model. The input of the iterations is held in memory and
-    on disk; a lost executor costs a recomputation, not the run."""
-    data = stable_layout(df, key).persist(StorageLevel.MEMORY_AND_DISK)
+    """Rows with their cluster, and the model. The input is written once; the fit caches what it
+    iterates over and releases it, and the rows returned read the table, not the input's plan."""
+    data = materialize(stable_layout(df, key), "vectors")
     model = KMeans(featuresCol=vector, predictionCol=out, k=k, seed=seed).fit(data)
     return model.transform(data), model
 

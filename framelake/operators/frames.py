@@ -1,6 +1,6 @@
 """Image operators on frame rows: one image per row, pixels in an array column.
 
-Every operator here is row-local. Staged columns keep each sorted array computed once.
+Every operator here is row-local. Stages (``pixels.stage``) keep each sorted array computed once.
 """
 
 from __future__ import annotations
@@ -17,7 +17,8 @@ SUCCESS = "SUCCESS"
 NO_IMAGE = "ERR:NoImageData"
 ALL_NAN = "ERR:AllNaN"
 SATURATION_LEVEL = 65000.0
-SAMPLE_PIXELS = 10_000
+#: Characters of an error text in a feature row.
+ERROR_TEXT = 20
 
 
 def pixel_explode(
@@ -38,7 +39,7 @@ def pixel_explode(
 
 def with_valid(frames: DataFrame, pixels: str) -> DataFrame:
     """Add ``_sorted``, the finite pixels in rising order."""
-    return frames.withColumn("_sorted", px.once(px.valid_sorted(pixels)))
+    return px.stage(frames, {"_sorted": px.valid_sorted(pixels)})
 
 
 def frame_median(frames: DataFrame, pixels: str, out: str = "median_bg") -> DataFrame:
@@ -60,19 +61,15 @@ def frame_stats(frames: DataFrame, pixels: str) -> DataFrame:
     Statistics are of the pixels minus their median; the deviation is of the population; bright
     pixels lie strictly above mean + 3 deviations.
     """
-    staged = (
-        with_valid(frames, pixels)
-        .withColumn("n_valid", F.greatest(F.size("_sorted"), F.lit(0)))
-        .withColumn("median_bg", px.once(px.median_of_sorted("_sorted")))
-        .drop(pixels)
-    )
-    staged = staged.withColumn("_sub", px.once(px.subtract("_sorted", "median_bg"))).drop("_sorted")
-    staged = staged.withColumn("mean_sub", px.once(px.mean("_sub")))
-    staged = staged.withColumn("std_sub", px.once(px.std_population("_sub", "mean_sub")))
+    staged = with_valid(frames, pixels).drop(pixels)
+    staged = px.stage(staged, {
+        "n_valid": F.greatest(F.size("_sorted"), F.lit(0)), "median_bg": px.median_of_sorted("_sorted"),
+    })
+    staged = px.stage(staged, {"_sub": px.subtract("_sorted", "median_bg")}).drop("_sorted")
+    staged = px.stage(staged, {"mean_sub": px.mean("_sub")})
+    staged = px.stage(staged, {"std_sub": px.std_population("_sub", "mean_sub")})
     bright = px.count_above("_sub", F.col("mean_sub") + F.col("std_sub") * 3.0)
-    return staged.withColumn(
-        "bright_pixels", F.when(F.col("n_valid") > 0, bright)
-    ).drop("_sub")
+    return px.stage(staged, {"bright_pixels": F.when(F.col("n_valid") > 0, bright)}).drop("_sub")
 
 
 def pixel_status(n_pixels: Column | str, n_valid: Column | str) -> Column:
@@ -93,20 +90,23 @@ def bronze_features(
     keep it and lose their type.
     """
     decode_status = F.col(status) if status else F.lit(None).cast("string")
-    decode_failed = F.coalesce(
-        (decode_status != SUCCESS) & (decode_status != NO_IMAGE), F.lit(False)
-    )
     stats = frame_stats(
         frames.select(
             F.col(path).alias("file_path"),
             F.col(pixels).alias("_pixels"),
             F.size(F.col(pixels)).alias("_n_pixels"),
             decode_status.alias("_decoded"),
-            decode_failed.alias("_failed"),
         ),
         "_pixels",
     )
-    return stats.select(
+    return bronze_rows(stats.withColumnsRenamed({"_decoded": "status", "_n_pixels": "n_pixels"}), "file_path")
+
+
+def bronze_rows(stats: DataFrame, path: str) -> DataFrame:
+    """Feature rows from the statistics of images: n_pixels, n_valid, median_bg, mean_sub, std_sub,
+    bright_pixels and status, null where nothing is known yet."""
+    failed = F.coalesce((F.col("status") != SUCCESS) & (F.col("status") != NO_IMAGE) & (F.col("status") != ALL_NAN), F.lit(False))
+    return stats.withColumns({"_failed": failed, "file_path": F.col(path)}).select(
         "file_path",
         naming.object_id("file_path").alias("object_id"),
         F.when(F.col("_failed"), naming.UNKNOWN)
@@ -115,8 +115,8 @@ def bronze_features(
         "mean_sub",
         "std_sub",
         "bright_pixels",
-        F.when(F.col("_failed"), F.col("_decoded"))
-        .otherwise(pixel_status("_n_pixels", "n_valid")).alias("status"),
+        F.when(F.col("_failed"), F.left("status", F.lit(len("ERR:") + ERROR_TEXT)))
+        .otherwise(pixel_status("n_pixels", "n_valid")).alias("status"),
     )
 
 
@@ -134,10 +134,11 @@ def frame_stats_lines(bronze: DataFrame) -> DataFrame:
 def background_noise(frames: DataFrame, pixels: str) -> DataFrame:
     """Add n_valid, background_level and background_noise; keeps ``_sorted`` and the pixels."""
     staged = with_valid(frames, pixels)
-    staged = staged.withColumn("n_valid", F.greatest(F.size("_sorted"), F.lit(0)))
-    staged = staged.withColumn("background_level", px.once(px.median_of_sorted("_sorted")))
-    staged = staged.withColumn("_deviations", px.once(px.deviations("_sorted", "background_level")))
-    return staged.withColumn("background_noise", px.once(px.noise("_deviations"))).drop("_deviations")
+    staged = px.stage(staged, {
+        "n_valid": F.greatest(F.size("_sorted"), F.lit(0)), "background_level": px.median_of_sorted("_sorted"),
+    })
+    staged = px.stage(staged, {"_deviations": px.deviations("_sorted", "background_level")})
+    return px.stage(staged, {"background_noise": px.noise("_deviations")}).drop("_deviations")
 
 
 def mad_noise(frames: DataFrame, pixels: str) -> DataFrame:
@@ -163,9 +164,7 @@ def hot_pixels(frames: DataFrame, pixels: str, sigma: float) -> DataFrame:
     Without a positive noise there are none. Expects the columns of ``background_noise``.
     """
     threshold = F.when(F.col("background_noise") > 0, F.col("background_noise") * float(sigma))
-    return frames.withColumn(
-        "_hot", px.once(px.positions_above(pixels, "background_level", threshold))
-    )
+    return px.stage(frames, {"_hot": px.positions_above(pixels, "background_level", threshold)})
 
 
 def sigma_mask(
@@ -188,12 +187,12 @@ def sigma_mask(
 def _plain_stats(frames: DataFrame, sample: str) -> DataFrame:
     """mean, std and count above mean + 3 deviations of the finite values of ``sample``."""
     staged = with_valid(frames, sample).drop(sample)
-    staged = staged.withColumn("mean_value", px.once(F.coalesce(px.mean("_sorted"), F.lit(0.0))))
-    staged = staged.withColumn(
-        "std_value", px.once(F.coalesce(px.std_population("_sorted", "mean_value"), F.lit(0.0)))
+    staged = px.stage(staged, {"mean_value": F.coalesce(px.mean("_sorted"), F.lit(0.0))})
+    staged = px.stage(
+        staged, {"std_value": F.coalesce(px.std_population("_sorted", "mean_value"), F.lit(0.0))}
     )
     above = px.count_above("_sorted", F.col("mean_value") + F.col("std_value") * 3.0)
-    return staged.withColumn("num_objects", F.greatest(above, F.lit(0))).drop("_sorted")
+    return px.stage(staged, {"num_objects": F.greatest(above, F.lit(0))}).drop("_sorted")
 
 
 def light_stats(frames: DataFrame, pixels: str) -> DataFrame:
@@ -232,17 +231,22 @@ def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) ->
     return F.when(F.size(values) > sample, picked).otherwise(values)
 
 
+def draw_pixels(
+    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0
+) -> DataFrame:
+    """``frames`` with ``sample`` of their pixels, drawn as ``sampled_stats`` draws them."""
+    return px.stage(frames, {pixels: _sampled_pixels(pixels, keys, sample, seed)})
+
+
 def sampled_stats(
-    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int = SAMPLE_PIXELS, seed: int = 0
+    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0
 ) -> DataFrame:
     """``light_stats`` of pixels drawn without replacement, the count scaled to the image.
 
     The draw orders pixels by a hash of key, index and seed, so it is repeatable. Images of
     ``sample`` pixels or fewer are used whole.
     """
-    staged = frames.withColumn("_n", F.size(pixels)).withColumn(
-        pixels, px.once(_sampled_pixels(pixels, keys, sample, seed))
-    )
+    staged = draw_pixels(frames.withColumn("_n", F.size(pixels)), pixels, keys, sample, seed)
     staged = _plain_stats(staged, pixels)
     scale = F.try_divide(F.col("_n"), F.least(F.col("_n"), F.lit(sample)))
     return staged.withColumn(
@@ -252,9 +256,9 @@ def sampled_stats(
 
 def light_or_sampled(
     frames: DataFrame, pixels: str, keys: Sequence[str], pressure: Column | float,
-    sample: int = SAMPLE_PIXELS, seed: int = 0, low_pressure: float = 0.3,
+    sample: int, low_pressure: float, seed: int = 0,
 ) -> DataFrame:
-    """Whole images at low resource pressure, sampled ones otherwise."""
+    """Whole images where the resource pressure is below ``low_pressure``, sampled ones otherwise."""
     pressure = pressure if isinstance(pressure, Column) else F.lit(float(pressure))
     whole = pressure < low_pressure
     chosen = F.when(whole, F.col(pixels)).otherwise(

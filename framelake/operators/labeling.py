@@ -31,7 +31,6 @@ from framelake.workspace import materialize
 # Fixed values.
 DETECTION_SIGMA = 5.0
 BRIGHT_SIGMA = 10.0
-LISTED_SOURCES = 20
 
 SOURCE = T.StructType(
     [
@@ -134,9 +133,7 @@ def trace_sources(
     def trace(p: pa.Array, a: pa.Array, w: pa.Array, f: pa.Array) -> pa.Array:
         return _trace(p, a, w, f)
 
-    # Declared nondeterministic so that a filter on the sources does not trace them twice.
-    once = trace.asNondeterministic()
-    return once(as_column(positions), as_column(above), as_column(width), as_column(floor))
+    return trace(as_column(positions), as_column(above), as_column(width), as_column(floor))
 
 
 def detect(
@@ -156,22 +153,17 @@ def detect(
     """
     width = F.lit(width) if isinstance(width, int) else as_column(width)
     staged = background_noise(frames.withColumn("_width", width), pixels)
-    staged = staged.withColumns(
-        {"_max": F.try_element_at("_sorted", F.lit(-1)), "dynamic_range": px.span_of_sorted("_sorted")}
-    )
+    spans = {"_max": F.try_element_at("_sorted", F.lit(-1)), "dynamic_range": px.span_of_sorted("_sorted")}
     if saturation_level is not None:
-        staged = staged.withColumn(
-            "saturation_fraction", px.share_at_least("_sorted", saturation_level)
-        )
-    staged = staged.drop("_sorted")
+        spans["saturation_fraction"] = px.share_at_least("_sorted", saturation_level)
+    staged = px.stage(staged, spans).drop("_sorted")
     staged = hot_pixels(staged, pixels, min(detection_sigma, bright_sigma))
-    staged = staged.withColumn("_above", px.once(px.values_at(pixels, "_hot", "background_level")))
-    staged = staged.drop(pixels)
+    staged = px.stage(staged, {"_above": px.values_at(pixels, "_hot", "background_level")}).drop(pixels)
 
     def traced(sigma: float) -> Column:
         return trace_sources("_hot", "_above", "_width", F.col("background_noise") * float(sigma))
 
-    staged = staged.withColumns({"_faintest": traced(detection_sigma), "sources": traced(bright_sigma)})
+    staged = px.stage(staged, {"_faintest": traced(detection_sigma), "sources": traced(bright_sigma)})
     staged = staged.withColumns(
         {"total_objects": F.size("_faintest"), "bright_sources": F.size("sources")}
     )
@@ -220,9 +212,10 @@ def source_catalog(
     return with_photometry(rows).drop("background_noise")
 
 
-def source_lists(sources: Column | str, noise: Column | str, listed: int = LISTED_SOURCES):
-    """(positions, photometry) of the first ``listed`` sources in raster order, as two arrays."""
-    kept = F.slice(as_column(sources), 1, listed)
+def source_lists(sources: Column | str, noise: Column | str, listed: int | None = None):
+    """(positions, photometry) of the sources in raster order, as two arrays; all of them, or the
+    first ``listed``."""
+    kept = as_column(sources) if listed is None else F.slice(as_column(sources), 1, listed)
     noise = as_column(noise)
     positions = F.transform(kept, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
     photometry = F.transform(
@@ -335,39 +328,34 @@ def _merge_by_image(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 def _merge_in_rounds(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Root of every part named in ``pairs``: the smallest part it is connected to.
 
-    Each round hooks the larger root of every open pair under the smallest root it meets, then
-    follows hooks one step further. Rounds end when no pair is open; each writes its small
-    tables, so lineage does not grow.
+    Star steps in turn: each part hangs its larger neighbours, then its smaller ones and itself, on
+    the smallest part it touches. Rounds grow with the logarithm of a chain's length. Each writes
+    its table, so lineage does not grow; the steps end when a round changes nothing.
     """
-    roots = pairs.select(*keys, F.explode(F.array("_low", "_high")).alias("_part")).distinct()
-    roots = roots.withColumn("_root", F.col("_part"))
-    open_pairs = pairs
+    links, before = pairs, None
     while True:
-        hooks = open_pairs.groupBy(*keys, F.col("_high").alias("_root")).agg(
-            F.min("_low").alias("_to")
-        )
-        onward = hooks.select(*keys, F.col("_root").alias("_to"), F.col("_to").alias("_next"))
-        hooks = materialize(
-            null_safe_join(hooks, onward, [*keys, "_to"], "left").select(
-                *keys, "_root", F.coalesce("_next", "_to").alias("_to")
-            ),
-            "hooks",
-        )
-        if hooks.isEmpty():
-            return roots
-        moved = lambda rows, column: null_safe_join(
-            rows, hooks.withColumnRenamed("_root", column), [*keys, column], "left"
-        ).withColumn(column, F.coalesce("_to", column)).drop("_to")
-        roots = materialize(moved(roots, "_root"), "roots")
-        shifted = moved(moved(open_pairs, "_low"), "_high").filter(F.col("_low") != F.col("_high"))
-        open_pairs = materialize(
-            shifted.select(
-                *keys,
-                F.least("_low", "_high").alias("_low"),
-                F.greatest("_low", "_high").alias("_high"),
-            ).distinct(),
-            "open-pairs",
-        )
+        links = materialize(_star(_star(links, keys, larger=True), keys, larger=False), "links")
+        now = links.agg(
+            F.count(F.lit(1)), F.sum(F.xxhash64(*keys, "_low", "_high").cast("decimal(38,0)"))
+        ).first()
+        if now == before:
+            break
+        before = now
+    roots = links.select(*keys, F.col("_low").alias("_part")).distinct().withColumn("_root", F.col("_part"))
+    return links.select(*keys, F.col("_high").alias("_part"), F.col("_low").alias("_root")).unionByName(roots)
+
+
+def _star(links: DataFrame, keys: Sequence[str], larger: bool) -> DataFrame:
+    both = links.unionByName(
+        links.select(*keys, F.col("_high").alias("_low"), F.col("_low").alias("_high"))
+    )
+    wanted = both.filter("_high > _low" if larger else "_high < _low")
+    least = (both if larger else wanted).groupBy(*keys, "_low").agg(F.min("_high").alias("_least"))
+    least = least.select(*keys, "_low", F.least("_low", "_least").alias("_root"))
+    hung = null_safe_join(wanted, least, [*keys, "_low"], "inner").select(*keys, "_root", "_high")
+    if not larger:
+        hung = hung.unionByName(least.select(*keys, "_root", F.col("_low").alias("_high")))
+    return hung.filter("_root <> _high").select(*keys, F.col("_root").alias("_low"), "_high").distinct()
 
 
 def measure_sources(

@@ -35,7 +35,15 @@ def filter_valid(df: DataFrame, column: str) -> DataFrame:
 
 
 def filter_blank_and_header(df: DataFrame, line: str, header: str) -> DataFrame:
-    return df.filter((F.col(line) != F.lit(header)) & (F.trim(F.col(line)) != F.lit("")))
+    """Drop lines equal to ``header`` and lines of white space only."""
+    return df.filter((F.col(line) != F.lit(header)) & ~F.col(line).rlike(r"^\s*$"))
+
+
+def split_header(df: DataFrame, line: str, order: str | Column) -> tuple[DataFrame, str | None]:
+    """The first line by ``order``, and the rows without lines equal to it and without blank ones."""
+    first = df.orderBy(order).select(line).first()
+    header = first[0] if first else None
+    return filter_blank_and_header(df, line, header or ""), header
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -96,7 +104,9 @@ def partition_layout(
     stage that feeds it, so it belongs behind a shuffle or at a small sink.
     """
     if shrink:
-        return df.coalesce(partitions or 1)
+        if partitions is None:
+            raise ValueError("say how many partitions to shrink to: one would be one task for all rows")
+        return df.coalesce(partitions)
     if partitions is None:
         return df.repartition(*keys) if keys else df
     return df.repartition(partitions, *keys)

@@ -8,7 +8,7 @@ task. No plan drops or samples rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
@@ -16,19 +16,15 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 from framelake.functions.measures import mask_non_finite
 from framelake.workspace import materialize
 
+#: Rows of a group, and of a slice of a larger group, that one task should handle.
 MAX_GROUP_ROWS = 1_000_000
-#: At most this many groups can exceed a limit of ``total rows / MAX_HOT_GROUPS``, so their keys
-#: have a bounded size and may be broadcast.
-MAX_HOT_GROUPS = 100_000
-#: Most slices a range shuffle is cut into; beyond it slices grow instead.
-MAX_SLICES = 20_000
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Join on ``keys``, null-safe, keeping one copy of them."""
+    """Join on ``keys``, null-safe, keeping one copy of them. Without keys one side has one row."""
     left, right = left.alias("l"), right.alias("r")
     condition = reduce(
-        Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
+        Column.__and__, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.lit(True)
     )
     joined = left.join(right, condition, how)
     if how in ("left_semi", "left_anti"):
@@ -52,26 +48,22 @@ def split_hot(
 ) -> Split:
     """Tell oversized groups from ordinary ones, and say how many slices the former need.
 
-    Costs one count that reads the key columns only and fetches two numbers; when there are
-    oversized groups, their keys are written and counted as well.
+    Costs one count that reads the key columns only; the keys of oversized groups are written.
     """
 
     def slices(rows: int) -> int:
-        return min(MAX_SLICES, rows // max_group_rows + 1)
+        return rows // max_group_rows + 1
 
     if not keys:
         total = df.count()
         return Split(df) if total <= max_group_rows else Split(None, df, slices(total))
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    total, largest = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
-    if largest is None or largest <= max_group_rows:
-        return Split(df)
-    limit = max(max_group_rows, total // MAX_HOT_GROUPS)
-    if largest <= limit:
-        return Split(df)
-    hot_sizes = materialize(sizes.filter(F.col("_rows") > limit), "hot-keys")
+    hot_sizes = materialize(sizes.filter(F.col("_rows") > max_group_rows), "hot-keys")
     hot_rows = hot_sizes.agg(F.sum("_rows")).first()[0]
-    hot_keys = F.broadcast(hot_sizes.select(*keys))
+    if hot_rows is None:
+        return Split(df)
+    # Their written size decides whether the keys are sent to all tasks.
+    hot_keys = hot_sizes.select(*keys)
     return Split(
         null_safe_join(df, hot_keys, keys, "left_anti"),
         null_safe_join(df, hot_keys, keys, "left_semi"),
@@ -208,7 +200,7 @@ def _hot_medians(split: Split, keys: Sequence[str], value: str, out: str) -> Dat
             F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2)).cast("array<bigint>")
         ).alias("_wanted"),
     )
-    # Two ranks per hot group, so this side is bounded by twice MAX_HOT_GROUPS rows.
+    # Two ranks per hot group.
     target = null_safe_join(offsets, middle, keys, "inner").filter(
         (F.col("_before") <= F.col("_wanted"))
         & (F.col("_wanted") < F.col("_before") + F.col("_inside"))
@@ -216,7 +208,7 @@ def _hot_medians(split: Split, keys: Sequence[str], value: str, out: str) -> Dat
     groups = [*keys, "_slice"]
     running = Window.partitionBy(*groups).orderBy(value)
     candidates = null_safe_join(
-        sliced, F.broadcast(target.select(*groups).distinct()), groups, "left_semi"
+        sliced, target.select(*groups).distinct(), groups, "left_semi"
     ).withColumn("_upto", F.sum("_copies").over(running))
     hits = null_safe_join(candidates, target.select(*groups, "_before", "_wanted"), groups, "inner")
     inside = F.col("_wanted") - F.col("_before")
@@ -225,6 +217,8 @@ def _hot_medians(split: Split, keys: Sequence[str], value: str, out: str) -> Dat
         .groupBy(*keys)
         .agg(F.avg(value).alias(out))
     )
+    if not keys:
+        return medians
     # A group without any value keeps its row.
     return null_safe_join(split.hot_keys, medians, keys, "left")
 
@@ -253,8 +247,8 @@ def long_frame_stats(
     ``frame_stats`` for images too large for one row.
 
     Ordinary images take one shuffle: every window and the aggregate use the same keys.
-    Oversized ones never gather in a task; their level and threshold reach the pixels by a
-    broadcast of one row per oversized image.
+    Oversized ones never gather in a task; their level and threshold are joined to the pixels, one
+    row per oversized image. Their pixels are written once, as five passes read them.
     """
     pixels = df.select(*keys, mask_non_finite(F.col(value).cast("double")).alias("_v"))
     split = split_hot(pixels, keys, max_group_rows)
@@ -279,8 +273,9 @@ def long_frame_stats(
         )
         parts.append(summary(rows))
     if split.hot is not None:
+        split = replace(split, hot=materialize(split.hot, "hot-pixels"))
         level = materialize(_hot_medians(split, keys, "_v", "median_bg"), "hot-levels")
-        rows = null_safe_join(split.hot, F.broadcast(level), keys, "left").withColumn(
+        rows = null_safe_join(split.hot, level, keys, "left").withColumn(
             "_sub", F.col("_v") - F.col("median_bg")
         )
         moments = materialize(
@@ -289,5 +284,5 @@ def long_frame_stats(
             ),
             "hot-moments",
         )
-        parts.append(summary(null_safe_join(rows, F.broadcast(moments), keys, "left")))
+        parts.append(summary(null_safe_join(rows, moments, keys, "left")))
     return _union(parts)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from framelake import schemas
 from framelake.functions.measures import percent_of
+from framelake.functions.naming import UNKNOWN
 from framelake.operators.relational import union_catalog
 from framelake.sources.specs import SourceSpec, source_catalog_rows
 
@@ -29,17 +30,19 @@ def catalog(
 def quality_report(catalog_rows: DataFrame, timestamp: str) -> DataFrame:
     """Totals, files per source and missing values per column: one row from one scan.
 
-    Counts are taken per source first, so the final row merges one row per source.
+    Counts are taken per source first, so the final row merges one row per source. Rows without a
+    source count as ``UNKNOWN``.
     """
     names = [f.name for f in schemas.CATALOG.fields if f.name not in NOT_PROFILED]
-    per_source = catalog_rows.groupBy("telescope").agg(
+    named = F.coalesce("telescope", F.lit(UNKNOWN)).alias("_source")
+    per_source = catalog_rows.groupBy(named).agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.count(F.when(F.col(c).isNull(), 1)).alias(f"_m_{c}") for c in names],
     )
     total = per_source.agg(
         F.coalesce(F.sum("_n"), F.lit(0)).alias("total_files"),
         # One entry per registered source.
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("telescope", "_n"))))
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("_source", "_n"))))
         .alias("telescope_distribution"),
         *[F.coalesce(F.sum(f"_m_{c}"), F.lit(0)).alias(f"_m_{c}") for c in names],
     )

@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from framelake import schemas
-from framelake.functions import naming
+from framelake.functions import naming, pixels as px
 from framelake.functions.measures import ratio_or_zero
 from framelake.operators.aggregates import QUALITY_BUCKETS
 from framelake.operators.frames import ALL_NAN, NO_IMAGE, SATURATION_LEVEL, SUCCESS
 from framelake.operators.labeling import (
     BRIGHT_SIGMA,
     DETECTION_SIGMA,
-    LISTED_SOURCES,
     detect,
     source_lists,
 )
@@ -24,6 +23,8 @@ FULL_SNR = 100.0
 FULL_SATURATION = 0.1
 FULL_SOURCES = 100.0
 FULL_RANGE = 60000.0
+#: Characters of an error text in a detection row.
+ERROR_TEXT = 50
 
 
 def quality_score(brightest: str = "_max") -> Column:
@@ -50,9 +51,12 @@ def detection_report(
     detection_sigma: float = DETECTION_SIGMA,
     bright_sigma: float = BRIGHT_SIGMA,
     saturation_level: float = SATURATION_LEVEL,
-    listed: int = LISTED_SOURCES,
+    listed: int | None = None,
 ) -> DataFrame:
-    """The full detection row of every image. Failed images carry zeros and a status."""
+    """The full detection row of every image, with all its sources or the first ``listed``.
+
+    Failed images carry zeros and a status.
+    """
     width = F.lit(width) if isinstance(width, int) else (
         F.col(width) if isinstance(width, str) else width
     )
@@ -66,13 +70,13 @@ def detection_report(
     found = detect(rows, "_pixels", "_w", detection_sigma, bright_sigma, saturation_level)
     state = (
         F.when(~F.col("_decoded").isin(SUCCESS, NO_IMAGE, ALL_NAN),
-               F.regexp_replace("_decoded", "^ERR:", "ERROR_"))
+               F.left(F.regexp_replace("_decoded", "^ERR:", "ERROR_"), F.lit(len("ERROR_") + ERROR_TEXT)))
         .when(F.col("_n_pixels") <= 0, "NO_IMAGE_DATA")
         .when(F.col("n_valid") <= 0, "ALL_NAN")
         .otherwise(SUCCESS)
     )
     positions, photometry = source_lists("sources", "background_noise", listed)
-    found = found.withColumns({"_state": state, "_score": quality_score()})
+    found = px.stage(found, {"_state": state, "_score": quality_score()})
     good = F.col("_state") == SUCCESS
     number = lambda column: F.when(good, F.col(column)).otherwise(0)
     return found.select(

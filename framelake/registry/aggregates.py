@@ -1,6 +1,6 @@
 """Aggregations."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from framelake.operators import aggregates as agg
 from framelake.operators.skew import long_frame_stats
@@ -165,9 +165,14 @@ SELECT o_custkey,
        arg_min(o_orderpriority, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O_o_orderpriority
 FROM orders GROUP BY o_custkey""")
 def pivot_first(spark, sf):
+    """The last order of a customer and status has no place; it counts only where it is alone."""
+    orders, last = table(spark, sf, "orders"), Window.partitionBy("o_custkey", "o_orderstatus")
+    placed = orders.withColumn(
+        "place", F.when(F.col("o_orderkey") < F.max("o_orderkey").over(last), F.col("o_orderkey"))
+    )
     return agg.pivot_first(
-        table(spark, sf, "orders"), "o_custkey", "o_orderstatus", ["F", "O"],
-        ["o_totalprice", "o_orderpriority"], "o_orderkey",
+        placed, "o_custkey", "o_orderstatus", ["F", "O"],
+        ["o_totalprice", "o_orderpriority"], "place",
     )
 
 
@@ -199,11 +204,9 @@ def long_stats(spark, sf):
 
 
 def triplets(spark, sf):
-    rows = supplier_stats(spark, sf).withColumn(
-        "tie", F.concat_ws("/", F.col("l_suppkey").cast("string"), "l_returnflag")
-    )
+    rows = supplier_stats(spark, sf)
     metrics = ["median_bg", "mean_sub", "std_sub", "bright_pixels"]
-    return agg.silver_triplets(rows, "l_suppkey", "l_returnflag", FLAGS, metrics, "tie")
+    return agg.silver_triplets(rows, "l_suppkey", "l_returnflag", FLAGS, metrics, "n_valid")
 
 
 @query("silver_triplets", f"WITH st AS MATERIALIZED {LONG_STATS_SQL} SELECT a.l_suppkey, " + ", ".join(

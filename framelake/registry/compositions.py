@@ -5,15 +5,18 @@ from pyspark.sql import functions as F
 from framelake import schemas
 from framelake.functions.measures import percent_of
 from framelake.operators.aggregates import QUALITY_BUCKETS
-from framelake.plans import catalog as cat, detection, diagnostics, medallion
+from framelake.operators import clustering
+from framelake.operators.aggregates import condition_counts
+from framelake.plans import catalog as cat, detection, diagnostics, medallion, reduced
 from framelake.plans.runs import run_job
 from framelake.registry.base import query, rounded, sql_round as r
-from framelake.registry.derived import PATHS_SQL, image_files, paths
-from framelake.registry.images import BRIGHT, STORED_BRONZE_SQL, DETECT, REPORT_SQL, SATURATED
+from framelake.operators.relational import split_fields
+from framelake.registry.derived import FRAME_PATH, FRAME_STATS_SQL, PATHS_SQL, image_files, paths
+from framelake.registry.images import BRIGHT, DETECT, LIGHT_SQL, REPORT_SQL, SATURATED, STORED_BRONZE_SQL
 from framelake.registry.names import CLASS, DATE, HSC_CLASS, RUN10, RUN6, BAND, bucket_sql
 from framelake.registry.rows import SCORES_SQL, scores
 from framelake.sources.specs import HSC, HSC_DETECTORS, ZTF
-from framelake.workspace import materialize
+from framelake.workspace import materialize, new_folder
 
 METRICS = ["median_bg", "mean_sub", "std_sub"]
 SILVER_COLUMNS = [f"{kind}_{m}" for kind in schemas.IMAGE_TYPES for m in METRICS]
@@ -38,11 +41,18 @@ def medallion_batch(spark, sf):
     return rounded(as_doubles(silver, SILVER_COLUMNS), *SILVER_COLUMNS)
 
 
-@query("medallion_gold")
+@query("medallion_gold", f"""
+WITH b AS MATERIALIZED ({STORED_BRONZE_SQL}),
+     k AS (SELECT DISTINCT object_id FROM b)
+SELECT object_id, ['Background detections', 'Noise/artifacts', 'High-intensity transient candidates'][CAST(object_id AS BIGINT) // 3 % 3 + 1] AS cluster_name
+FROM k WHERE 3 = (SELECT count(DISTINCT image_type) FROM b WHERE b.object_id = k.object_id)""")
 def medallion_gold(spark, sf):
+    """Features moved apart by object, so that the clusters are known."""
     silver = materialize(medallion.silver(medallion.bronze(image_files(spark, sf))), "silver")
-    rows, _ = medallion.gold(silver)
-    return rows.select("object_id", "cluster")
+    group = F.floor(F.col("object_id").cast("bigint") / 3) % 3 * 100_000
+    moved = silver.withColumns({c: F.col(c) + group for c in clustering.FEATURES})
+    rows, model = medallion.gold(moved)
+    return clustering.cluster_names(rows, model).select("object_id", "cluster_name")
 
 
 BUCKET_COLUMNS = ", ".join(
@@ -77,6 +87,58 @@ def detection_batch(spark, sf):
     return rounded(out, "science_objects", "science_bright")
 
 
+@query("detection_conditions", f"""
+{REPORT_SQL}
+SELECT count(*) FILTER (WHERE background_noise <= 0) AS zero_background_noise,
+       count(*) FILTER (WHERE dynamic_range <= 0) AS zero_dynamic_range,
+       count(*) FILTER (WHERE total_objects = 0) AS zero_objects,
+       count(*) FILTER (WHERE saturation_fraction IS NULL) AS null_saturation FROM report""")
+def detection_conditions(spark, sf):
+    rows = detection.detections(
+        image_files(spark, sf), detection_sigma=DETECT, bright_sigma=BRIGHT, saturation_level=SATURATED
+    )
+    return condition_counts(rows, diagnostics.detection_conditions())
+
+
+@query("reduced_analysis", f"""
+SELECT path, CASE WHEN vec_id % 10 = 0 THEN 'ERROR' WHEN vec_id % 10 = 1 THEN 'NO_DATA' ELSE 'SUCCESS' END AS status,
+       CASE WHEN vec_id % 10 > 1 THEN {r("mean_value")} ELSE 0 END AS mean_value,
+       CASE WHEN vec_id % 10 > 1 THEN {r("std_value")} ELSE 0 END AS std_value,
+       CASE WHEN vec_id % 10 > 1 THEN num_objects ELSE 0 END AS num_objects, true AS in_lines
+FROM (SELECT *, {FRAME_PATH} AS path FROM {LIGHT_SQL})""")
+def reduced_analysis(spark, sf):
+    """Files to statistics to lines, some files broken and some without an image."""
+    key = F.col("vec_id") % 10
+    empty = F.rpad(F.concat(*[F.rpad(F.lit(c), 80, " ") for c in EMPTY_CARDS]), 2880, " ").cast("binary")
+    files = image_files(spark, sf).withColumn(
+        "content", F.when(key == 0, F.lit(b"broken")).when(key == 1, empty).otherwise(F.col("content"))
+    )
+    rows = materialize(reduced.reduced_analysis(files), "reduced")
+    lines = spark.read.text(reduced.write_lines(rows, new_folder(spark, "reduced-lines")))
+    written = lines.select(F.split_part("value", F.lit(","), F.lit(1)).alias("line_path")).distinct()
+    out = rows.join(written, F.col("path") == F.col("line_path"), "left").select(
+        "path", F.regexp_replace("status", "^ERROR_.*", "ERROR").alias("status"), "mean_value", "std_value",
+        "num_objects", F.col("line_path").isNotNull().alias("in_lines"),
+    )
+    return rounded(out, "mean_value", "std_value")
+
+
+@query("stats_lines_run", f"""
+SELECT file_path AS path, {r("mean_sub", 4)} AS mean_sub, {r("std_sub", 4)} AS std_sub, CAST(bright_pixels AS VARCHAR) AS bright
+FROM (SELECT *, {FRAME_PATH} AS file_path FROM {FRAME_STATS_SQL})""")
+def stats_lines_run(spark, sf):
+    """Decode, statistics, four-field lines, published as a run and read back."""
+    target = medallion.stats_lines_run(image_files(spark, sf), new_folder(spark, "stats-lines"))
+    fields = split_fields(spark.read.text(target), "value", ["path", "mean_sub", "std_sub", "bright"])
+    out = fields.withColumns({c: F.col(c).cast("double") for c in ("mean_sub", "std_sub")})
+    return rounded(out, "mean_sub", "std_sub", digits=4)
+
+
+EMPTY_CARDS = [
+    "SIMPLE  =                    T", "BITPIX  =                    8", "NAXIS   =                    0", "END",
+]
+
+
 CATALOG_ROWS_SQL = f"""
 (SELECT path AS file_path, 'ZTF' AS telescope, {CLASS} AS data_type, {DATE} AS observation_date,
         CAST(substr({RUN6}, 1, 3) AS INTEGER) AS field_id, CAST(NULL AS INTEGER) AS detector_id,
@@ -109,18 +171,23 @@ def missing_sql(column):
 
 
 @query("catalog_report", f"""
-SELECT count(*) AS total_files, count(*) FILTER (WHERE telescope = 'ZTF') AS ztf,
-       count(*) FILTER (WHERE telescope = 'HSC') AS hsc, {missing_sql("field_id")} AS missing_field_id,
+SELECT count(*) AS total_files, count(*) FILTER (WHERE telescope = 'ZTF' AND NOT contains(file_path, 'plain')) AS ztf,
+       count(*) FILTER (WHERE telescope = 'HSC') AS hsc,
+       count(*) FILTER (WHERE contains(file_path, 'plain')) AS unknown, {missing_sql("field_id")} AS missing_field_id,
        {missing_sql("filter_band")} AS missing_filter_band,
        {r("100.0 * " + missing_sql("exposure_id") + " / count(*)")} AS missing_exposure_percent
 FROM {CATALOG_ROWS_SQL}""")
 def catalog_report(spark, sf):
-    report = cat.quality_report(catalog_rows(spark, sf), "20251012_153354")
+    rows = catalog_rows(spark, sf).withColumn(
+        "telescope", F.when(~F.col("file_path").contains("plain"), F.col("telescope"))
+    )
+    report = cat.quality_report(rows, "20251012_153354")
     metric = lambda name: F.col("quality_metrics")[f"missing_{name}"]
     out = report.select(
         "total_files",
         F.col("telescope_distribution")["ZTF"].alias("ztf"),
         F.col("telescope_distribution")["HSC"].alias("hsc"),
+        F.col("telescope_distribution")["UNKNOWN"].alias("unknown"),
         metric("field_id")["missing_count"].alias("missing_field_id"),
         metric("filter_band")["missing_count"].alias("missing_filter_band"),
         metric("exposure_id")["missing_percentage"].alias("missing_exposure_percent"),

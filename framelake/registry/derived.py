@@ -125,28 +125,27 @@ def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> Data
                 _image_bytes(np.asarray(row.values, np.float32)) for row in batch.column("pixels")
             ]
             if gzipped:
-                files = [gzip.compress(data, mtime=0) for data in files]
+                # Two members each, as concatenated streams have.
+                files = [gzip.compress(d[:2880], mtime=0) + gzip.compress(d[2880:], mtime=0) for d in files]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("vec_id"), batch.column("path"), pa.array(files, pa.binary())],
                 names=["vec_id", "path", "content"],
             )
 
-    # The small test tables are one file each; spread their rows over the cores first.
-    spread = named_frames(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "vec_id")
-    return spread.mapInArrow(
+    return named_frames(spark, sf_dir).mapInArrow(
         encode, schemas.struct(vec_id=schemas.BIGINT, path=schemas.STRING, content=schemas.BINARY)
     )
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One alert per frame; some stamps are absent or empty, some ids only in alertId."""
+    """One alert per frame; some stamps are absent or empty, some ids only in alertId, some nowhere."""
     files = image_files(spark, sf_dir, gzipped=True)
     key = F.col("vec_id")
     stamp = lambda present: F.when(present, F.struct(F.col("content").alias("stampData")))
     empty = F.struct(F.lit(b"").alias("stampData"))
     return files.select(
         F.when(key % 5 == 0, 0).when(key % 5 != 1, key + 1).alias("candid"),
-        (key + 1).alias("alertId"),
+        F.when(key % 35 == 0, 0).otherwise(key + 1).alias("alertId"),
         stamp(key >= 0).alias("cutoutScience"),
         stamp(key % 7 != 0).alias("cutoutTemplate"),
         F.when(key % 11 == 0, empty).otherwise(stamp(key >= 0)).alias("cutoutDifference"),

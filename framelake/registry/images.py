@@ -152,6 +152,17 @@ def source_catalog(spark, sf):
     return rounded(out, *MEASURES)
 
 
+@query("label_pixels_in_rounds", f"""
+WITH RECURSIVE {labeled_sql(DETECT, "b")}
+SELECT vec_id, count(*) AS pixels, CAST(sum(root) AS BIGINT) AS roots FROM b GROUP BY vec_id""")
+def label_pixels_in_rounds(spark, sf):
+    """Every graph of border parts is merged in rounds of joins."""
+    mask = fr.sigma_mask(frames(spark, sf), ["vec_id"], "pixels", SIDE, DETECT)
+    found = lab.label_pixels(mask.select("vec_id", "y", "x"), ["vec_id"], tile=2, max_group_rows=1)
+    root = F.shiftright("source", 32) * SIDE + F.col("source") % (1 << 32)
+    return found.groupBy("vec_id").agg(F.count(F.lit(1)).alias("pixels"), F.sum(root).alias("roots"))
+
+
 @query("label_pixels", f"""
 WITH RECURSIVE {labeled_sql(DETECT, "b")}, c AS ({CATALOG_SQL})
 SELECT vec_id, label, {ROUNDED_MEASURES} FROM c""")
@@ -237,8 +248,7 @@ SELECT file_path, coalesce(left({REPORT_RUN}, 4), 'UNKNOWN') AS telescope_id,
        'UNKNOWN' AS observation_time,
        upper(replace(split_part(regexp_extract(file_path, '[^/]*$'), '_', 2), '.fits', '')) AS image_type,
        total_objects, bright_sources, faint_sources, {", ".join(f"{r(c)} AS {c}" for c in REPORT_NUMBERS)},
-       CAST(least(bright_sources, 20) AS INTEGER) AS n_positions,
-       CAST(least(bright_sources, 20) AS INTEGER) AS n_photometry, 'SUCCESS' AS processing_status
+       bright_sources AS n_positions, bright_sources AS n_photometry, 'SUCCESS' AS processing_status
 FROM report""")
 def detection_rows(spark, sf):
     out = report(spark, sf).withColumns(
@@ -261,18 +271,46 @@ def light_stats(spark, sf):
     return rounded(fr.light_stats(frames(spark, sf), "pixels"), "mean_value", "std_value")
 
 
-@query("sampled_stats", f"SELECT vec_id, {LIGHT_COLUMNS} FROM {LIGHT_SQL}")
+SAMPLE = 20
+
+
+@query("sampled_stats", f"""
+SELECT vec_id, {SAMPLE} AS drawn, true AS from_image, true AS stats_agree, true AS count_scaled FROM embeddings""")
 def sampled_stats(spark, sf):
-    out = fr.sampled_stats(frames(spark, sf), "pixels", ["vec_id"])
-    return rounded(out, "mean_value", "std_value")
+    """Statistics of 20 of 64 pixels, against those of the same draw taken openly."""
+    copies = frames(spark, sf).withColumns({"draw": F.col("pixels"), "whole": F.col("pixels")})
+    sampled = fr.sampled_stats(copies, "pixels", ["vec_id"], SAMPLE).withColumnsRenamed(
+        {"mean_value": "sampled_mean", "std_value": "sampled_std", "num_objects": "sampled_objects"}
+    )
+    drawn = fr.draw_pixels(sampled, "draw", ["vec_id"], SAMPLE).withColumns({
+        "drawn": F.size("draw"),
+        "from_image": F.size(F.array_except("draw", "whole")) == 0,
+        "scale": F.size("whole") / F.size("draw"),
+    })
+    plain = fr.light_stats(drawn, "draw")
+    return plain.select(
+        "vec_id", "drawn", "from_image",
+        ((F.col("mean_value") == F.col("sampled_mean")) & (F.col("std_value") == F.col("sampled_std")))
+        .alias("stats_agree"),
+        (F.col("sampled_objects") == (F.col("num_objects") * F.col("scale")).cast("int")).alias("count_scaled"),
+    )
 
 
 @query("light_or_sampled", f"""
-SELECT vec_id, {LIGHT_COLUMNS}, CASE WHEN vec_id % 2 = 0 THEN 'light' ELSE 'sampled' END AS mode
+SELECT vec_id, CASE WHEN vec_id % 2 = 0 THEN {r('mean_value')} END AS mean_value,
+       CASE WHEN vec_id % 2 = 0 THEN {r('std_value')} END AS std_value,
+       CASE WHEN vec_id % 2 = 0 THEN num_objects END AS num_objects,
+       CASE WHEN vec_id % 2 = 0 THEN 'light' ELSE 'sampled' END AS mode, vec_id % 2 = 1 AS differs
 FROM {LIGHT_SQL}""")
 def light_or_sampled(spark, sf):
+    """Whole images for even ids; odd ones are sampled, so their mean is not the image's."""
     pressure = F.when(F.col("vec_id") % 2 == 0, 0.1).otherwise(0.9)
-    out = fr.light_or_sampled(frames(spark, sf), "pixels", ["vec_id"], pressure)
+    pixels = frames(spark, sf).withColumn("whole", F.col("pixels"))
+    out = fr.light_or_sampled(pixels, "pixels", ["vec_id"], pressure, SAMPLE, 0.3)
+    mean = F.aggregate(F.col("whole").cast("array<double>"), F.lit(0.0), lambda a, v: a + v) / F.size("whole")
+    light = F.col("mode") == "light"
+    out = out.withColumn("differs", F.abs(mean - F.col("mean_value")) > 1e-9).drop("whole")
+    out = out.withColumns({c: F.when(light, F.col(c)) for c in ("mean_value", "std_value", "num_objects")})
     return rounded(out, "mean_value", "std_value")
 
 
@@ -290,26 +328,37 @@ def decoded(spark, sf):
 
 
 CUTOUTS_SQL = """
-(SELECT vec_id + 1 AS candid, kind, CAST(vec_id + 1 AS VARCHAR) || '_' || kind || '.fits' AS file_name, vec_id
+(SELECT CASE WHEN vec_id % 35 > 0 THEN vec_id + 1 END AS candid, kind,
+        CASE WHEN vec_id % 35 > 0 THEN CAST(vec_id + 1 AS VARCHAR) ELSE 'hash' END || '_' || kind || '.fits' AS file_name, vec_id
  FROM embeddings, (VALUES ('science'), ('template'), ('difference')) k(kind)
  WHERE NOT (kind = 'template' AND vec_id % 7 = 0) AND NOT (kind = 'difference' AND vec_id % 11 = 0))"""
 
 
+def without_hashes(cutouts):
+    """Ids that are hashes of the stamps as nulls, and so in the names."""
+    return cutouts.withColumns({
+        "candid": F.when(F.col("candid") >= 0, F.col("candid")),
+        "file_name": F.regexp_replace("file_name", "^-[0-9]+", "hash"),
+    })
+
+
 @query("explode_cutouts", f"SELECT candid, kind, file_name FROM {CUTOUTS_SQL}")
 def cutouts(spark, sf):
-    return explode_cutouts(alerts(spark, sf)).drop("content")
+    return without_hashes(explode_cutouts(alerts(spark, sf))).drop("content")
 
 
 @query("inflate_stamps", f"""
 SELECT file_name, 5760 AS n_bytes, {r("median_bg")} AS median_bg
 FROM {CUTOUTS_SQL} JOIN {FRAME_STATS_SQL} USING (vec_id)""")
 def inflated(spark, sf):
-    raw = inflate_stamps(explode_cutouts(alerts(spark, sf)))
-    sizes = raw.select("file_name", F.octet_length("content").alias("n_bytes"), "content")
-    levels = fr.frame_median(decode_frames(raw, "file_name"), "pixels").select(
-        F.col("frame_id").alias("file_name"), "median_bg"
+    raw = inflate_stamps(without_hashes(explode_cutouts(alerts(spark, sf))))
+    # The size travels in the id, so that one pass inflates, measures and decodes.
+    named = raw.select(F.concat_ws("|", "file_name", F.octet_length("content")).alias("file_name"), "content")
+    levels = fr.frame_median(decode_frames(named, "file_name"), "pixels")
+    out = levels.select(
+        F.split_part("frame_id", F.lit("|"), F.lit(1)).alias("file_name"),
+        F.split_part("frame_id", F.lit("|"), F.lit(2)).cast("int").alias("n_bytes"), "median_bg",
     )
-    out = sizes.drop("content").join(levels, "file_name")
     return rounded(out, "median_bg")
 
 

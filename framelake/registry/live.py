@@ -5,7 +5,7 @@ from framelake.registry.images import STORED_BRONZE_SQL
 from framelake.registry.sources_sinks import written_images
 from framelake.sources.sinks import named_image_files
 from framelake.streaming import live
-from framelake.workspace import new_folder
+from framelake.workspace import materialize, new_folder
 
 
 def events(spark, sf):
@@ -27,13 +27,21 @@ def live_gold_stats(spark, sf):
 
 @query("live_pending_gold", """
 SELECT count(*) AS bronze_rows, CAST(NULL AS BIGINT) AS gold_rows, CAST(NULL AS DOUBLE) AS avg_objects,
-       CAST(NULL AS DOUBLE) AS max_quality, 'pending' AS state FROM events""")
+       CAST(NULL AS DOUBLE) AS max_quality, 'pending' AS state FROM events
+UNION ALL
+SELECT count(*), count(*) FILTER (WHERE event_id % 2 = 0),
+       round(avg(user_id) FILTER (WHERE event_id % 2 = 0), 6), max(value) FILTER (WHERE event_id % 2 = 0), 'ready' FROM events""")
 def live_pending_gold(spark, sf):
-    gold_folder = new_folder(spark, "gold")
-    empty = table(spark, sf, "events").limit(0)
-    empty.write.parquet(gold_folder)
-    gold = live.stream_parquet(spark, f"{gold_folder}/run_*", empty.schema)
-    return live.live_pending_gold(events(spark, sf), gold, "user_id", "value")
+    """The same monitor before the gold run and, restarted from its checkpoint, after it."""
+    folder, state = new_folder(spark, "gold"), new_folder(spark, "monitor")
+    rows = table(spark, sf, "events")
+    rows.limit(0).write.parquet(folder)  # the folder is there before the run is
+    watch = lambda: live.live_pending_gold(
+        events(spark, sf), live.stream_parquet(spark, f"{folder}/run_*", rows.schema), "user_id", "value", state
+    )
+    before = materialize(watch(), "pending")
+    rows.filter("event_id % 2 = 0").write.parquet(f"{folder}/run_1")
+    return rounded(before.union(watch()), "avg_objects")
 
 
 @query("live_bronze_ingest", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from framelake.operators import clustering as ml
 from framelake.registry.aggregates import LONG_STATS_SQL, triplets
 from framelake.registry.base import query, rounded, sql_round as r
+from framelake.workspace import materialize
 
 FEATURES = ["A_std_sub", "A_median_bg", "N_std_sub"]
 FEATURES_SQL = f"""
@@ -20,8 +21,19 @@ def features(spark, sf):
     return ml.assemble_features(triplets(spark, sf).select("l_suppkey", *FEATURES), FEATURES)
 
 
+# Suppliers moved apart in all features, so that the clusters are known.
+STEP = 1_000_000
+MOVED_SQL = f"""
+(SELECT l_suppkey, l_suppkey % 3 AS g, {", ".join(f"{c} + l_suppkey % 3 * {STEP} AS {c}" for c in FEATURES)}
+ FROM {FEATURES_SQL})"""
+NAME_SQL = "['" + "', '".join(ml.CLUSTER_NAMES) + "'][g + 1]"
+
+
 def clustered(spark, sf):
-    return ml.kmeans_fit_assign(ml.standardize(features(spark, sf)), "l_suppkey")
+    rows = triplets(spark, sf).select("l_suppkey", *FEATURES)
+    moved = rows.withColumns({c: F.col(c) + F.col("l_suppkey") % 3 * STEP for c in FEATURES})
+    vectors = materialize(ml.assemble_features(moved, FEATURES), "features")
+    return ml.kmeans_fit_assign(ml.standardize(vectors), "l_suppkey")
 
 
 @query("assemble_features", f"""
@@ -40,30 +52,45 @@ def standardize(spark, sf):
     return rounded(ml.unpack_vector(scaled, "features", FEATURES).drop("features"), *FEATURES)
 
 
-@query("kmeans_fit_assign")
+@query("kmeans_fit_assign", f"SELECT l_suppkey, {NAME_SQL} AS cluster_name FROM {MOVED_SQL}")
 def kmeans_fit_assign(spark, sf):
-    rows, _ = clustered(spark, sf)
-    return rows.select("l_suppkey", "cluster")
+    rows, model = clustered(spark, sf)
+    return ml.cluster_names(rows, model).select("l_suppkey", "cluster_name")
+
+
+# Mean silhouette over squared distances of the scaled features.
+SILHOUETTE_SQL = f"""
+WITH f AS MATERIALIZED (SELECT l_suppkey, g, {", ".join(
+    f"({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER () AS {c}" for c in FEATURES)} FROM {MOVED_SQL}),
+d AS (SELECT p.l_suppkey, p.g, q.g AS other, avg({" + ".join(f"(p.{c} - q.{c}) ** 2" for c in FEATURES)}) AS away
+      FROM f p JOIN f q ON p.l_suppkey <> q.l_suppkey GROUP BY ALL),
+s AS (SELECT l_suppkey, max(away) FILTER (WHERE g = other) AS a, min(away) FILTER (WHERE g <> other) AS b
+      FROM d GROUP BY l_suppkey)
+SELECT count(*) AS rows, {r("avg(coalesce((b - a) / greatest(a, b), 0))")} AS silhouette FROM s"""
 
 
-@query("silhouette")
+@query("silhouette", SILHOUETTE_SQL)
 def silhouette(spark, sf):
     rows, _ = clustered(spark, sf)
     score = ml.silhouette(rows)
-    return rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(score).alias("silhouette"))
+    out = rows.agg(F.count(F.lit(1)).alias("rows"), F.lit(score).alias("silhouette"))
+    return rounded(out, "silhouette")
 
 
-@query("cluster_sizes")
+@query("cluster_sizes", f"SELECT count(*) AS n FROM {MOVED_SQL} GROUP BY g")
 def cluster_sizes(spark, sf):
     rows, _ = clustered(spark, sf)
-    return ml.cluster_sizes(rows)
+    return ml.cluster_sizes(rows).select("n")
 
 
-@query("cluster_names")
+@query("cluster_names", f"""
+WITH f AS MATERIALIZED (SELECT g, ({FEATURES[0]} - avg({FEATURES[0]}) OVER ()) / stddev_samp({FEATURES[0]}) OVER () AS x FROM {MOVED_SQL})
+SELECT {NAME_SQL} AS cluster_name, count(*) AS n, {r("avg(x)")} AS mean_first_feature FROM f GROUP BY g""")
 def cluster_names(spark, sf):
     rows, model = clustered(spark, sf)
     named = ml.cluster_names(rows, model)
-    return named.groupBy("cluster_name").agg(
+    out = named.groupBy("cluster_name").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.get(vector_to_array("features"), 0)).alias("mean_first_feature"),
     )
+    return rounded(out, "mean_first_feature")

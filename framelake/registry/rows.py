@@ -67,10 +67,12 @@ def filter_valid(spark, sf):
 HEADER = "custkey,name,nationkey"
 LINE = f"""
 CASE WHEN c_custkey % 13 = 0 THEN '{HEADER}' WHEN c_custkey % 10 = 0 THEN '   '
+     WHEN c_custkey % 7 = 1 THEN chr(9) WHEN c_custkey % 11 = 1 THEN chr(13)
      WHEN c_custkey % 9 = 0 THEN CAST(c_custkey AS STRING) || ',' || c_name || ',n/a'
      ELSE CAST(c_custkey AS STRING) || ',' || c_name || ',' || CAST(c_nationkey AS STRING) END"""
 LINES_SQL = f"""
-(SELECT line FROM (SELECT {LINE} AS line FROM customer) WHERE line <> '{HEADER}' AND trim(line) <> '')"""
+(SELECT line FROM (SELECT {LINE} AS line FROM customer)
+ WHERE line <> '{HEADER}' AND NOT regexp_full_match(line, '\\s*'))"""
 
 
 def data_lines(spark, sf):
@@ -83,6 +85,28 @@ def filter_blank_and_header(spark, sf):
     return data_lines(spark, sf)
 
 
+@query("text_job", f"""
+WITH l AS (SELECT c_custkey, CASE WHEN c_custkey = (SELECT min(c_custkey) FROM customer) THEN '{HEADER}' ELSE {LINE} END AS line
+           FROM customer),
+     h AS (SELECT arg_min(line, c_custkey) AS header FROM l)
+SELECT header, count(*) AS data_lines, count(TRY_CAST(split_part(line, ',', 3) AS BIGINT)) AS with_nation,
+       CAST(sum(TRY_CAST(split_part(line, ',', 1) AS BIGINT)) AS BIGINT) AS keys
+FROM l, h WHERE line <> header AND NOT regexp_full_match(line, '\\s*') GROUP BY header""")
+def text_job(spark, sf):
+    """Header from the first line, blank and repeated header lines dropped, fields, one summary line."""
+    customers = table(spark, sf, "customer")
+    first = customers.agg(F.min("c_custkey")).scalar()
+    lines = customers.select(
+        "c_custkey", F.when(F.col("c_custkey") == first, HEADER).otherwise(F.expr(LINE)).alias("line")
+    )
+    rows, header = rel.split_header(lines, "line", "c_custkey")
+    fields = rel.split_fields(rows, "line", header.split(","), ints=["custkey", "nationkey"])
+    return fields.agg(
+        F.lit(header).alias("header"), F.count(F.lit(1)).alias("data_lines"),
+        F.count("nationkey").alias("with_nation"), F.sum("custkey").alias("keys"),
+    )
+
+
 @query("split_fields", f"""
 SELECT split_part(line, ',', 1) AS custkey, split_part(line, ',', 2) AS name,
        TRY_CAST(split_part(line, ',', 3) AS BIGINT) AS nationkey FROM {LINES_SQL}""")

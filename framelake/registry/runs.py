@@ -3,8 +3,12 @@
 from pyspark.sql import functions as F
 
 from framelake.operators import aggregates as agg, history
-from framelake.plans.runs import run_history_analysis
+from framelake import schemas
+from framelake.plans.runs import append_history, benchmark_report, run_history_analysis
 from framelake.registry.base import query, rounded, sql_round as r, table
+from framelake.workspace import new_folder
+
+BENCHMARKS = schemas.with_fields(schemas.BENCHMARK_RUNS, started=schemas.STRING)
 
 # A supplier stands for a data size, its line items for runs on it.
 RUNS_SQL = """
@@ -29,7 +33,7 @@ EFFICIENCY_SQL = f"""
 
 COLUMNS = dict(
     size="num_files", throughput="throughput", seconds="execution_time",
-    config=["partitions", "cores"], run_order=["l_orderkey", "l_linenumber", "partitions"],
+    config=["partitions", "cores"], run_order=["started", "l_linenumber", "partitions"],
 )
 
 
@@ -40,7 +44,8 @@ def runs(spark, sf):
         F.col("l_quantity").alias("execution_time"),
         F.col("l_partkey").alias("partitions"),
         F.col("l_linenumber").alias("cores"),
-        "l_orderkey", "l_linenumber", "l_linestatus",
+        F.lpad(F.col("l_orderkey").cast("string"), 15, "0").alias("started"),  # a time as text
+        "l_linenumber", "l_linestatus",
     )
 
 
@@ -95,6 +100,29 @@ def history_analysis(spark, sf):
     return rounded(out, "speedup_factor", "avg_efficiency")
 
 
+@query("benchmark_report", f"""
+SELECT num_files, num_configurations_tested, '20251012_153354' AS timestamp,
+       (SELECT count(*) FROM {RUNS_SQL}) AS total_benchmarks FROM {BEST_WORST_SQL}""")
+def benchmark_rows(spark, sf):
+    """Recorded runs with nested settings, appended in two goes, read back and reported."""
+    path = new_folder(spark, "benchmarks")
+    kept = runs(spark, sf).filter("l_linestatus = 'F'")
+    records = kept.select(
+        F.lit("grid").alias("benchmark_type"), F.lit("/raw").alias("data_path"),
+        F.struct(F.col("partitions").cast("int").alias("partitions"), F.lit("1g").alias("memory"),
+                 F.col("cores").cast("int").alias("cores")).alias("configuration"),
+        "num_files", "execution_time", F.col("throughput").alias("throughput_files_per_sec"), "started",
+    )
+    for part in (0, 1):
+        append_history(records.filter(F.col("num_files") % 2 == part), path, BENCHMARKS)
+    history_rows = spark.read.schema(BENCHMARKS).parquet(path).select("*", "configuration.*")
+    per_size = agg.best_worst_by_group(
+        history_rows, "num_files", "throughput_files_per_sec", "execution_time", ["partitions", "cores"], ["started"],
+    )
+    report = benchmark_report(history_rows, per_size, "20251012_153354")
+    return report.select("num_files", "num_configurations_tested", "timestamp", "total_benchmarks")
+
+
 @query("rolling_pressure", f"""
 WITH s AS (SELECT event_id, user_id, avg(value) OVER w AS cpu, avg(user_id) OVER w AS mem,
                   min(value) OVER w AS free

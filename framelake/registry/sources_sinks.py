@@ -7,7 +7,7 @@ from framelake.functions.measures import ratio_or_zero
 from framelake.operators.frames import frame_stats
 from framelake.registry.base import query, rounded, sql_round as r, table
 from framelake.registry.derived import FRAME_PATH, FRAME_STATS_SQL, alerts, image_files
-from framelake.registry.images import CUTOUTS_SQL
+from framelake.registry.images import CUTOUTS_SQL, without_hashes
 from framelake.sources import sinks, tables
 from framelake.sources.images import decode_frames, explode_cutouts
 from framelake.workspace import new_folder
@@ -66,7 +66,7 @@ def scan_text(spark, sf):
 
 @query("scan_alerts", """
 SELECT CASE WHEN vec_id % 5 = 0 THEN 0 WHEN vec_id % 5 <> 1 THEN vec_id + 1 END AS candid,
-       vec_id + 1 AS alert_id, true AS has_science, vec_id % 7 <> 0 AS has_template,
+       CASE WHEN vec_id % 35 = 0 THEN 0 ELSE vec_id + 1 END AS alert_id, true AS has_science, vec_id % 7 <> 0 AS has_template,
        vec_id % 11 <> 0 AS has_difference FROM embeddings""")
 def scan_alerts(spark, sf):
     path = sinks.sink_parquet(alerts(spark, sf), new_folder(spark, "alerts"))
@@ -137,7 +137,7 @@ def sink_json_report(spark, sf):
 def sink_publish_run(spark, sf):
     rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     target = sinks.tagged_path(new_folder(spark, "published"), "full_20251012_153354")
-    sinks.sink_publish_run(rows.limit(0), target)  # an earlier run, to be replaced
+    sinks.sink_publish_run(rows.filter("o_orderkey % 2 = 0"), target)  # an earlier run, to be replaced
     return tables.scan_parquet(spark, sinks.sink_publish_run(rows, target))
 
 
@@ -149,7 +149,7 @@ def run_tag(spark, sf):
 @query("sink_cutouts", f"SELECT candid, kind, file_name, true AS is_gzip FROM {CUTOUTS_SQL}")
 def sink_cutouts(spark, sf):
     path = sinks.sink_cutouts(explode_cutouts(alerts(spark, sf)), new_folder(spark, "cutouts"))
-    rows = tables.scan_parquet(spark, path, schemas.CUTOUTS)
+    rows = without_hashes(tables.scan_parquet(spark, path, schemas.CUTOUTS))
     return rows.select(
         "candid", "kind", "file_name",
         (F.hex(F.substring("content", 1, 2)) == "1F8B").alias("is_gzip"),

@@ -51,25 +51,6 @@ CATALOG = struct(
     file_size_mb=FLOAT, processing_timestamp=STRING, quality_flags=STRING,
 )
 
-IMAGE_STATS = struct(
-    filepath=STRING, mean_value=DOUBLE, std_value=DOUBLE, max_value=DOUBLE,
-    bright_objects=INT, timestamp=STRING, total_pixels=INT, data_type=STRING,
-)
-
-METRICS_HISTORY = struct(
-    timestamp=STRING, cpu_percent=DOUBLE, memory_percent=DOUBLE, memory_available_gb=DOUBLE,
-    disk_io_read_mb_s=DOUBLE, disk_io_write_mb_s=DOUBLE, network_io_mb_s=DOUBLE,
-)
-JOB_HISTORY = struct(
-    timestamp=STRING, num_files=BIGINT, files_processed=BIGINT, total_size_gb=DOUBLE,
-    config=struct(
-        executor_memory=STRING, executor_cores=INT, num_partitions=INT,
-        adaptive_enabled=T.BooleanType(), resource_pressure=DOUBLE,
-    ),
-    execution_time_seconds=DOUBLE, throughput_files_per_second=DOUBLE,
-    initial_cpu_percent=DOUBLE, final_cpu_percent=DOUBLE,
-    initial_memory_percent=DOUBLE, final_memory_percent=DOUBLE,
-)
 BENCHMARK_RUNS = struct(
     benchmark_type=STRING, data_path=STRING,
     configuration=struct(partitions=INT, memory=STRING, cores=INT),
@@ -81,3 +62,8 @@ BENCHMARK_RUNS = struct(
         avg_object_density=DOUBLE, avg_quality_score=DOUBLE,
     ),
 )
+
+
+def with_fields(schema: T.StructType, **fields: T.DataType) -> T.StructType:
+    """``schema`` with more columns behind its own."""
+    return T.StructType([*schema.fields, *(T.StructField(n, t) for n, t in fields.items())])

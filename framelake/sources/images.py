@@ -5,8 +5,10 @@ A file that cannot be decoded becomes a row with a status, never a failed task.
 
 from __future__ import annotations
 
+import gzip
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,13 @@ CARD = 80
 PIXEL_TYPES = {8: "u1", 16: ">i2", 32: ">i4", 64: ">i8", -32: ">f4", -64: ">f8"}
 GZIP_MAGIC = b"\x1f\x8b"
 CUTOUT_KINDS = ["Science", "Template", "Difference"]
-ERROR_TEXT = 20
 
 
 def _gunzip(data: bytes) -> bytes:
-    return zlib.decompress(data, wbits=31)
+    """All members of a gzip stream; no bytes are no stream."""
+    if not data:
+        raise EOFError("empty stream")
+    return gzip.decompress(data)
 
 
 def _cards(data: bytes, at: int) -> tuple[dict[str, str], int]:
@@ -84,7 +88,7 @@ def _decoded(content: bytes | None) -> tuple[np.ndarray | None, str]:
     try:
         image = read_image(content or b"")
     except Exception as error:  # whatever the bytes hold, the outcome is a status
-        return None, f"ERR:{str(error)[:ERROR_TEXT]}"
+        return None, f"ERR:{error}"
     if image is None:
         return None, NO_IMAGE
     return image, SUCCESS if np.isfinite(image).any() else ALL_NAN
@@ -107,6 +111,7 @@ def _frame_batch(rows: list[tuple[str, np.ndarray, str]]) -> pa.RecordBatch:
 
 # An output batch is closed at this many pixels, so large images travel in small batches.
 PIXELS_PER_BATCH = 4_000_000
+ROWS_PER_BATCH = 1_000
 NO_PIXELS = np.zeros((0, 0), np.float32)
 
 
@@ -129,20 +134,60 @@ def decode_frames(files: DataFrame, path: str = "path", content: str = "content"
     return files.select(path, content).mapInArrow(decode, schemas.FRAMES)
 
 
+STATS = T.StructType([
+    T.StructField("frame_id", T.StringType()), T.StructField("n_pixels", T.IntegerType()),
+    T.StructField("n_valid", T.IntegerType()), T.StructField("median_bg", T.DoubleType()),
+    T.StructField("mean_sub", T.DoubleType()), T.StructField("std_sub", T.DoubleType()),
+    T.StructField("bright_pixels", T.IntegerType()), T.StructField("status", T.StringType()),
+])
+
+
+def _image_stats(image: np.ndarray | None) -> tuple:
+    """n_pixels, n_valid, median, and mean, deviation and bright count of what is above it."""
+    if image is None:
+        return 0, 0, None, None, None, None
+    values = image[np.isfinite(image)].astype(np.float64)
+    if not values.size:
+        return image.size, 0, None, None, None, None
+    level = float(np.median(values))
+    above = values - level
+    mean, std = float(above.mean()), float(above.std())
+    return image.size, values.size, level, mean, std, int((above > mean + 3.0 * std).sum())
+
+
+def decode_stats(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """Files to background statistics, one for one, without passing pixels on."""
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, data in zip(batch.column(0), batch.column(1)):
+                image, status = _decoded(data.as_py())
+                rows.append((name.as_py(), *_image_stats(image), status))
+            if rows:
+                kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32(), pa.string()]
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+                yield pa.RecordBatch.from_arrays(columns, names=STATS.fieldNames())
+
+    return files.select(path, content).mapInArrow(decode, STATS)
+
+
 def map_files(files: DataFrame, function, schema: T.StructType, path: str = "path",
               content: str = "content") -> DataFrame:
-    """User function over (path, bytes) pairs, an iterator in and an iterator of tuples out."""
+    """User function over (path, bytes) pairs, an iterator in and an iterator of tuples out.
+
+    It is called once per partition and sees all its files, whatever the batch size.
+    """
     names = schema.fieldNames()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
-        for batch in batches:
-            pairs = ((p.as_py(), c.as_py()) for p, c in zip(batch.column(0), batch.column(1)))
-            rows = [dict(zip(names, row)) for row in function(pairs)]
-            if rows:
-                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+        pairs = ((p.as_py(), c.as_py()) for batch in batches for p, c in zip(batch.column(0), batch.column(1)))
+        rows = (dict(zip(names, row)) for row in function(pairs))
+        while some := list(islice(rows, ROWS_PER_BATCH)):
+            yield pa.RecordBatch.from_pylist(some, schema=arrow)
 
     return files.select(path, content).mapInArrow(run, schema)
 
@@ -156,7 +201,7 @@ def inflate_stamps(df: DataFrame, content: str = "content") -> DataFrame:
         for item in data:
             try:
                 out.append(_gunzip(item.as_py()))
-            except (TypeError, zlib.error):
+            except (TypeError, OSError, EOFError, zlib.error):
                 out.append(None)
         return pa.array(out, pa.binary())
 
@@ -166,8 +211,8 @@ def inflate_stamps(df: DataFrame, content: str = "content") -> DataFrame:
 def explode_cutouts(alerts: DataFrame) -> DataFrame:
     """Up to three rows per alert: candid, kind, file_name, content. Empty stamps are skipped.
 
-    The id is candid, else alertId, a zero counting as absent; alerts with neither get a running
-    number of their own.
+    The id is candid, else alertId, a zero counting as absent. Alerts with neither get a negative
+    hash of their stamps, which no real id can equal and which does not depend on the partitioning.
     """
     present = lambda column: F.when(F.col(column) != 0, F.col(column))
     stamps = F.array(
@@ -176,9 +221,9 @@ def explode_cutouts(alerts: DataFrame) -> DataFrame:
             for k in CUTOUT_KINDS
         ]
     )
-    named = alerts.withColumn(
-        "candid", F.coalesce(present("candid"), present("alertId"), F.monotonically_increasing_id())
-    )
+    hashed = F.xxhash64(*[F.col(f"cutout{k}.stampData") for k in CUTOUT_KINDS])
+    negative = F.when(hashed < 0, hashed).otherwise(-1 - hashed)
+    named = alerts.withColumn("candid", F.coalesce(present("candid"), present("alertId"), negative))
     return (
         named.select("candid", F.inline(stamps))
         .filter(F.octet_length("content") > 0)

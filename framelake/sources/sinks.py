@@ -47,26 +47,37 @@ def sink_text_rows(df: DataFrame, path: str, columns: Sequence[str] | None = Non
 
 def sink_json_report(report: DataFrame, path: str) -> str:
     """A report is one row of structs, arrays and maps; it becomes one JSON document."""
+    if len(report.take(2)) > 1:
+        raise ValueError("a report has one row")
     report.coalesce(1).write.mode("overwrite").json(path)
     return path
 
 
 def sink_publish_run(df: DataFrame, target: str, write=sink_parquet) -> str:
-    """Write beside the target, then put it in place with one rename.
+    """Write beside the target, then put it in place.
 
-    Readers see the old run or the new one. The old target goes only after the new run is
-    complete.
+    The old run steps aside only when the new one is complete, comes back if the new one cannot
+    take its place, and is deleted last. A crash between the two renames leaves it as
+    ``<target>.__old__``, from where the next call restores it before it starts.
     """
     spark = df.sparkSession
     staging = target.rstrip("/") + ".__tmp__"
-    write(df, staging)
     hadoop = spark._jvm.org.apache.hadoop.fs
-    source, final = hadoop.Path(staging), hadoop.Path(target)
+    source, final, aside = (hadoop.Path(p) for p in (staging, target, target.rstrip("/") + ".__old__"))
     fs = final.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(final):
-        fs.delete(final, True)
+    if fs.exists(aside):
+        if fs.exists(final):
+            fs.delete(aside, True)
+        else:
+            fs.rename(aside, final)
+    write(df, staging)
+    if fs.exists(final) and not fs.rename(final, aside):
+        raise RuntimeError(f"could not move {target} aside")
     if not fs.rename(source, final):
+        if fs.exists(aside):
+            fs.rename(aside, final)
         raise RuntimeError(f"could not move {staging} to {target}")
+    fs.delete(aside, True)
     return target
 
 
@@ -89,15 +100,23 @@ def sink_image_files(df: DataFrame, path: str, name: str = "file_name", content:
     """One file per row, below ``path/name=<file name>/``, for tools that need files.
 
     The text writer stores the bytes of its one column as they are and adds a line end, which
-    lies behind the padded image and is not read.
+    lies behind the padded image and is not read. Rows of equal names would share a file, so they
+    are refused.
     """
+    twice = df.groupBy(name).count().filter("count > 1").first()
+    if twice:
+        raise ValueError(f"{twice['count']} rows are named {twice[0]}")
     rows = df.select(F.col(name).alias("name"), F.col(content).cast("string").alias("value"))
     rows.write.mode("overwrite").partitionBy("name").text(path)
     return path
 
 
 def named_image_files(files: DataFrame) -> DataFrame:
-    """Give files written by ``sink_image_files`` the path they stand for."""
-    return files.withColumn(
-        "path", F.regexp_replace("path", r"/name=([^/]*)/[^/]*$", "/$1")
-    )
+    """Give files written by ``sink_image_files`` the path they stand for, escapes undone.
+
+    File names are escaped once by the writer and once more in the path column.
+    """
+    folder = F.regexp_extract("path", r"^(.*)/name=[^/]*/[^/]*$", 1)
+    name = F.regexp_extract("path", r"/name=([^/]*)/[^/]*$", 1)
+    plain = lambda text: F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
+    return files.withColumn("path", F.concat(folder, F.lit("/"), plain(name)))

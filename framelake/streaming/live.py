@@ -1,7 +1,8 @@
 """Running views over arriving files, with Structured Streaming.
 
-State is one global aggregate row per query. Every query has its own checkpoint in the shared
-folder. ``availableNow`` drains what has arrived and stops; pass another trigger to stay live.
+State is one global aggregate row per query. ``availableNow`` drains what has arrived and stops.
+With a checkpoint folder of the caller's the next call goes on where this one stopped; without one,
+each call counts from the start. Any other trigger stays live: the running query is returned.
 """
 
 from __future__ import annotations
@@ -9,7 +10,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.streaming import StreamingQuery
 
 from framelake import schemas
 from framelake.plans.medallion import bronze
@@ -49,41 +51,61 @@ def stream_images(spark: SparkSession, path: str, recursive: bool = True,
     return reader.load(path)
 
 
-def _latest(stream: DataFrame, label: str, trigger: Mapping) -> DataFrame:
-    """Run a global aggregate in complete mode and return the table of its last result.
+def _drains(trigger: Mapping) -> bool:
+    return bool(trigger.get("availableNow") or trigger.get("once"))
+
+
+def _latest(stream: DataFrame, label: str, trigger: Mapping,
+            checkpoint: str | None = None) -> DataFrame | StreamingQuery:
+    """Run a global aggregate in complete mode and return its last result, or the live query.
 
     The result is one row, so the in-memory table that keeps it stays that small however much
-    arrives. No data means no batch and an empty table.
+    arrives. It is written beside the checkpoint: a restart without new data gives the last result.
+    No data at all gives an empty table. A live query's results are in the table of its name.
     """
     spark = stream.sparkSession
+    folder = checkpoint or new_folder(spark, f"{label}-checkpoint")
     name = f"{label}_{uuid.uuid4().hex}"
     query = (
         stream.writeStream.outputMode("complete").format("memory").queryName(name)
-        .option("checkpointLocation", new_folder(spark, f"{label}-checkpoint"))
+        .option("checkpointLocation", f"{folder}/state")
         .trigger(**trigger).start()
     )
+    if not _drains(trigger):
+        return query
     query.awaitTermination()
-    return spark.table(name)
+    found, last = spark.table(name), f"{folder}/last"
+    if not found.isEmpty():
+        found.write.mode("overwrite").parquet(last)
+    path = spark._jvm.org.apache.hadoop.fs.Path(last)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return found
+    return spark.read.schema(found.schema).parquet(last)
 
 
-def live_bronze_count(rows: DataFrame, out: str = "bronze_rows", trigger: Mapping = DRAIN):
-    return _latest(rows.agg(F.count(F.lit(1)).alias(out)), "bronze_count", trigger)
+def live_bronze_count(rows: DataFrame, out: str = "bronze_rows", trigger: Mapping = DRAIN,
+                      checkpoint: str | None = None):
+    return _latest(rows.agg(F.count(F.lit(1)).alias(out)), "bronze_count", trigger, checkpoint)
 
 
-def live_gold_stats(rows: DataFrame, objects: str, quality: str, trigger: Mapping = DRAIN):
+def live_gold_stats(rows: DataFrame, objects: str, quality: str, trigger: Mapping = DRAIN,
+                    checkpoint: str | None = None, valid: Column | None = None):
+    """Count, mean objects and best quality; of rows that meet ``valid``, if given."""
+    rows = rows if valid is None else rows.filter(valid)
     stats = rows.agg(
         F.count(F.lit(1)).alias("gold_rows"),
         F.avg(objects).alias("avg_objects"),
         F.max(quality).alias("max_quality"),
     )
-    return _latest(stats, "gold_stats", trigger)
+    return _latest(stats, "gold_stats", trigger, checkpoint)
 
 
 def live_pending_gold(bronze_rows: DataFrame, gold_rows: DataFrame, objects: str, quality: str,
-                      trigger: Mapping = DRAIN) -> DataFrame:
+                      checkpoint: str | None = None) -> DataFrame:
     """The monitor line: bronze count, gold statistics if any, and ``ready`` or ``pending``."""
-    done = live_bronze_count(bronze_rows, trigger=trigger)
-    gold = live_gold_stats(gold_rows, objects, quality, trigger)
+    below = lambda part: f"{checkpoint}/{part}" if checkpoint else None
+    done = live_bronze_count(bronze_rows, checkpoint=below("bronze"))
+    gold = live_gold_stats(gold_rows, objects, quality, checkpoint=below("gold"))
     # Two one-row tables side by side; the right one may be empty.
     return (
         done.withColumn("_one", F.lit(1))
@@ -98,12 +120,15 @@ def live_pending_gold(bronze_rows: DataFrame, gold_rows: DataFrame, objects: str
 def live_bronze_ingest(files: DataFrame, target: str, checkpoint: str, trigger: Mapping = DRAIN):
     """Turn arriving image files into bronze rows in ``target``, each file once.
 
-    The checkpoint remembers the files already taken: starting again continues with new ones.
+    The checkpoint remembers the files already taken: starting again continues with new ones. A
+    trigger that stays live gives the running query.
     """
     query = (
         bronze(files).writeStream.outputMode("append").format("parquet")
         .option("path", target).option("checkpointLocation", checkpoint)
         .trigger(**trigger).start()
     )
+    if not _drains(trigger):
+        return query
     query.awaitTermination()
     return files.sparkSession.read.schema(schemas.BRONZE).parquet(target)

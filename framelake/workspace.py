@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,13 +15,13 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local-mode session may fall back to a folder of its own: on a cluster a machine-local
-    folder would be lost with its executor.
+    Only a session within one process, ``local`` or ``local[...]``, may fall back to a folder of its
+    own: elsewhere a machine-local folder would be lost with its executor.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
@@ -28,8 +29,20 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def run_folder(spark: SparkSession) -> str:
+    """Where all intermediate tables of this application lie."""
+    return f"{shared_root(spark)}/framelake/{spark.sparkContext.applicationId}"
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/framelake/{label}-{uuid.uuid4().hex}"
+    return f"{run_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def drop_run(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application. DataFrames that read them are void then,
+    so call it when the results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:

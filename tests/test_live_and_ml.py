@@ -35,6 +35,27 @@ def test_gold_pending_then_ready(spark, tmp_path):
     assert tuple(watch()) == (2, 1, 3.0, 0.5, "ready")
 
 
+def test_a_monitor_restarts_and_stays_live(spark, tmp_path):
+    folder, state = f"{tmp_path}/gold", f"{tmp_path}/state"
+    rows = spark.range(100).selectExpr("cast(id as int) objects", "id / 100 as quality")
+    rows.filter("objects < 60").write.parquet(folder)
+    watch = lambda **options: live.live_gold_stats(
+        live.stream_parquet(spark, folder, rows.schema), "objects", "quality", checkpoint=state, **options
+    )
+    assert watch().first()["gold_rows"] == 60
+    assert watch().first()["gold_rows"] == 60  # nothing new
+    rows.filter("objects >= 60").write.mode("append").parquet(folder)
+    assert watch().first()["gold_rows"] == 100
+    query = live.live_bronze_count(
+        live.stream_parquet(spark, folder, rows.schema), trigger={"processingTime": "1 second"}
+    )
+    try:
+        query.processAllAvailable()
+        assert query.isActive and spark.table(query.name).first()[0] == 100
+    finally:
+        query.stop()
+
+
 def test_images_are_ingested_once(spark, tmp_path):
     raw = tmp_path / "raw"
     raw.mkdir()

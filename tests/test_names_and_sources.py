@@ -1,5 +1,7 @@
 """Path rules, source specifications, sinks."""
 
+import gzip
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from framelake import schemas
 from framelake.functions import naming
 from framelake.operators import aggregates, history, relational
 from framelake.plans import catalog
-from framelake.sources import sinks, specs, tables
+from framelake.sources import images, sinks, specs, tables
 
 
 def of_path(spark, path, **columns):
@@ -155,3 +157,72 @@ def test_shared_folder(spark):
         workspace.shared_root(cluster)
     local = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master="local[2]", applicationId="b"))
     assert workspace.shared_root(local) == workspace.shared_root(local)
+
+
+def test_all_members_of_a_gzip_stream(spark):
+    data = gzip.compress(b"abc") + gzip.compress(b"def")
+    df = spark.createDataFrame([(1, data), (2, b"x"), (3, None), (4, b""), (5, data[:20])], "k int, content binary")
+    found = {r["k"]: r["content"] for r in images.inflate_stamps(df).collect()}
+    assert found == {1: b"abcdef", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_fallback_ids_follow_the_content(spark):
+    stamp = "struct<stampData:binary>"
+    schema = f"candid long, alertId long, cutoutScience {stamp}, cutoutTemplate {stamp}, cutoutDifference {stamp}"
+    rows = [(0, None, (bytes([i]),), None, None) for i in range(9)]
+    ids = lambda n: sorted(r["candid"] for r in images.explode_cutouts(spark.createDataFrame(rows, schema).repartition(n)).collect())
+    assert ids(1) == ids(4) and len(set(ids(1))) == 9 and max(ids(1)) < 0
+
+
+def test_image_file_names(spark, tmp_path):
+    rows = [("x:y%.fits", b"one"), ("a+b c.fits", b"two")]
+    df = spark.createDataFrame(rows, "file_name string, content binary")
+    path = sinks.sink_image_files(df, f"{tmp_path}/named")
+    back = sinks.named_image_files(tables.scan_binary(spark, path, recursive=True)).collect()
+    assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]).strip() for r in back} == dict(rows)
+    with pytest.raises(ValueError):
+        sinks.sink_image_files(df.union(df), f"{tmp_path}/twice")
+
+
+def test_a_failed_publish_keeps_the_old_run(spark, tmp_path):
+    target = f"{tmp_path}/run"
+    sinks.sink_publish_run(spark.range(3), target)
+
+    def broken(df, path):
+        raise OSError("disk")
+
+    with pytest.raises(OSError):
+        sinks.sink_publish_run(spark.range(5), target, broken)
+    assert spark.read.parquet(target).count() == 3
+    # A crash between the renames: the old run lies aside and comes back with the next call.
+    (tmp_path / "run").rename(tmp_path / "run.__old__")
+    with pytest.raises(OSError):
+        sinks.sink_publish_run(spark.range(5), target, broken)
+    assert spark.read.parquet(target).count() == 3
+    sinks.sink_publish_run(spark.range(5), target)
+    assert spark.read.parquet(target).count() == 5 and not (tmp_path / "run.__old__").exists()
+
+
+def test_a_partition_function_is_called_once_per_partition(spark):
+    def tally(pairs):
+        yield "n", sum(1 for _ in pairs)
+
+    files = spark.range(50).selectExpr("cast(id as string) as path", "cast('x' as binary) as content").repartition(2)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        rows = images.map_files(files, tally, schemas.struct(path=schemas.STRING, n=schemas.INT)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(rows) == 2 and sum(r["n"] for r in rows) == 50
+
+
+def test_shared_folder_rules(spark, monkeypatch):
+    from framelake import workspace
+
+    assert workspace.new_folder(spark, "x").startswith(workspace.run_folder(spark))
+    other = spark.newSession()
+    other.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "local-cluster[2,1,1024]"))
+    monkeypatch.setattr(type(other.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(RuntimeError):
+        workspace.shared_root(other)

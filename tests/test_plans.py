@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framelake import registry
-from framelake.operators import frames, labeling
+from framelake.operators import aggregates, frames, labeling
+from framelake.plans.detection import detection_report
 from framelake.registry.derived import frames as frame_table, image_files
 from framelake.plans import medallion
 
@@ -61,7 +62,13 @@ def test_triplets_need_two_shuffles(spark, sf):
 
 
 def test_pivot_is_one_shuffle(spark, sf):
-    assert shuffles(registry.QUERIES["pivot_first"](spark, sf)) == 1
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    pick = lambda metrics: aggregates.pivot_first(
+        orders, "o_custkey", "o_orderstatus", ["F", "O"], metrics, "o_orderkey"
+    )
+    assert shuffles(pick(["o_totalprice", "o_orderpriority"])) == 1
+    numbers = plan(pick(["o_totalprice"]))
+    assert shuffles(pick(["o_totalprice"])) == 1 and "SortAggregate" not in numbers and "Sort [" not in numbers
 
 
 def test_layout_by_key_serves_the_aggregate(spark, sf):
@@ -87,6 +94,29 @@ def test_filters_do_not_copy_staged_arrays(spark, sf):
     assert plan(catalog).count("ArrowEvalPython") == 1
 
 
+@pytest.mark.parametrize("make", [
+    lambda f: frames.frame_stats(f, "pixels"),
+    lambda f: frames.light_stats(f, "pixels"),
+    lambda f: labeling.detect(f, "pixels", 8, 1.5, 2.5, 0.5),
+    lambda f: frames.bronze_features(f.withColumn("path", F.lit("a")).withColumn("vec_id", F.col("vec_id")), "path", "pixels"),
+    lambda f: detection_report(f.withColumn("path", F.col("vec_id").cast("string")), "path", "pixels", 8),
+], ids=["frame_stats", "light_stats", "detect", "bronze_features", "detection_report"])
+def test_key_filters_reach_the_scan_and_arrays_are_sorted_once(spark, sf, make):
+    out = make(frame_table(spark, sf))
+    key = "vec_id" if "vec_id" in out.columns else "file_path"
+    text = plan(out.filter(F.col(key) == (5 if key == "vec_id" else "5")))
+    if key == "vec_id":
+        assert "EqualTo(vec_id,5)" in text.split("PushedFilters")[1][:120]
+    stat = next(c for c in ("bright_pixels", "num_objects", "total_objects") if c in out.columns)
+    text = plan(out.filter(F.col(stat) > 0))
+    sorts = 2 if stat == "total_objects" else 1  # pixels, and for the noise their deviations
+    assert text.count("sort_array") == sorts and text.count("ArrowEvalPython") == (stat == "total_objects")
+
+
+def test_decoding_comes_before_any_shuffle(spark, sf):
+    assert "Exchange" not in plan(medallion.bronze(image_files(spark, sf)))
+
+
 def test_bronze_has_one_python_stage(spark, sf):
     text = plan(medallion.bronze(image_files(spark, sf)))
     assert text.count("MapInArrow") == 2  # encoding the derived files, decoding them

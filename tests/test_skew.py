@@ -73,6 +73,33 @@ def test_long_frame_stats(skewed):
     )
 
 
+def test_no_keys_on_both_sides(skewed):
+    for limit in (skew.MAX_GROUP_ROWS, SMALL):
+        median = skew.group_medians(skewed, [], "v", max_group_rows=limit).collect()
+        values = [r["v"] for r in skewed.collect() if r["v"] is not None]
+        assert [r["median"] for r in median] == [pytest.approx(np.median(values))]
+        stats = skew.long_frame_stats(skewed, [], "v", limit).collect()
+        sub = np.array(values) - np.median(values)
+        assert len(stats) == 1 and stats[0]["n_valid"] == len(values)
+        assert stats[0]["std_sub"] == pytest.approx(sub.std())
+
+
+def test_many_hot_keys(spark):
+    rows = spark.range(0, 600).selectExpr("id div 3 as g", "id % 3 as v")
+    out = skew.group_medians(rows, ["g"], "v", max_group_rows=2)
+    assert out.agg(F.count(F.lit(1)), F.min("median"), F.max("median")).first() == (200, 1.0, 1.0)
+
+
+def test_rounds_of_a_long_chain(spark, monkeypatch):
+    """Parts in raster order, each touching the next: rounds follow the logarithm."""
+    tables = []
+    plain = labeling.materialize
+    monkeypatch.setattr(labeling, "materialize", lambda df, label: tables.append(label) or plain(df, label))
+    pairs = spark.range(1000).selectExpr("'a' as k", "id as _low", "id + 1 as _high")
+    roots = labeling._merge_in_rounds(pairs, ["k"]).collect()
+    assert len(roots) == 1001 and {r["_root"] for r in roots} == {0} and len(tables) < 25
+
+
 def test_long_frame_stats_matches_numpy(spark):
     rng = np.random.default_rng(3)
     data = {k: rng.normal(100, 5, 500 + k) for k in range(3)}
@@ -144,5 +171,9 @@ def test_pivot_picks_one_row_per_kind(spark):
     out = {r["k"]: r for r in aggregates.pivot_first(df, "k", "kind", ["X", "Y"], ["m", "n"], "path").collect()}
     assert (out["a"]["X_m"], out["a"]["X_n"], out["a"]["Y_m"]) == (None, 7, 1.0)
     assert out["b"]["Y_m"] is None
+    lost = spark.createDataFrame([("k", "A", None, 1.0), ("k", "A", 3, 2.0), ("j", "A", None, 5.0)], "k string, kind string, n int, m double")
+    for tie in (F.col("n"), F.col("n").cast("string"), F.col("n").cast("double")):
+        out = aggregates.pivot_first(lost.withColumn("n", tie), "k", "kind", ["A"], ["m"], "n").collect()
+        assert {r["k"]: r["A_m"] for r in out} == {"k": 2.0, "j": 5.0}
     kept = aggregates.silver_triplets(df, "k", "kind", ["X", "Y"], ["n"], "path").collect()
     assert [tuple(r) for r in kept] == [("a", 7, 2)]
