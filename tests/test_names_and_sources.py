@@ -216,13 +216,20 @@ def test_a_partition_function_is_called_once_per_partition(spark):
     assert len(rows) == 2 and sum(r["n"] for r in rows) == 50
 
 
-def test_shared_folder_rules(spark, monkeypatch):
+def test_shared_folder_rules(spark):
+    from types import SimpleNamespace
+
     from framelake import workspace
 
     assert workspace.new_folder(spark, "x").startswith(workspace.run_folder(spark))
-    other = spark.newSession()
-    other.conf.unset("spark.checkpoint.dir")
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "local-cluster[2,1,1024]"))
-    monkeypatch.setattr(type(other.conf), "get", lambda self, key, default=None: default)
-    with pytest.raises(RuntimeError):
-        workspace.shared_root(other)
+
+    def session(master, root=None):
+        return SimpleNamespace(
+            conf=SimpleNamespace(get=lambda key, default=None: root or default),
+            sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"),
+        )
+
+    assert workspace.shared_root(session("spark://x:7077", "hdfs://store/tmp/")) == "hdfs://store/tmp"
+    for master in ("local-cluster[2,1,1024]", "spark://x:7077", "yarn"):
+        with pytest.raises(RuntimeError):
+            workspace.shared_root(session(master))
