@@ -102,13 +102,13 @@ def paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", F.expr(PATH).alias("path"))
 
 
-def _image_bytes(pixels: np.ndarray) -> bytes:
+def image_bytes(pixels: np.ndarray, side: int = SIDE) -> bytes:
     cards = [
         "SIMPLE  =                    T",
         "BITPIX  =                  -32",
         "NAXIS   =                    2",
-        f"NAXIS1  = {SIDE:>20}",
-        f"NAXIS2  = {pixels.size // SIDE:>20}",
+        f"NAXIS1  = {side:>20}",
+        f"NAXIS2  = {pixels.size // side:>20}",
         "END",
     ]
     header = "".join(card.ljust(80) for card in cards).encode("ascii")
@@ -122,7 +122,7 @@ def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> Data
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             files = [
-                _image_bytes(np.asarray(row.values, np.float32)) for row in batch.column("pixels")
+                image_bytes(np.asarray(row.values, np.float32)) for row in batch.column("pixels")
             ]
             if gzipped:
                 # Two members each, as concatenated streams have.
