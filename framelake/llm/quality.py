@@ -95,7 +95,8 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, levels:
     away = np.bincount(index, grades[row_of] - grades.mean(), DIMENSIONS)
     common = (often >= support) & (np.abs(away) >= screen * max(grades.std(), 1e-9) * np.sqrt(often))
     common[BUCKETS:] = True  # each row has features of this kind, so none is left empty
-    index, value, row_of = (x[common[index]] for x in (index, value, row_of))
+    kept = common[index]
+    index, value, row_of = index[kept], value[kept].astype(np.float64), row_of[kept]
     used, where = np.unique(index, return_inverse=True)
     starts = np.searchsorted(row_of, np.arange(len(rows)))
     n = len(rows)
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, ratings: DataFrame, levels: int, doc_id: str = "doc_id"
     lists = list(zip(*(
         [np.asarray(x.values) for x in (vectors.field(k) if isinstance(vectors, pa.StructArray) else vectors.chunk(0).field(k))]
         for k in ("index", "value")))) if len(grades) else []
-    return train([(i.astype(np.int64), v.astype(np.float64)) for i, v in lists], grades, levels)
+    return train(lists, grades, levels)
 
 
 def rate(docs: DataFrame, model: CumulativeLink, text: str = "text", grade: int = 1,
