@@ -34,7 +34,6 @@ CLOSES = {
 }
 #: Any other block-level tag closes an open paragraph.
 PARAGRAPH = ({"p"}, {"td", "li", "blockquote", "button"})
-#: Depth beyond which nesting no longer adds to the path; the text there is kept.
 SPACE = re.compile(r"[\s\x85\xa0]+")
 
 

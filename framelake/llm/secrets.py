@@ -93,7 +93,7 @@ class NoveltyScanner:
         found, done, t = [], 0, 0
         for word in SENSITIVE.finditer(text):
             at = max(word.end(), done)
-            while m := CANDIDATE.search(text, at, ):
+            while m := CANDIDATE.search(text, at):
                 if m.start() > word.end() + self.reach:
                     break
                 at = done = m.end()
