@@ -6,8 +6,10 @@ grades share the weights, so a document has one scale, and the expected grade as
 probability of a high grade follow from it.
 
 Features of a text, all taken from the whole of it: the set of its words without punctuation, hashed
-to ``BUCKETS`` presence features; the square roots of its byte frequencies, hashed by byte; the share
-of different words and the mean word length.
+to ``BUCKETS`` presence features; in the same buckets the beginnings that two, or three and more, of
+its different words share, as compounds and inflections of a rated word seldom recur as they are; the
+square roots of its byte frequencies, hashed by byte; the share of different words and the mean word
+length.
 
 The model is fitted on a sample of rated documents, of ``SAMPLE`` at most, those whose ids hash
 lowest: the bound is a parameter, and what comes to the driver is the features of that sample. All
@@ -21,6 +23,7 @@ those with the name of an output column are replaced.
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,6 +39,20 @@ DIMENSIONS = BUCKETS + BYTES + 2
 #: standard errors of a word's screen.
 SAMPLE, SUPPORT, PENALTY, SCREEN = 10_000, 5, 0.0002, 3.5
 PUNCTUATION = b".,;:!?\"'()[]{}|*#$%&<>"
+#: Lengths in bytes of the beginnings that are counted.
+BEGINNINGS = (4, 6, 8)
+
+
+def shared_beginnings(different: set[bytes]) -> list[bytes]:
+    """Beginnings of at least two different words, and again, marked apart, of at least three."""
+    found = []
+    for n in BEGINNINGS:
+        for start, words in Counter([w[:n] for w in different if len(w) >= n]).items():
+            if words > 1:
+                found.append(start + b" 2")
+                if words > 2:
+                    found.append(start + b" 3")
+    return found
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -43,7 +60,8 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     raw = text.encode("utf-8", "surrogatepass") if text else b""
     tokens = raw.lower().translate(None, PUNCTUATION).split()
     different = set(tokens)
-    hashed = np.unique(np.fromiter((xxhash.xxh32_intdigest(w) for w in different), np.int64, len(different)) & (BUCKETS - 1))
+    named = [*different, *shared_beginnings(different)]  # no word holds a space, so the names differ
+    hashed = np.unique(np.fromiter(map(xxhash.xxh32_intdigest, named), np.int64, len(named)) & (BUCKETS - 1))
     frequency = np.bincount(np.frombuffer(raw, np.uint8), minlength=BYTES) / max(len(raw), 1)
     seen = np.flatnonzero(frequency)
     n = max(len(tokens), 1)
@@ -172,6 +190,10 @@ def rate(docs: DataFrame, model: CumulativeLink, text: str = "text", grade: int
 
 
 def graded(labels: DataFrame) -> DataFrame:
-    """Grades of ``labels``: 0 for poor quality, 1 for toxic documents of good quality, 2 for good ones."""
-    return labels.select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1)
+    """Grades of ``labels``: 0 for toxic documents, 1 for others of poor quality, 2 for good ones.
+
+    Toxic is the lowest grade, so that evidence of it adds up without a bound: between the others it
+    would have to stay within their band, too weak to outweigh an otherwise fine text.
+    """
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, 0).when(F.col("quality") == 0, 1)
                          .when(F.col("quality") == 1, 2).alias("grade"))
