@@ -80,3 +80,39 @@ def test_odd_and_empty_documents(spark, sf):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
             docs.collect()
+
+
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i:i + corpus_pipeline.SHINGLE]) for i in range(len(words) - corpus_pipeline.SHINGLE + 1)}
+
+
+def pair_of(rng, changes, words=300):
+    """A text and a copy with some words changed, and their exact Jaccard similarity."""
+    text = [f"w{rng.randrange(100_000)}" for _ in range(words)]
+    copy = list(text)
+    for at in rng.sample(range(words), changes):
+        copy[at] = f"c{rng.randrange(100_000)}"
+    a, b = " ".join(text), " ".join(copy)
+    return a, b, len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in enumerate(texts)],
+                                 "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_near_fingerprints_of_different_texts_stay(spark, sf):
+    rng, texts = random.Random(3), []
+    while len(texts) < 8:
+        a, b, similarity = pair_of(rng, 12)
+        prints = [simhash.fingerprint(t, corpus_pipeline.SHINGLE) for t in (a, b)]
+        if similarity < 0.78 and (prints[0] ^ prints[1]).bit_count() <= corpus_pipeline.BITS:
+            texts += [a, b]
+    assert corpus_pipeline.near_dedup(spark, frame(spark, texts), sf).count() == 8
+
+
+def test_slices_of_a_bucket_meet(spark):
+    texts = [" ".join(f"w{i}" for i in range(300)) + f" end{k}" for k in range(40)]
+    for cell, weight in ((4096, 1 << 19), (8, 1 << 19), (4096, 1000)):
+        assert simhash.one_per_group(frame(spark, texts), shingle=5, threshold=7, cell=cell, weight=weight).count() == 1
