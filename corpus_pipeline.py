@@ -19,8 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least probability of the highest grade that keeps a document.
 LEAST_TAIL = 0.5
-#: Near-duplicates: five-word shingles, fingerprints within seven of 64 bits. By the angle that seven
-#: bits stand for, cos(7 pi / 64), that is an estimated similarity of 0.89 of two shingle sets.
+#: Near-duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more. Fingerprints within seven
+#: of 64 bits and bands of minimum hashes propose the pairs.
 SHINGLE, BITS = 5, 7
 
 

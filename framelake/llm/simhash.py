@@ -9,7 +9,8 @@ fingerprints, each is a guest where the other is at home, so comparing homes wit
 finds every pair. Per anchor a spanning forest of the links leaves the task, never all pairs.
 
 ``one_per_group``, which deletes, takes such links as proposals only and confirms them by the exact
-Jaccard similarity of the shingle sets.
+Jaccard similarity of the shingle sets. As fingerprints of a pair at 0.8 differ by ten bits on average,
+bands of minimum hashes of the sets propose pairs as well; ``BANDS`` states what they miss.
 
 Only different fingerprints are compared: exact copies share one. An anchor with more than ``CELL``
 fingerprints is cut into cells of home slices and guest slices, so a task's memory and work per cell
@@ -38,6 +39,10 @@ BITS = 64
 CELL = 4096
 #: Least Jaccard similarity of near copies, and most shingle hashes in a slice of a bucket (8 bytes each).
 SIMILARITY, WEIGHT = 0.8, 1 << 19
+#: Bands of minimum hashes, and minima a band. Sets of similarity s agree in a band with chance s**ROWS,
+#: so a pair at 0.8 shares no band with chance (1 - 0.8**5)**20 = 0.04 %, and one at 0.85 with 0.001 %.
+BANDS, ROWS = 20, 5
+_DRAWN = np.random.default_rng(6).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 #: Shingles whose bits are summed at a time, so that long texts need little memory.
 CHUNK = 1 << 16
 
@@ -286,24 +291,35 @@ def set_key(own: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
 
 
-MARKS = "doc_id long, fp long, key long, size long"
+def bands_of(own: np.ndarray) -> np.ndarray:
+    """A hash per band of the least values that ``ROWS`` seeded hashes take on the set; longs."""
+    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(own), 4096):
+        least = np.minimum(least, (own[at:at + 4096] * (_DRAWN[0] | np.uint64(1)) + _DRAWN[1]).min(1))
+    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))],
+                    np.uint64).view(np.int64)
+
+
+MARKS = "doc_id long, fp long, key long, size long, bands array<bigint>"
 
 
 def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``MARKS`` per row: fingerprint, key and size of the text's shingle set."""
+    """``MARKS`` per row: fingerprint, and key, size and bands of the text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, keys, sizes = [], [], []
+            fps, keys, sizes, bands = [], [], [], []
             for value in batch.column(1):
                 chunks = list(shingle_hashes(value.as_py(), shingle))
                 own = shingle_set(chunks)
                 fps.append(simhash_of(chunks))
                 keys.append(set_key(own))
                 sizes.append(len(own))
+                bands.append(bands_of(own))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                 pa.array(keys, pa.int64()), pa.array(sizes, pa.int64())], schema=schema_of(MARKS))
+                 pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
+                schema=schema_of(MARKS))
 
     return docs.select(doc_id, text).mapInArrow(run, MARKS)
 
@@ -408,21 +424,35 @@ def anchor_members(distinct: DataFrame, threshold: int, cell: int) -> DataFrame:
     return several.union(ends.join(firsts, "fp").select("bucket", "key"))
 
 
+def band_members(distinct: DataFrame) -> DataFrame:
+    """(bucket, key): texts that agree in a band share a bucket.
+
+    A bucket whose texts all agree in one earlier band too would compare the same pairs again; it is left out.
+    """
+    placed = distinct.select("key", F.posexplode("bands").alias("band", "bucket"))
+    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    placed = materialize(placed.join(shared, "bucket", "left_semi"), "shared-bands")
+    same = [(F.min(F.col("bands")[i]) == F.max(F.col("bands")[i])).alias(f"same{i}") for i in range(BANDS)]
+    fresh = placed.join(distinct.select("key", "bands"), "key").groupBy("bucket").agg(F.min("band").alias("band"), *same) \
+        .filter(~F.exists(F.slice(F.array(*(f"same{i}" for i in range(BANDS))), 1, F.col("band")), lambda x: x))
+    return placed.join(fresh.select("bucket"), "bucket", "left_semi").select("bucket", "key")
+
+
 def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
                   threshold: int = 3, cell: int = CELL, similarity: float = SIMILARITY, weight: int = WEIGHT) -> DataFrame:
     """``docs`` with one row of each group of near copies: the one of the smallest id.
 
     Near copies are texts whose shingle sets have a Jaccard similarity of ``similarity`` or more, and
-    what a chain of them joins. Fingerprints only propose pairs; the sets decide. Rows of equal id and
+    what a chain of them joins. Fingerprints and bands only propose pairs; the sets decide. Rows of equal id and
     shingle set count as copies; one of them stays. A null id comes last, so a group of null ids keeps
     one row too. Texts are not moved unless their row stays a candidate: the rows to keep are found on
     (id, set key) alone.
     """
     narrow = materialize(_marks(docs, doc_id, text, shingle), "fingerprints")
     distinct = materialize(
-        narrow.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("size").alias("size")),
-        "distinct-texts")
-    members = anchor_members(distinct, threshold, cell)
+        narrow.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("size").alias("size"),
+                                  F.any_value("bands").alias("bands")), "distinct-texts")
+    members = anchor_members(distinct, threshold, cell).union(band_members(distinct))
     links = confirmed(docs, distinct, members, doc_id, text, shingle, similarity, cell, weight)
     classes = _rooted(distinct, "key", links)
     # Of each class, the text that holds the smallest id; ties, among null ids, by key.

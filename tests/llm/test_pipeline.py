@@ -116,3 +116,33 @@ def test_slices_of_a_bucket_meet(spark):
     texts = [" ".join(f"w{i}" for i in range(300)) + f" end{k}" for k in range(40)]
     for cell, weight in ((4096, 1 << 19), (8, 1 << 19), (4096, 1000)):
         assert simhash.one_per_group(frame(spark, texts), shingle=5, threshold=7, cell=cell, weight=weight).count() == 1
+
+
+def test_pairs_at_the_similarity_are_found(spark, sf):
+    rng, texts = random.Random(4), []
+    while len(texts) < 160:
+        a, b, similarity = pair_of(rng, 7)
+        if 0.8 <= similarity < 0.83:
+            texts += [a, b]
+    far = sum((simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() > corpus_pipeline.BITS
+              for a, b in zip(texts[::2], texts[1::2]))
+    assert far > 40
+    assert corpus_pipeline.near_dedup(spark, frame(spark, texts), sf).count() == 80
+
+
+def test_groups_equal_exact_jaccard(spark, sf):
+    docs = table(spark, sf, "documents").cache()
+    sets = {r.doc_id: shingles(r.text) or {r.text.lower()} for r in docs.collect() if len(r.text.split()) >= 5}
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if b < a and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and find(a) != find(b):
+                root[max(find(a), find(b))] = min(find(a), find(b))
+    left = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()}
+    assert left & set(sets) == {find(d) for d in sets}
