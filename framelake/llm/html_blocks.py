@@ -6,10 +6,11 @@ import re
 from dataclasses import dataclass
 from html import unescape
 
-#: Elements whose content is never text of the page.
+#: Elements whose content is never text of the page. Only ``svg`` and ``math`` may close themselves.
 SILENT = "script|style|noscript|template|title|textarea|select|svg|math|iframe|object|canvas|audio|video|map"
 TOKEN = re.compile(
-    rf"""<!--.*?(?:-->|$)|<({SILENT})\b(?:"[^"]*"|'[^']*'|[^>"'])*(?:/>|>.*?(?:</\1\s*>|$))"""
+    r"""<!--.*?(?:-->|$)|<(?:svg|math)(?=[\s/>])(?:=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]++)|"[^"]*"|'[^']*'|[^>"'/=]|/(?!>))*+/>"""
+    rf"""|<({SILENT})(?=[\s/>])(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</\1\s*>|$)"""
     r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*(?:>|$)""",
     re.DOTALL | re.IGNORECASE,
 )

@@ -222,6 +222,14 @@ def test_redaction(spark, odd_docs, no_docs):
 
 # 4 Pages ----------------------------------------------------------------------------------------
 
+@pytest.mark.parametrize("tag", [
+    '<svg class="i"/>', "<svg/>", "<math display='a>b' />", "<svg href=/a/b><text>no</text></svg>", "<svg width=10/><g>no</g></svg>",
+    '<svg><path d="x"/>no</svg>', "<video-player src='x'>", "<title-bar>", "<map-view/>", "<select-box></select-box>", "<video/>no</video>",
+])
+def test_silent_elements_end(tag):
+    assert [b.text for b in html_blocks.leaves(f"<p>one</p>{tag}<p>two</p><p>three</p>")] == ["one", "two", "three"]
+
+
 def test_leaves():
     page = html_blocks.leaves(
         "<body><nav><ul><li><a href=x>A</a><li>B</ul></nav><article><h1>T&amp;x</h1><p><b>One \n two<br>3<p>Four"
