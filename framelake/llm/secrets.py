@@ -1,7 +1,8 @@
 """Secret scans by dictionary-primed compression.
 
 Three fixed patterns give the base spans. Further candidates are long runs of key characters
-shortly after a sensitive word. Each is compressed by zstandard with a raw dictionary made of
+shortly after a sensitive word, or after a candidate that was reported; of a run that a base span
+touches, the parts outside it. Each is compressed by zstandard with a raw dictionary made of
 common identifiers and the text around it: an identifier, a path or a word that the surroundings
 already hold costs few bytes, a random string costs about its length. Candidates whose marginal
 bytes reach ``novelty`` of their length are reported as ``novel``.
@@ -15,6 +16,7 @@ the output replaces them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import zstandard
 from pyspark.sql import DataFrame, functions as F
@@ -53,10 +55,20 @@ IDENTIFIERS = (
 ).encode()
 
 
+def outside(taken: list[tuple[int, int]], first: int, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Parts of a span that the sorted spans from ``first`` on leave."""
+    while start < end and first < len(taken) and taken[first][0] < end:
+        if taken[first][0] > start:
+            yield start, taken[first][0]
+        start, first = max(start, taken[first][1]), first + 1
+    if start < end:
+        yield start, end
+
+
 class NoveltyScanner:
     """Spans of one text. ``context`` and ``reach`` are in characters.
 
-    A candidate starts at most ``reach`` characters after the end of a sensitive word.
+    A candidate starts at most ``reach`` characters after the end of a sensitive word or a novel candidate.
     """
 
     def __init__(self, minimum: int = 16, reach: int = 48, context: int = 1024, novelty: float = 0.85):
@@ -85,25 +97,39 @@ class NoveltyScanner:
         return len(compressor.compress(candidate.encode())) - len(compressor.compress(b""))
 
     def novel(self, text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        """Incompressible candidates in a sensitive context that no base span touches."""
+        """Incompressible candidates in a sensitive context, without the parts that base spans take.
+
+        A novel candidate carries its context on from its end, so a secret of many lines is followed to
+        its close, with the shorter last line of a wrapped one.
+        """
         lower = text.lower()
         if not any(stem in lower for stem in STEMS):
             return []
         taken = sorted((s, e) for s, e, _ in base)
         found, done, t = [], 0, 0
         for word in SENSITIVE.finditer(text):
-            at = max(word.end(), done)
+            at, limit = max(word.end(), done), word.end() + self.reach
             while m := CANDIDATE.search(text, at):
-                if m.start() > word.end() + self.reach:
+                if m.start() > limit:
                     break
                 at = done = m.end()
                 while t < len(taken) and taken[t][1] <= m.start():
                     t += 1
-                free = t == len(taken) or taken[t][0] >= m.end()
-                if free and self.is_novel(text, *m.span()):
-                    found.append((*m.span(), "novel"))
+                for start, end in outside(taken, t, *m.span()):
+                    if self.is_novel(text, start, end) or self.ends_lines(text, start, end, found):
+                        found.append((start, end, "novel"))
+                        limit = end + self.reach
         return found
 
+    @staticmethod
+    def ends_lines(text: str, start: int, end: int, found: list[tuple[int, int, str]]) -> bool:
+        """Whether a line is the rest of the two novel lines of one length right before it."""
+        if len(found) < 2 or text[start] == "-":
+            return False
+        (a, b, _), (c, d, _) = found[-2:]
+        between, after = (text[b:c], text[d:start]), text[end:end + 1]
+        return b - a == d - c > end - start and all("\n" in x and not x.strip() for x in between) and after in ("", "\n", "\r")
+
     def is_novel(self, text: str, start: int, end: int) -> bool:
         value = text[start:end].strip(".=-/")
         kinds = sum(any(test(c) for c in value) for test in (str.isdigit, str.islower, str.isupper))
