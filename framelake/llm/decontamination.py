@@ -8,9 +8,9 @@ words is left; matches are found and extended by rolling Karp-Rabin hashes and c
 words. The share of an item's words under tiles is its coverage, so passages in another order count
 in full. Documents that cover an item by ``coverage`` or more are contaminated.
 
-Items are the query set; they come in blocks of at most ``block_words`` words, chosen by hash, and
-each block meets all documents in one pass, so that a task holds one block however large the
-benchmark is. An item with fewer than ``match`` words is matched as a whole.
+Items are the query set. Their different texts come in blocks of about ``block_words`` words, chosen
+by hash, and each block meets all documents in one pass, so that a task holds one block however large
+the benchmark is and however often it repeats a text; the ids of the items are joined to what is found. An item with fewer than ``match`` words is matched as a whole.
 
 Nulls: null texts have no words; such documents match nothing and such items are left out. Repeated
 documents give a row each; repeated items too. Of tiles of equal length the first in the document
@@ -94,7 +94,7 @@ def tile(doc: list[bytes], item: list[bytes], match: int) -> list[tuple[int, int
 class SeedIndex:
     """Runs of a block of items as sorted hashes with the item and place of each."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], match: int):
+    def __init__(self, items: list[tuple[str, list[bytes]]], match: int):
         self.items, self.match = items, match
         self.groups = []  # by length of run: items shorter than ``match`` are runs of their own length
         for n in sorted({min(match, len(t)) for _, t in items}):
@@ -131,23 +131,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
                  item_id: str = "item_id", item_text: str = "text", match: int = MATCH,
                  coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, item_id, tiles, covered, coverage, longest per document and item that reach ``coverage``."""
-    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    total = items.agg(F.coalesce(F.sum(word_count("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / block_words))
+    items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.sha2(item_text, 256).alias("item"))
+    texts, blocks = _different_texts(benchmark, item_text, block_words)
     found = None
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
-        rows = [(r.item_id, t) for r in block if (t := folded_words(r.text))]
+        block = texts.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        rows = [(r.item, t) for r in block if (t := folded_words(r.text))]
         part = _against_block(docs.select(doc_id, text), rows, match, coverage)
         if blocks > 1:
             part = materialize(part, "tiles")  # one block in memory at a time
         found = part if found is None else found.union(part)
-    return found
+    return found.join(items, "item").select("doc_id", "item_id", "tiles", "covered", "coverage", "longest")
 
 
-def _against_block(docs: DataFrame, rows: list[tuple[int, list[bytes]]], match: int, coverage: float) -> DataFrame:
+def _different_texts(benchmark: DataFrame, item_text: str, block_words: int) -> tuple[DataFrame, int]:
+    """(text, item) per different text of the items, item being its digest; and the number of blocks."""
+    texts = materialize(benchmark.select(F.col(item_text).alias("text")).filter("text IS NOT NULL").distinct()
+                        .withColumn("item", F.sha2("text", 256)), "item-texts")
+    total = texts.agg(F.coalesce(F.sum(word_count("text")), F.lit(0))).first()[0]
+    return texts, max(1, math.ceil(total / block_words))
+
+
+def _against_block(docs: DataFrame, rows: list[tuple[str, list[bytes]]], match: int, coverage: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rows)
-    fields = "doc_id long, item_id long, tiles long, covered long, coverage double, longest long"
+    fields = "doc_id long, item string, tiles long, covered long, coverage double, longest long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
@@ -177,13 +184,11 @@ def is_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", f
     Only for a benchmark of one block; with more, each block adds its flag in turn.
     """
     match, coverage = settings.get("match", MATCH), settings.get("coverage", COVERAGE)
-    items = benchmark.select(F.col(item_text).alias("text"))
-    total = items.agg(F.coalesce(F.sum(word_count("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(total / settings.get("block_words", BLOCK_WORDS)))
+    texts, blocks = _different_texts(benchmark, item_text, settings.get("block_words", BLOCK_WORDS))
     out = docs.withColumn(flag, F.lit(False))
     for k in range(blocks):
-        block = items.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
-        shared = docs.sparkSession.sparkContext.broadcast([(0, t) for r in block if (t := folded_words(r.text))])
+        block = texts.filter(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).collect()
+        shared = docs.sparkSession.sparkContext.broadcast([("", t) for r in block if (t := folded_words(r.text))])
         out = out.withColumn(flag, F.col(flag) | _flag(shared, match, coverage)(F.col(text)))
         if blocks > 1:
             out = materialize(out, "flagged")

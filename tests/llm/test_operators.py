@@ -596,6 +596,21 @@ def test_planted_passages(spark):
         assert Counter((r.doc_id, r.contaminated) for r in flags) == Counter({(1, True): 1, (2, False): 1, (3, True): 2, (4, False): 1, (5, False): 1})
 
 
+def test_repeated_items_fill_no_block(spark, monkeypatch):
+    hot = " ".join(f"h{i}" for i in range(20))
+    items = spark.createDataFrame([(7, hot)] * 60 + [(8, hot)] + [(100 + k, " ".join(f"k{k}x{i}" for i in range(20))) for k in range(10)],
+                                  "item_id long, text string")
+    docs, sizes = spark.createDataFrame([(1, hot), (2, "other")], "doc_id long, text string"), []
+    against, flag = decontamination._against_block, decontamination._flag
+    monkeypatch.setattr(decontamination, "_against_block", lambda d, rows, *a: sizes.append(len(rows)) or against(d, rows, *a))
+    monkeypatch.setattr(decontamination, "_flag", lambda shared, *a: sizes.append(len(shared.value)) or flag(shared, *a))
+    found = decontamination.contaminated(docs, items, block_words=100).collect()
+    assert Counter((r.doc_id, r.item_id) for r in found) == Counter({(1, 7): 60, (1, 8): 1})
+    flags = decontamination.is_contaminated(docs, items, block_words=100).collect()
+    assert {r.doc_id: r.contaminated for r in flags} == {1: True, 2: False}
+    assert sum(sizes) == 2 * 11
+
+
 def test_leaks_of_all_documents(spark, sf, texts):
     items = {r.item_id: [w.lower() for w in split(r.text)] for r in table(spark, sf, "benchmark").collect()}
     found = {(r.doc_id, r.item_id) for r in QUERIES["op10_benchmark_decontamination"](spark, sf).collect()}
