@@ -1,7 +1,7 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes the sequence of its leaf blocks. Each block is a vector of its hashed tag path, its
-hashed words, and a few measures such as length and link density. A bidirectional LSTM in NumPy reads
+hashed words (all of them, as counts of unit length), and a few measures such as length and link density. A bidirectional LSTM in NumPy reads
 the sequence both ways and labels every block as main text or not, so a block is judged with the
 whole page around it. Blocks labelled main text are joined in page order.
 
@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame
 from framelake.llm.common import schema_of
 from framelake.llm.html_blocks import Leaf, leaves
 
-PATH, WORDS, MEASURES, HIDDEN = 256, 64, 8, 24
+PATH, WORDS, MEASURES, HIDDEN = 256, 1024, 8, 24
 INPUT = PATH + WORDS + MEASURES
 #: Made pages to learn from, training steps, pages a step, and pages whose blocks are read together.
 TRAINING_PAGES, STEPS, BATCH, GROUP = 3000, 600, 24, 128
 #: Blocks in one padded array at most: long pages go alone.
-CELLS = 60_000
+CELLS = 16_000
 
 
 @lru_cache(maxsize=1 << 16)
@@ -42,9 +42,16 @@ def _slot(name: str, size: int) -> int:
     return xxhash.xxh32_intdigest(name.encode(), 7) % size
 
 
+@lru_cache(maxsize=1 << 16)
+def _word_slot(token: str) -> int:
+    """A word without the punctuation around it; 'surrogatepass' as pages may hold anything."""
+    return xxhash.xxh32_intdigest(token.strip(".,;:!?()\"'").encode("utf-8", "surrogatepass"), 7) % WORDS
+
+
 def vectors(page: list[Leaf]) -> np.ndarray:
     """One row a block."""
     out = np.zeros((len(page), INPUT), np.float32)
+    slots, counts = [], []
     for i, leaf in enumerate(page):
         row = out[i]
         for name in leaf.path:
@@ -52,13 +59,18 @@ def vectors(page: list[Leaf]) -> np.ndarray:
         if leaf.path:  # the element itself, apart from those around it
             row[_slot("=" + leaf.path[-1], PATH)] = 1.0
         tokens = leaf.text.lower().split()
-        for token in tokens[:1] + tokens[-1:] if len(tokens) > 12 else tokens:
-            row[PATH + _slot(token, WORDS)] = 0.5
+        slots += [_word_slot(token) for token in tokens]
+        counts.append(len(tokens))
         size = len(leaf.text)
         row[PATH + WORDS:] = (
             np.log1p(size) / 6, np.log1p(len(tokens)) / 4, min(leaf.linked / size, 1.0),
             sum(map(leaf.text.count, ".,;!?")) / (len(tokens) + 1), leaf.text[-1] in ".!?:", i / len(page),
             1 / (1 + i), "\N{COPYRIGHT SIGN}" in leaf.text)
+    if slots:
+        words = np.zeros((len(page), WORDS), np.float32)
+        np.add.at(words, (np.repeat(np.arange(len(page)), counts), slots), 1)
+        words = np.log1p(words)  # a word that a block repeats does not drown the others
+        out[:, PATH:PATH + WORDS] = words / np.maximum(np.sqrt((words * words).sum(1, keepdims=True)), 0.5)
     return out
 
 
@@ -170,6 +182,19 @@ ROLES = {
     "share": ["share", "social", "sharing", "buttons", "follow"],
 }
 MAIN = ["content", "main", "article", "post", "entry", "story", "article-body", "post-content", "entry-content", "text", "body"]
+# Words of their own that the texts of containers bear, some of them in each block.
+SPEECH = {
+    "nav": "home menu about contact products services blog news archive topics start kontakt inicio accueil",
+    "header": "welcome official logo menu login search edition",
+    "footer": "copyright rights reserved privacy policy terms imprint contact legal sitemap impressum datenschutz aviso",
+    "aside": "related recommended popular trending stories read latest tags posts week",
+    "notice": "cookies cookie consent accept agree privacy preferences partners experience settings subscribe newsletter "
+              "inbox javascript browser zustimmen akzeptieren aceptar accepter",
+    "advert": "sponsored advertisement buy now offer sale discount deal free shipping order today save limited anzeige publicidad",
+    "form": "search email name password login sign submit send address required register",
+    "comments": "reply replies says thanks comment comments agree great wrote ago love lol guest",
+    "share": "share tweet facebook twitter email print follow link copy whatsapp",
+}
 TAGS = {"nav": ["nav", "div", "ul", "header"], "header": ["header", "div"], "footer": ["footer", "div"],
         "aside": ["aside", "div", "section"], "notice": ["div", "section", "aside", "p"], "advert": ["div", "aside", "section", "p"],
         "form": ["form"], "comments": ["div", "section", "ol", "ul"], "share": ["div", "ul"]}
@@ -180,12 +205,20 @@ class PageMaker:
 
     def __init__(self, seed: int):
         self.rng = random.Random(seed)
+        self.common = [""]
 
-    def words(self, low: int, high: int) -> str:
-        pick = self.rng.choice
+    def words(self, low: int, high: int, own: str = "") -> str:
+        """Invented words; of a container with words of its own, often some of these."""
+        pick, often = self.rng.choice, self.rng.choice([0.0, 0.2, 0.5]) if own else 0.0
+        own = own.split()
         syllables = ["an", "the", "re", "on", "st", "er", "in", "ou", "la", "de", "que", "sch", "ion", "en", "ti", "ar", "é", "ü", "os"]
-        made = ["".join(pick(syllables) for _ in range(self.rng.randint(1, 4))) for _ in range(self.rng.randint(low, high))]
-        text = ""
+        made = [pick(own) if often and self.rng.random() < often else
+                pick(self.common) if self.rng.random() < 0.4 else "".join(pick(syllables) for _ in range(self.rng.randint(1, 4))) for _ in range(self.rng.randint(low, high))]
+        text, odd = "", self.rng.random()
+        if odd < 0.04:  # lists by signs, and repeated words, are main text as often as not
+            return pick([" | ", " - ", " / ", " * "]).join(made)
+        if odd < 0.07:
+            made = [pick(made[:2]) for _ in made]
         for k, word in enumerate(made):
             text += word + (pick([". ", ", ", " ", " ", " ", " ", " ", " "]) if k < len(made) - 1 else "")
         return text.capitalize() + (pick([".", ".", ".", "", "!", "?"]) if len(made) > 4 else "")
@@ -201,13 +234,13 @@ class PageMaker:
         plain = tag in ("nav", "header", "footer", "aside", "form")
         out: list[tuple[str, int | None]] = [(f"<{tag}{self.attributes(ROLES[role], 0.5 if plain else 1.0)}>", None)]
         if role == "comments":
-            out += [(f"<h3>{self.words(1, 3)}</h3>", 0)]
+            out += [(f"<h3>{self.words(1, 3, SPEECH[role])}</h3>", 0)]
         lists = role in ("nav", "share") or role in ("aside", "footer", "header") and self.rng.random() < 0.6
         item = "li" if lists else self.rng.choice(["p", "div", "p", "span"])
         if lists and tag not in ("ul", "ol"):
             out.append(("<ul>", None))
         for _ in range(self.rng.randint(1, 8) if lists or role == "comments" else self.rng.randint(1, 3)):
-            text = self.words(1, 3) if lists else self.words(3, 40)
+            text = self.words(1, 3, SPEECH[role]) if lists else self.words(3, 40, SPEECH[role])
             text = f'<a href="/{text[:3]}">{text}</a>' if lists or self.rng.random() < 0.2 else text
             if role == "footer" and self.rng.random() < 0.6:
                 text = "&copy; " + text
@@ -220,10 +253,16 @@ class PageMaker:
         if lists and tag not in ("ul", "ol"):
             out.append(("</ul>", None))
         if role == "form":
-            out.append((f"<label>{self.words(1, 3)}</label><input type=text>", 0))
-            out.append((f"<button>{self.words(1, 2)}</button>", 0))
+            out.append((f"<label>{self.words(1, 3, SPEECH[role])}</label><input type=text>", 0))
+            out.append((f"<button>{self.words(1, 2, SPEECH[role])}</button>", 0))
         return [*out, (f"</{tag}>", None)]
 
+    def spoken(self) -> str:
+        """A long paragraph of a notice, an advert or a comment, half of it in its own words at least."""
+        own = SPEECH[self.rng.choice(["notice", "advert", "comments"])].split()
+        made = [w for n in range(self.rng.randint(6, 20)) for w in (self.rng.choice(own), self.words(1, 1).lower())]
+        return " ".join(made).capitalize() + "."
+
     def article(self) -> list[tuple[str, int | None]]:
         tag = self.rng.choice(["article", "article", "article", "main", "div", "section"])
         out: list[tuple[str, int | None]] = [(f"<{tag}{self.attributes(MAIN, 0.4 if tag in ('article', 'main') else 1.0)}>", None)]
@@ -252,8 +291,10 @@ class PageMaker:
                 out += [("<table><tr>", None), (f"<td>{self.words(1, 4)}</td>", 1), (f"<td>{self.words(1, 4)}</td>", 1), ("</tr></table>", None)]
             elif kind < 0.96:
                 out.append((f'<p>{self.words(3, 10)} <a href="/x">{self.words(1, 3)}</a> {self.words(3, 20)}</p>', 1))
-            else:
+            elif kind < 0.98:
                 out += self.boilerplate(self.rng.choice(["advert", "aside", "share", "notice", "form"]))
+            else:  # nothing around it tells, only its words
+                out.append((f"<p>{self.spoken()}</p>", 0))
         if inner:
             out.append(("</div>", None))
         return [*out, (f"</{tag}>", None)]
@@ -261,6 +302,8 @@ class PageMaker:
     def page(self) -> tuple[str, list[int]]:
         """A page, and a label for each block that ``leaves`` finds in it."""
         rng = self.rng
+        # Each page has frequent words of its own, so that no slot of a common word stands for main text or not.
+        self.common = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzéüñ", k=rng.randint(1, 9))) for _ in range(40)]
         above = [r for r in ("header", "nav", "notice", "advert", "share", "form", "aside") if rng.random() < 0.4]
         below = [r for r in ("advert", "share", "aside", "comments", "form", "notice", "nav", "footer") if rng.random() < 0.4]
         pieces: list[tuple[str, int | None]] = [("<!DOCTYPE html><html><head><title>x</title></head><body>", None)]

@@ -246,6 +246,18 @@ def test_silent_elements_end(tag):
     assert [b.text for b in html_blocks.leaves(f"<p>one</p>{tag}<p>two</p><p>three</p>")] == ["one", "two", "three"]
 
 
+def test_all_words_of_a_block_count():
+    middle = ["we use cookies and our partners ask your consent to privacy settings accept cookies for experience",
+              "lare stion enti de oslare quest inla arde tien ouan sten ostlaan erti quede enstar inou"]
+    pages = [html_blocks.leaves(f"<body><article><h1>Deon Laer</h1><p>Stion oude an re lade tien os.</p><p>Aren {m} inde.</p>"
+                                "<p>Quer ston lade ti an re enou.</p></article></body>") for m in middle]
+    notice, prose = map(html_extraction.vectors, pages)
+    words = slice(html_extraction.PATH, html_extraction.PATH + html_extraction.WORDS)
+    assert (notice[2, words] != prose[2, words]).sum() > 10
+    chances = html_extraction.trained().label([notice, prose])
+    assert chances[0][2] < 0.5 < chances[1][2]
+
+
 def test_leaves():
     page = html_blocks.leaves(
         "<body><nav><ul><li><a href=x>A</a><li>B</ul></nav><article><h1>T&amp;x</h1><p><b>One \n two<br>3<p>Four"
