@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from framelake.llm import (
-    decontamination, html_extraction, mixing, perplexity, quality, secrets, simhash, token_counts, transcripts,
-    url_filters,
+    byte_bpe, code_compression, decontamination, html_extraction, mixing, perplexity, quality, secrets, simhash,
+    token_counts, transcripts, url_filters, va_clusters, vector_sql,
 )
 from framelake.llm.common import table
 
@@ -80,3 +80,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_benchmark_decontamination")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op11_centroid_clustering", vector_sql.clusters())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return va_clusters.cluster(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_vector_code_compression", vector_sql.codes())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_compression.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_byte_bpe")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digest(table(spark, sf_dir, "documents"))
