@@ -2,16 +2,15 @@
 
 A text is cut into pre-tokens by the vocabulary's pattern, and each pre-token is merged on its own. Its
 bytes form a linked list. Every neighbouring pair that the vocabulary holds stands in the bucket of its
-rank, by the position of its first part. Bitmaps over the ranks, words of 64 bits in as many levels as
-the vocabulary needs, tell which buckets hold something: a find-first-set per level gives the lowest
-rank, and the bucket its leftmost position. A merge relinks three nodes and puts at most two new pairs
+rank, by the position of its first part. Two levels of bitmaps over the ranks tell which buckets hold
+something: a find-first-set in each gives the lowest rank, and the bucket its leftmost position. A merge relinks three nodes and puts at most two new pairs
 into their buckets; pairs that it breaks stay where they are and are skipped when their turn comes. So a
 pre-token of n bytes costs some n log n steps, however long it is, where a search for the best pair after
 each merge would cost n squared.
 
 A rank is a token's id, and the lowest rank goes first, the leftmost of equal ones; a pre-token that is a
-token as a whole is taken as it is. Pre-tokens of up to ``CACHED_BYTES`` bytes are remembered, up to
-``CACHED`` of them in a worker at a time; that changes the time only.
+token as a whole is taken as it is. Pre-tokens of up to ``CACHED_BYTES`` bytes are remembered, in two
+generations of ``CACHED`` in a worker; that changes the time only.
 
 Nulls: a null text has no tokens, as an empty one; null ids decode to no bytes. Ids that the vocabulary
 lacks, or a null among them, make the decoded bytes null. Repeated rows give a row each, an empty table an
@@ -31,9 +30,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-WORD_BITS = 64
-#: Pre-tokens that a worker remembers at a time, and the longest of them.
-CACHED, CACHED_BYTES = 1 << 18, 64
+#: Bits of a bitmap word; two levels of them hold 65,536 ranks.
+SHIFT = 8
+WORD = 1 << SHIFT
+#: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
+CACHED, CACHED_BYTES = 1 << 17, 64
 
 
 def default_vocabulary() -> str:
@@ -47,49 +48,45 @@ def read_vocabulary(path: str | None = None) -> bytes:
 
 
 class RankQueue:
-    """Positions by rank: the lowest rank first, the leftmost position within a rank."""
+    """Positions by rank: the lowest rank first, the leftmost position within a rank.
+
+    ``words`` has a bit per bucket and ``top`` a bit per word that is not zero, so two find-first-set
+    steps give the lowest rank. Buckets are heaps and are empty between pre-tokens, so that nothing is set
+    up for a new one.
+    """
 
     def __init__(self, ranks: int):
-        self.buckets: dict[int, list[int]] = {}
-        self.levels: list[list[int]] = []
-        size = max(1, ranks)
-        while not self.levels or size > 1:
-            size = -(-size // WORD_BITS)
-            self.levels.append([0] * size)
+        if ranks > WORD * WORD:
+            raise ValueError(f"two levels hold {WORD * WORD} ranks")
+        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.words = [0] * -(-ranks // WORD)
+        self.top = 0
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
+        bucket = self.buckets[rank]
         if bucket:
             heappush(bucket, position)
             return
-        self.buckets[rank] = [position]
-        at = rank
-        for words in self.levels:
-            at, bit = at >> 6, at & 63
-            filled = words[at]
-            words[at] = filled | 1 << bit
-            if filled:  # the levels above know of this word
-                return
-
-    def pop(self) -> tuple[int, int] | None:
-        """(rank, position), or None when nothing is left."""
-        at = 0
-        for words in reversed(self.levels):
-            word = words[at]
-            if not word:
-                return None
-            at = at << 6 | (word & -word).bit_length() - 1
-        bucket = self.buckets[at]
+        bucket.append(position)
+        word = rank >> SHIFT
+        if not self.words[word]:
+            self.top |= 1 << word
+        self.words[word] |= 1 << (rank & WORD - 1)
+
+    def pop(self) -> tuple[int, int]:
+        """(rank, position); there must be one."""
+        top = self.top
+        word = (top & -top).bit_length() - 1
+        bits = self.words[word]
+        lowest = bits & -bits
+        rank = word << SHIFT | lowest.bit_length() - 1
+        bucket = self.buckets[rank]
         position = heappop(bucket)
         if not bucket:
-            del self.buckets[at]
-            low = at
-            for words in self.levels:
-                low, bit = low >> 6, low & 63
-                words[low] &= ~(1 << bit)
-                if words[low]:
-                    break
-        return at, position
+            self.words[word] = bits = bits ^ lowest
+            if not bits:
+                self.top = top & top - 1
+        return rank, position
 
 
 class Codec:
@@ -104,61 +101,75 @@ class Codec:
         self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(max(self.tokens) + 1)
         self.split = regex.compile(pattern).findall
-        self.cache: dict[str, list[int]] = {}
+        self.single = [self.ranks.get(bytes([value])) for value in range(256)]
+        #: Rank of two bytes, or -1.
+        self.couple = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
+        self.recent: dict[str, list[int]] = {}
+        self.before: dict[str, list[int]] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, n, longest = self.ranks, len(piece), self.longest
+        ranks, n, longest, queue = self.ranks, len(piece), self.longest, self.queue
         if piece in ranks:
             return [ranks[piece]]
-        rank_of, push, pop = ranks.get, self.queue.push, self.queue.pop
+        rank_of, push, pop, couple = ranks.get, queue.push, queue.pop, self.couple
         following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # rank of the pair that begins here; -1 where there is none
-        for at in range(n - 1):
-            rank = rank_of(piece[at:at + 2])
-            if rank is not None:
-                pair[at] = rank
+        tokens = [self.single[value] for value in piece]
+        # Rank of the pair that begins here; -1 where there is none.
+        pair = [couple[a][b] for a, b in zip(piece, piece[1:])]
+        for at, rank in enumerate(pair):
+            if rank >= 0:
                 push(rank, at)
-        while (first := pop()) is not None:
-            rank, at = first
+        pair.append(-1)
+        while queue.top:
+            rank, at = pop()
             if pair[at] != rank:
                 continue  # stale: one of its parts went into another pair
             gone = following[at]
-            end = following[gone]
-            following[at], pair[gone], pair[at] = end, -1, -1
+            following[at] = end = following[gone]
+            tokens[at], pair[gone] = rank, -1
+            made = None
             if end < n:
                 preceding[end] = at
                 stop = following[end]
-                if stop - at <= longest and (rank := rank_of(piece[at:stop])) is not None:
-                    pair[at] = rank
-                    push(rank, at)
-            before = preceding[at]
-            if before >= 0:
-                pair[before] = -1
-                if end - before <= longest and (rank := rank_of(piece[before:end])) is not None:
-                    pair[before] = rank
-                    push(rank, before)
+                if stop - at <= longest:
+                    made = rank_of(piece[at:stop])
+            if made is None:
+                pair[at] = -1
+            else:
+                pair[at] = made
+                push(made, at)
+            if at:
+                left = preceding[at]
+                made = rank_of(piece[left:end]) if end - left <= longest else None
+                if made is None:
+                    pair[left] = -1
+                else:
+                    pair[left] = made
+                    push(made, left)
         ids, at = [], 0
         while at < n:
-            end = following[at]
-            ids.append(ranks[piece[at:end]])
-            at = end
+            ids.append(tokens[at])
+            at = following[at]
+        return ids
+
+    def remembered(self, part: str) -> list[int]:
+        """Ids of a pre-token that is not among the recent ones."""
+        ids = self.before.get(part)
+        if ids is None:
+            piece = part.encode("utf-8", "surrogatepass")
+            ids = self.merge(piece)
+            if len(piece) > CACHED_BYTES:
+                return ids
+        if len(self.recent) >= CACHED:
+            self.before, self.recent = self.recent, {}
+        self.recent[part] = ids
         return ids
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        cache, ids = self.cache, []
-        for part in self.split(text):
-            known = cache.get(part)
-            if known is None:
-                piece = part.encode("utf-8", "surrogatepass")
-                known = self.merge(piece)
-                if len(piece) <= CACHED_BYTES:
-                    if len(cache) >= CACHED:
-                        cache.clear()
-                    cache[part] = known
-            ids += known
+        ids: list[int] = []
+        for part in self.split(text) if text else ():
+            ids += self.recent.get(part) or self.remembered(part)
         return ids
 
     def decode(self, ids: Iterable[int] | None) -> bytes | None:
