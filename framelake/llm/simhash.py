@@ -8,9 +8,8 @@ every anchor within the covering radius plus the block's threshold, two bits. Of
 fingerprints, each is a guest where the other is at home, so comparing homes with guests per anchor
 finds every pair. Per anchor a spanning forest of the links leaves the task, never all pairs.
 
-``one_per_group``, which deletes, takes such links as proposals only and confirms them by the exact
-Jaccard similarity of the shingle sets. As fingerprints of a pair at 0.8 differ by ten bits on average,
-bands of minimum hashes of the sets propose pairs as well; ``BANDS`` states what they miss.
+``first_of_groups`` keeps one row of each group of linked fingerprints: the one of the smallest id, of equal ids
+the one whose row hashes lowest, and one of rows that are equal in all columns. A null id comes last.
 
 Only different fingerprints are compared: exact copies share one. An anchor with more than ``CELL``
 fingerprints is cut into cells of home slices and guest slices, so a task's memory and work per cell
@@ -37,12 +36,6 @@ from framelake.workspace import materialize
 BITS = 64
 #: Most homes, and most guests, that one cell compares.
 CELL = 4096
-#: Least Jaccard similarity of near copies, and most shingle hashes in a slice of a bucket (8 bytes each).
-SIMILARITY, WEIGHT = 0.8, 1 << 19
-#: Bands of minimum hashes, and minima a band. Sets of similarity s agree in a band with chance s**ROWS,
-#: so a pair at 0.8 shares no band with chance (1 - 0.8**5)**20 = 0.04 %, and one at 0.85 with 0.001 %.
-BANDS, ROWS = 20, 5
-_DRAWN = np.random.default_rng(6).integers(0, 1 << 64, (2, BANDS * ROWS, 1), np.uint64)
 #: Shingles whose bits are summed at a time, so that long texts need little memory.
 CHUNK = 1 << 16
 
@@ -280,194 +273,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         "doc_id", "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def shingle_set(chunks: Iterable[np.ndarray]) -> np.ndarray:
-    """Different hashes, ascending."""
-    chunks = list(chunks)
-    return np.unique(np.concatenate(chunks)) if chunks else np.zeros(0, np.uint64)
-
-
-def set_key(own: np.ndarray) -> int:
-    """XXH64 of a shingle set as a signed long: texts of one key count as one text."""
-    return xxhash.xxh64_intdigest(own.tobytes(), 42) - (1 << 63)
-
-
-def bands_of(own: np.ndarray) -> np.ndarray:
-    """A hash per band of the least values that ``ROWS`` seeded hashes take on the set; longs."""
-    least = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
-    for at in range(0, len(own), 4096):
-        least = np.minimum(least, (own[at:at + 4096] * (_DRAWN[0] | np.uint64(1)) + _DRAWN[1]).min(1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, ROWS))],
-                    np.uint64).view(np.int64)
-
-
-MARKS = "doc_id long, fp long, key long, size long, bands array<bigint>"
-
-
-def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``MARKS`` per row: fingerprint, and key, size and bands of the text's shingle set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            fps, keys, sizes, bands = [], [], [], []
-            for value in batch.column(1):
-                chunks = list(shingle_hashes(value.as_py(), shingle))
-                own = shingle_set(chunks)
-                fps.append(simhash_of(chunks))
-                keys.append(set_key(own))
-                sizes.append(len(own))
-                bands.append(bands_of(own))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)),
-                 pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
-                schema=schema_of(MARKS))
-
-    return docs.select(doc_id, text).mapInArrow(run, MARKS)
-
-
-def _shingle_sets(docs: DataFrame, text: str, shingle: int) -> DataFrame:
-    """(key, hashes) per row: the shingle set as the bytes of its sorted hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(shingle_hashes(value.as_py(), shingle)) for value in batch.column(0)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(map(set_key, sets), pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())],
-                schema=schema_of("key long, hashes binary"))
-
-    return docs.select(text).mapInArrow(run, "key long, hashes binary")
-
-
-def similar(rows: list[tuple[int, int, np.ndarray]], similarity: float) -> list[tuple[int, int]]:
-    """Links that span what pairs of sets of Jaccard ``similarity`` or more connect.
-
-    Rows are (slice, key, set). Where there are two slices, only pairs across them are compared.
-    """
-    rows = [r for r in rows if len(r[2])]
-    if len(rows) < 2:
-        return []
-    side, keys = np.array([r[0] for r in rows]), [r[1] for r in rows]
-    across = bool((side != side[0]).any())
-    sizes = np.array([len(r[2]) for r in rows])
-    ends = np.cumsum(sizes)
-    starts = ends - sizes
-    values, ids = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)
-    own, label, found = np.zeros(len(values), np.int32), np.arange(len(rows)), []
-    for x in range(1, len(rows)):
-        mine = ids[starts[x]:ends[x]]
-        own[mine] = 1
-        common = np.add.reduceat(own[ids[:starts[x]]], starts[:x])
-        own[mine] = 0
-        hits = common / (sizes[:x] + sizes[x] - common) >= similarity
-        if across:
-            hits &= side[:x] != side[x]
-        for y in np.flatnonzero(hits).tolist() if hits.any() else ():
-            if label[y] != label[x]:
-                found.append((keys[x], keys[y]))
-                label[label == label[y]] = label[x]
-    return found
-
-
-def _compare_sets(similarity: float):
-    """A function over Arrow batches sorted by cell: (a, b) from the sets of each cell."""
-
-    def links(rows: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        if found := similar(rows, similarity):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], schema=schema_of("a long, b long"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, last = [], None
-        for batch in batches:
-            cells = zip(*(batch.column(k).to_pylist() for k in ("bucket", "low", "high")))
-            for cell, part, key, hashes in zip(cells, *(batch.column(k).to_pylist() for k in ("slice", "key", "hashes"))):
-                if cell != last:
-                    yield from links(rows)
-                    rows, last = [], cell
-                rows.append((part, key, np.frombuffer(hashes, np.uint64)))
-        yield from links(rows)
-
-    return run
-
-
-def confirmed(docs: DataFrame, distinct: DataFrame, members: DataFrame, doc_id: str, text: str, shingle: int,
-              similarity: float, cell: int, weight: int) -> DataFrame:
-    """(a, b): keys whose shingle sets share ``similarity`` or more, of those that share a bucket.
+def first_of_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
+                    threshold: int = 3, cell: int = CELL) -> DataFrame:
+    """``docs`` with one row of each group of near copies, as ``near_duplicates`` groups them.
 
-    ``members`` has (bucket, key). Sets are written once, one row per different text. A bucket of more
-    than ``cell`` texts or ``weight`` hashes is cut into slices that meet in pairs, one pair a cell.
+    Groups and the rows to keep are found on (id, hash of the row, fingerprint); each text is read once for
+    its fingerprint and moved once, to meet the list of rows to keep.
     """
-    members = materialize(members.join(distinct.select("key", "size"), "key").distinct(), "bucket-members")
-    full = materialize(
-        members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("hashes"))
-        .filter((F.col("n") > cell) | (F.col("hashes") > weight))
-        .select("bucket", F.ceil(F.greatest(F.col("n") / cell, F.col("hashes") / weight)).cast("int").alias("slices")),
-        "full-buckets")
-    other = F.col("other")
-    cells = members.join(full, "bucket", "left").withColumn("slices", F.coalesce("slices", F.lit(1))).withColumn(
-        "slice", F.pmod(F.xxhash64("key", F.lit(3)), F.col("slices")).cast("int")).select(
-        "key", "bucket", "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")).select(
-        "key", "bucket", "slice", F.least("slice", other).alias("low"), F.greatest("slice", other).alias("high"))
-    wanted = materialize(members.select("key").distinct().join(distinct.select("key", "first_id"), "key"), "wanted-sets")
-    picked = docs.join(wanted.select("first_id").distinct(), docs[doc_id].eqNullSafe(F.col("first_id")), "left_semi")
-    sets = materialize(_shingle_sets(picked, text, shingle).join(wanted, "key", "left_semi").dropDuplicates(["key"]),
-                       "shingle-sets")
-    order = ["bucket", "low", "high"]
-    dealt = cells.join(sets, "key").repartition(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(_compare_sets(similarity), "a long, b long").distinct()
-
-
-def anchor_members(distinct: DataFrame, threshold: int, cell: int) -> DataFrame:
-    """(bucket, key): texts of one fingerprint share a bucket, and first texts of linked fingerprints."""
-    links = near_links(distinct.select("fp").distinct(), threshold, cell)
-    firsts = distinct.groupBy("fp").agg(F.min("key").alias("key"), F.count("*").alias("n"))
-    several = distinct.join(firsts.filter("n > 1").select("fp"), "fp").select(F.xxhash64("fp").alias("bucket"), "key")
-    ends = links.select(F.xxhash64("a", "b").alias("bucket"), F.explode(F.array("a", "b")).alias("fp"))
-    return several.union(ends.join(firsts, "fp").select("bucket", "key"))
-
-
-def band_members(distinct: DataFrame) -> DataFrame:
-    """(bucket, key): texts that agree in a band share a bucket.
-
-    A bucket whose texts all agree in one earlier band too would compare the same pairs again; it is left out.
-    """
-    placed = distinct.select("key", F.posexplode("bands").alias("band", "bucket"))
-    shared = placed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    placed = materialize(placed.join(shared, "bucket", "left_semi"), "shared-bands")
-    same = [(F.min(F.col("bands")[i]) == F.max(F.col("bands")[i])).alias(f"same{i}") for i in range(BANDS)]
-    fresh = placed.join(distinct.select("key", "bands"), "key").groupBy("bucket").agg(F.min("band").alias("band"), *same) \
-        .filter(~F.exists(F.slice(F.array(*(f"same{i}" for i in range(BANDS))), 1, F.col("band")), lambda x: x))
-    return placed.join(fresh.select("bucket"), "bucket", "left_semi").select("bucket", "key")
-
-
-def one_per_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3,
-                  threshold: int = 3, cell: int = CELL, similarity: float = SIMILARITY, weight: int = WEIGHT) -> DataFrame:
-    """``docs`` with one row of each group of near copies: the one of the smallest id.
-
-    Near copies are texts whose shingle sets have a Jaccard similarity of ``similarity`` or more, and
-    what a chain of them joins. Fingerprints and bands only propose pairs; the sets decide. Rows of equal id and
-    shingle set count as copies; one of them stays. A null id comes last, so a group of null ids keeps
-    one row too. Texts are not moved unless their row stays a candidate: the rows to keep are found on
-    (id, set key) alone.
-    """
-    narrow = materialize(_marks(docs, doc_id, text, shingle), "fingerprints")
-    distinct = materialize(
-        narrow.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("fp").alias("fp"), F.min("size").alias("size"),
-                                  F.any_value("bands").alias("bands")), "distinct-texts")
-    members = anchor_members(distinct, threshold, cell).union(band_members(distinct))
-    links = confirmed(docs, distinct, members, doc_id, text, shingle, similarity, cell, weight)
-    classes = _rooted(distinct, "key", links)
-    # Of each class, the text that holds the smallest id; ties, among null ids, by key.
-    best = classes.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "key")).alias("best"))
-    keep = materialize(best.select(F.col("best.first_id").alias("keep_id"), F.col("best.key").alias("keep_key")), "kept")
-    candidates = with_keys(docs, text, shingle).join(
-        keep, (F.col("__key") == F.col("keep_key")) & F.col(doc_id).eqNullSafe(F.col("keep_id")), "left_semi")
-    return candidates.dropDuplicates([doc_id, "__key"]).drop("__key")
-
-
-def with_keys(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """``docs`` with the key of each text's shingle set in ``__key``."""
+    mark = next(name for n in range(len(docs.columns) + 1) if (name := f"__row{n}") not in docs.columns)
 
     @F.arrow_udf("bigint")
-    def mark(texts: pa.Array) -> pa.Array:
-        return pa.array([set_key(shingle_set(shingle_hashes(t.as_py(), shingle))) for t in texts], pa.int64())
-
-    return docs.withColumn("__key", mark(F.col(text)))
+    def print_of(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64).view(np.int64))
+
+    place = F.struct(F.col(doc_id).isNull().alias("last"), F.col(doc_id).alias("id"), F.xxhash64(*docs.columns).alias("row"))
+    narrow = materialize(docs.select(place.alias("place"), print_of(F.col(text)).alias("fp")), "fingerprints")
+    # Copies are combined where they are, so a group of any size is one row from here on.
+    distinct = materialize(narrow.groupBy("fp").agg(F.min("place").alias("first_id")), "distinct-fingerprints")
+    best = _classes(distinct, threshold, cell).groupBy("root").agg(F.min("first_id").alias("best"))
+    keep = materialize(best.select(F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row")), "kept")
+    marked = docs.withColumn(mark, F.xxhash64(*docs.columns))
+    kept = marked.join(keep, marked[doc_id].eqNullSafe(keep["keep_id"]) & (marked[mark] == keep["keep_row"]), "left_semi")
+    return kept.dropDuplicates([doc_id, mark]).drop(mark)

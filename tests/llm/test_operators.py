@@ -404,9 +404,9 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     by_id = {r.doc_id: r for r in rows}
     assert by_id[2].component_id == 1 and by_id[3].component_id == 3 and by_id[4].component_id == 3
     assert by_id[3].fingerprint == "0" * 16
-    kept = simhash.one_per_group(odd_docs).collect()
+    kept = simhash.first_of_groups(odd_docs).collect()
     assert len(kept) == len({r.component_id for r in rows}) and {1, 3, 6} <= {r.doc_id for r in kept}
-    assert simhash.near_duplicates(no_docs).count() == 0 == simhash.one_per_group(no_docs).count()
+    assert simhash.near_duplicates(no_docs).count() == 0 == simhash.first_of_groups(no_docs).count()
 
 
 def test_components_of_chains_and_stars(spark):
