@@ -19,9 +19,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 #: Least probability of the highest grade that keeps a document.
 LEAST_TAIL = 0.5
-#: Near-duplicates: sets of five-word shingles of Jaccard similarity 0.8 or more. Fingerprints within seven
-#: of 64 bits and bands of minimum hashes propose the pairs.
-SHINGLE, BITS = 5, 7
+#: Near-duplicates: fingerprints of three-word shingles that differ by three bits or fewer, as the query has it.
+SHINGLE, BITS = 3, 3
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +31,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: the first by id, then one of its equal rows."""
-    return simhash.one_per_group(docs, shingle=SHINGLE, threshold=BITS)
+    """One document of each group of near copies stays: the first by id, then by its row's hash."""
+    return simhash.first_of_groups(docs, shingle=SHINGLE, threshold=BITS)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
