@@ -24,6 +24,7 @@ import importlib.util
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heappop, heappush
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -33,8 +34,10 @@ from pyspark.sql import DataFrame, functions as F
 #: Bits of a bitmap word; two levels of them hold 65,536 ranks.
 SHIFT = 8
 WORD = 1 << SHIFT
+BIT = [1 << i for i in range(WORD)]
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
-CACHED, CACHED_BYTES = 1 << 17, 64
+CACHED, CACHED_BYTES = 1 << 18, 64
+FOLLOWING, PRECEDING = list(range(1, CACHED_BYTES + 1)), list(range(-1, CACHED_BYTES - 1))
 
 
 def default_vocabulary() -> str:
@@ -48,11 +51,11 @@ def read_vocabulary(path: str | None = None) -> bytes:
 
 
 class RankQueue:
-    """Positions by rank: the lowest rank first, the leftmost position within a rank.
+    """Buckets of positions by rank, heaps each, and bitmaps of those that hold something.
 
-    ``words`` has a bit per bucket and ``top`` a bit per word that is not zero, so two find-first-set
-    steps give the lowest rank. Buckets are heaps and are empty between pre-tokens, so that nothing is set
-    up for a new one.
+    ``words`` has a bit per bucket. A third part, a bit per word that is not zero, belongs to the pre-token
+    that is being merged: everything here is empty between pre-tokens, so that nothing is set up for a new
+    one. ``Codec.merge`` works on the parts directly, as a call per step would cost as much as the step.
     """
 
     def __init__(self, ranks: int):
@@ -60,33 +63,6 @@ class RankQueue:
             raise ValueError(f"two levels hold {WORD * WORD} ranks")
         self.buckets: list[list[int]] = [[] for _ in range(ranks)]
         self.words = [0] * -(-ranks // WORD)
-        self.top = 0
-
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if bucket:
-            heappush(bucket, position)
-            return
-        bucket.append(position)
-        word = rank >> SHIFT
-        if not self.words[word]:
-            self.top |= 1 << word
-        self.words[word] |= 1 << (rank & WORD - 1)
-
-    def pop(self) -> tuple[int, int]:
-        """(rank, position); there must be one."""
-        top = self.top
-        word = (top & -top).bit_length() - 1
-        bits = self.words[word]
-        lowest = bits & -bits
-        rank = word << SHIFT | lowest.bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            self.words[word] = bits = bits ^ lowest
-            if not bits:
-                self.top = top & top - 1
-        return rank, position
 
 
 class Codec:
@@ -98,62 +74,79 @@ class Codec:
         lines = (line.split() for line in vocabulary.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
-        self.longest = max(map(len, self.ranks))
         self.queue = RankQueue(max(self.tokens) + 1)
         self.split = regex.compile(pattern).findall
         self.single = [self.ranks.get(bytes([value])) for value in range(256)]
+        if None in self.single:
+            raise ValueError("the vocabulary lacks single bytes")
         #: Rank of two bytes, or -1.
         self.couple = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
-        self.recent: dict[str, list[int]] = {}
-        self.before: dict[str, list[int]] = {}
+        self.recent: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
 
-    def merge(self, piece: bytes) -> list[int]:
+    def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
-        ranks, n, longest, queue = self.ranks, len(piece), self.longest, self.queue
+        ranks = self.ranks
         if piece in ranks:
-            return [ranks[piece]]
-        rank_of, push, pop, couple = ranks.get, queue.push, queue.pop, self.couple
-        following, preceding = list(range(1, n + 1)), list(range(-1, n - 1))
-        tokens = [self.single[value] for value in piece]
+            return (ranks[piece],)
+        n, rank_of, single, couple = len(piece), ranks.get, self.single, self.couple
+        buckets, words, top = self.queue.buckets, self.queue.words, 0
+        # Short pre-tokens take their places from prepared lists.
+        following = FOLLOWING[:n] if n <= CACHED_BYTES else list(range(1, n + 1))
+        preceding = PRECEDING[:n] if n <= CACHED_BYTES else list(range(-1, n - 1))
+        tokens = [single[value] for value in piece]
         # Rank of the pair that begins here; -1 where there is none.
         pair = [couple[a][b] for a, b in zip(piece, piece[1:])]
         for at, rank in enumerate(pair):
             if rank >= 0:
-                push(rank, at)
+                bucket = buckets[rank]
+                if not bucket:
+                    top |= BIT[rank >> SHIFT]
+                    words[rank >> SHIFT] |= BIT[rank & WORD - 1]
+                bucket.append(at)  # positions rise, so it is a heap
         pair.append(-1)
-        while queue.top:
-            rank, at = pop()
+        while top:
+            # The lowest rank, by a find-first-set in each level, and its leftmost position.
+            word = (top & -top).bit_length() - 1
+            bits = words[word]
+            lowest = bits & -bits
+            rank = word << SHIFT | lowest.bit_length() - 1
+            bucket = buckets[rank]
+            at = heappop(bucket)
+            if not bucket:
+                words[word] = bits = bits ^ lowest
+                if not bits:
+                    top &= top - 1
             if pair[at] != rank:
                 continue  # stale: one of its parts went into another pair
             gone = following[at]
             following[at] = end = following[gone]
-            tokens[at], pair[gone] = rank, -1
-            made = None
+            tokens[at], pair[gone], pair[at] = rank, -1, -1
             if end < n:
                 preceding[end] = at
-                stop = following[end]
-                if stop - at <= longest:
-                    made = rank_of(piece[at:stop])
-            if made is None:
-                pair[at] = -1
-            else:
-                pair[at] = made
-                push(made, at)
+                pair[at] = made = rank_of(piece[at:following[end]], -1)
+                if made >= 0:
+                    bucket = buckets[made]
+                    if not bucket:
+                        top |= BIT[made >> SHIFT]
+                        words[made >> SHIFT] |= BIT[made & WORD - 1]
+                    heappush(bucket, at)
             if at:
                 left = preceding[at]
-                made = rank_of(piece[left:end]) if end - left <= longest else None
-                if made is None:
-                    pair[left] = -1
-                else:
-                    pair[left] = made
-                    push(made, left)
+                pair[left] = made = rank_of(piece[left:end], -1)
+                if made >= 0:
+                    bucket = buckets[made]
+                    if not bucket:
+                        top |= BIT[made >> SHIFT]
+                        words[made >> SHIFT] |= BIT[made & WORD - 1]
+                    heappush(bucket, left)
         ids, at = [], 0
         while at < n:
             ids.append(tokens[at])
             at = following[at]
-        return ids
+        return tuple(ids)
 
-    def remembered(self, part: str) -> list[int]:
+    def remembered(self, part: str) -> tuple[int, ...]:
         """Ids of a pre-token that is not among the recent ones."""
         ids = self.before.get(part)
         if ids is None:
@@ -168,8 +161,13 @@ class Codec:
 
     def encode(self, text: str | None) -> list[int]:
         ids: list[int] = []
+        known = self.recent.get
         for part in self.split(text) if text else ():
-            ids += self.recent.get(part) or self.remembered(part)
+            own = known(part)
+            if own is None:
+                own = self.remembered(part)
+                known = self.recent.get  # another generation, perhaps
+            ids += own
         return ids
 
     def decode(self, ids: Iterable[int] | None) -> bytes | None:
@@ -211,7 +209,8 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
 
 def _lists(rows: list[list[int]]) -> pa.ListArray:
     ends = np.concatenate([[0], np.cumsum([len(row) for row in rows], dtype=np.int64)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array((x for row in rows for x in row), pa.int32()))
+    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary: str | None = None) -> DataFrame:

@@ -211,21 +211,33 @@ def test_very_long_pre_tokens(own, other):
     rng = random.Random(14)
     for text in ("a" * 50_000, "".join(rng.choice("eantis") for _ in range(50_000)), " " * 30_000 + "x", "漢" * 10_000, "!" * 40_000):
         assert own.encode(text) == other.encode_ordinary(text)
-    assert not any(own.queue.buckets) and not any(own.queue.words) and not own.queue.top
+    assert not any(own.queue.buckets) and not any(own.queue.words)
 
 
-def test_rank_queue_is_ordered():
-    rng, queue, waiting = random.Random(15), byte_bpe.RankQueue(50_256), []
-    assert len(queue.words) == 197 and not queue.top
+def plain_merge(ranks, piece):
+    """Merge the pair of the lowest rank, the leftmost of equal ones, until there is none."""
+    parts = [piece[i:i + 1] for i in range(len(piece))]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:
+        at = min(pairs)[1]
+        parts[at:at + 2] = [parts[at] + parts[at + 1]]
+    return tuple(ranks[p] for p in parts)
+
+
+def test_merges_by_a_plain_search(own):
+    rng = random.Random(15)
+    assert len(own.queue.words) == 197 and len(own.queue.buckets) == 50_256
     for _ in range(3000):
-        if waiting and rng.random() < 0.45:
-            waiting.sort()
-            assert queue.pop() == waiting.pop(0)
-        else:
-            item = (rng.choice([rng.randrange(50_256), rng.randrange(70), 50_255]), rng.randrange(1000))
-            waiting.append(item)
-            queue.push(*item)
-    assert [queue.pop() for _ in range(len(waiting))] == sorted(waiting) and not queue.top and not any(queue.words)
+        piece = bytes(rng.choice(rng.choice([b"aeinst", b"ab", b"0123456789", bytes(range(256))])) for _ in range(rng.randrange(1, 40)))
+        if piece not in own.ranks:
+            assert own.merge(piece) == plain_merge(own.ranks, piece)
+
+
+def test_generations_change_nothing(own, monkeypatch):
+    texts = [" ".join(f"w{i % 50} x{i}" for i in range(200)) for _ in range(3)]
+    expected = [own.encode(t) for t in texts]
+    monkeypatch.setattr(byte_bpe, "CACHED", 16)
+    small = byte_bpe.Codec(byte_bpe.read_vocabulary(), public_tokenizers.PATTERN)
+    assert [small.encode(t) for t in texts] == expected and len(small.recent) <= 16 and len(small.before) <= 16
 
 
 def test_lower_ranks_go_before_equal_ones():
