@@ -3,6 +3,7 @@
 from framelake.registry import (  # noqa: F401
     aggregates,
     compositions,
+    files,
     images,
     live,
     machine_learning,

@@ -32,6 +32,18 @@ def _gunzip(data: bytes) -> bytes:
     return gzip.decompress(data)
 
 
+def header_values(block: bytes, values: dict[str, str]) -> bool:
+    """Add the cards of a header block to ``values``, as text; whether the header ends in it."""
+    for start in range(0, BLOCK, CARD):
+        card = block[start : start + CARD].decode("ascii", "replace")
+        name = card[:8].strip()
+        if name == "END":
+            return True
+        if card[8:10] == "= ":
+            values.setdefault(name, card[10:].split("/")[0].strip())
+    return False
+
+
 def _cards(data: bytes, at: int) -> tuple[dict[str, str], int]:
     """Header values as text from ``at``, and where the data after the header starts."""
     values: dict[str, str] = {}
@@ -40,13 +52,16 @@ def _cards(data: bytes, at: int) -> tuple[dict[str, str], int]:
         if len(block) < BLOCK:
             raise ValueError("truncated header")
         at += BLOCK
-        for start in range(0, BLOCK, CARD):
-            card = block[start : start + CARD].decode("ascii", "replace")
-            name = card[:8].strip()
-            if name == "END":
-                return values, at
-            if card[8:10] == "= ":
-                values.setdefault(name, card[10:].split("/")[0].strip())
+        if header_values(block, values):
+            return values, at
+
+
+def image_shape(header: dict[str, str]) -> tuple[list[int], int, int]:
+    """(axes, the first running fastest; bytes of the unit's data; pixels)."""
+    axes = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header.get("NAXIS", "0")))]
+    count = int(np.prod(axes)) if axes else 0
+    groups = int(header.get("GCOUNT", "1"))
+    return axes, groups * (count + int(header.get("PCOUNT", "0"))) * abs(int(header["BITPIX"])) // 8, count
 
 
 def read_image(data: bytes) -> np.ndarray | None:
@@ -58,22 +73,20 @@ def read_image(data: bytes) -> np.ndarray | None:
     at = 0
     while at + CARD <= len(data) and data[at : at + 8] in (b"SIMPLE  ", b"XTENSION"):
         header, at = _cards(data, at)
-        axes = [int(header[f"NAXIS{i + 1}"]) for i in range(int(header.get("NAXIS", "0")))]
+        axes, size, count = image_shape(header)
         bits = int(header["BITPIX"])
-        groups = int(header.get("GCOUNT", "1"))
-        count = int(np.prod(axes)) if axes else 0
-        size = groups * (count + int(header.get("PCOUNT", "0"))) * abs(bits) // 8
         if count:
             if "IMAGE" not in header.get("XTENSION", "IMAGE"):
                 raise ValueError("unsupported unit")
             if at + count * abs(bits) // 8 > len(data):
                 raise ValueError("truncated data")
-            return _scaled(np.frombuffer(data, PIXEL_TYPES[bits], count, at), header, axes)
+            return scaled(np.frombuffer(data, PIXEL_TYPES[bits], count, at), header, axes[0])
         at += -(-size // BLOCK) * BLOCK
     return None
 
 
-def _scaled(raw: np.ndarray, header: dict[str, str], axes: list[int]) -> np.ndarray:
+def scaled(raw: np.ndarray, header: dict[str, str], width: int) -> np.ndarray:
+    """Stored numbers as float32 lines of ``width`` pixels, by the header's scale, offset and blank."""
     number = lambda key, default: float(header.get(key, default).replace("D", "E"))
     scale, zero = number("BSCALE", "1"), number("BZERO", "0")
     values = raw.astype(np.float64) if (scale, zero) != (1.0, 0.0) else raw.astype(np.float32)
@@ -81,7 +94,7 @@ def _scaled(raw: np.ndarray, header: dict[str, str], axes: list[int]) -> np.ndar
         values = values * scale + zero
     if "BLANK" in header and raw.dtype.kind != "f":
         values[raw == int(header["BLANK"])] = np.nan
-    return values.astype(np.float32).reshape(-1, axes[0])
+    return values.astype(np.float32).reshape(-1, width)
 
 
 def _decoded(content: bytes | None) -> tuple[np.ndarray | None, str]:
