@@ -5,7 +5,7 @@ Every operator here is row-local. Stages (``pixels.stage``) keep each sorted arr
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -184,7 +184,7 @@ def sigma_mask(
     )
 
 
-def _plain_stats(frames: DataFrame, sample: str) -> DataFrame:
+def plain_stats(frames: DataFrame, sample: str) -> DataFrame:
     """mean, std and count above mean + 3 deviations of the finite values of ``sample``."""
     staged = with_valid(frames, sample).drop(sample)
     staged = px.stage(staged, {"mean_value": F.coalesce(px.mean("_sorted"), F.lit(0.0))})
@@ -197,10 +197,20 @@ def _plain_stats(frames: DataFrame, sample: str) -> DataFrame:
 
 def light_stats(frames: DataFrame, pixels: str) -> DataFrame:
     """Statistics of the raw finite pixels, without background subtraction."""
-    return _plain_stats(frames, pixels)
+    return plain_stats(frames, pixels)
 
 
-def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) -> Column:
+#: Hashes that order a draw lie below this.
+HASHES = 1 << 40
+
+
+def pixel_hash(*columns: Column) -> Column:
+    """Place in the draw of a pixel with these keys, index and seed, below ``HASHES``."""
+    return F.pmod(F.xxhash64(*columns), F.lit(HASHES))
+
+
+def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int,
+                    hashed: Callable[..., Column] = pixel_hash) -> Column:
     """The ``sample`` pixels with the smallest hashes.
 
     Only pixels below a hash bound that lets slightly more than ``sample`` through are sorted. In
@@ -208,13 +218,12 @@ def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) ->
     """
     values = F.col(pixels)
     key = [F.col(k) for k in keys]
-    buckets = 1 << 40
     share = (sample + 8.0 * sample**0.5 + 8.0) / F.size(values)
-    bound = F.least(share, F.lit(1.0)) * float(buckets)
+    bound = F.least(share, F.lit(1.0)) * float(HASHES)
 
     def drawn(limit: Column) -> Column:
         def tag(v: Column, i: Column) -> Column:
-            h = F.pmod(F.xxhash64(*key, i, F.lit(seed)), F.lit(buckets))
+            h = hashed(*key, i, F.lit(seed))
             return F.when(h < limit, F.struct(h.alias("h"), i.alias("i"), v.alias("v")))
 
         return F.array_compact(F.transform(values, tag))
@@ -223,7 +232,7 @@ def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) ->
     chosen = F.get(
         F.transform(
             F.array(drawn(bound)),
-            lambda few: F.when(F.size(few) >= sample, few).otherwise(drawn(F.lit(float(buckets)))),
+            lambda few: F.when(F.size(few) >= sample, few).otherwise(drawn(F.lit(float(HASHES)))),
         ),
         0,
     )
@@ -232,40 +241,46 @@ def _sampled_pixels(pixels: str, keys: Sequence[str], sample: int, seed: int) ->
 
 
 def draw_pixels(
-    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0
+    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0,
+    hashed: Callable[..., Column] = pixel_hash,
 ) -> DataFrame:
     """``frames`` with ``sample`` of their pixels, drawn as ``sampled_stats`` draws them."""
-    return px.stage(frames, {pixels: _sampled_pixels(pixels, keys, sample, seed)})
+    return px.stage(frames, {pixels: _sampled_pixels(pixels, keys, sample, seed, hashed)})
 
 
 def sampled_stats(
-    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0
+    frames: DataFrame, pixels: str, keys: Sequence[str], sample: int, seed: int = 0,
+    hashed: Callable[..., Column] = pixel_hash,
 ) -> DataFrame:
     """``light_stats`` of pixels drawn without replacement, the count scaled to the image.
 
-    The draw orders pixels by a hash of key, index and seed, so it is repeatable. Images of
-    ``sample`` pixels or fewer are used whole.
+    The draw orders pixels by a hash of key, index and seed, so it is repeatable; ``hashed`` may be another
+    function of them with values below ``HASHES``. Images of ``sample`` pixels or fewer are used whole.
     """
-    staged = draw_pixels(frames.withColumn("_n", F.size(pixels)), pixels, keys, sample, seed)
-    staged = _plain_stats(staged, pixels)
+    staged = draw_pixels(frames.withColumn("_n", F.size(pixels)), pixels, keys, sample, seed, hashed)
+    return scaled_count(plain_stats(staged, pixels), sample).drop("_n")
+
+
+def scaled_count(stats: DataFrame, sample: int) -> DataFrame:
+    """``num_objects`` of a sample scaled to the ``_n`` pixels of the image, and cut to a whole number."""
     scale = F.try_divide(F.col("_n"), F.least(F.col("_n"), F.lit(sample)))
-    return staged.withColumn(
+    return stats.withColumn(
         "num_objects", F.coalesce((F.col("num_objects") * scale).cast("int"), F.lit(0))
-    ).drop("_n")
+    )
 
 
 def light_or_sampled(
     frames: DataFrame, pixels: str, keys: Sequence[str], pressure: Column | float,
-    sample: int, low_pressure: float, seed: int = 0,
+    sample: int, low_pressure: float, seed: int = 0, hashed: Callable[..., Column] = pixel_hash,
 ) -> DataFrame:
     """Whole images where the resource pressure is below ``low_pressure``, sampled ones otherwise."""
     pressure = pressure if isinstance(pressure, Column) else F.lit(float(pressure))
     whole = pressure < low_pressure
     chosen = F.when(whole, F.col(pixels)).otherwise(
-        _sampled_pixels(pixels, keys, sample, seed)
+        _sampled_pixels(pixels, keys, sample, seed, hashed)
     )
     staged = frames.withColumn("_n", F.size(pixels)).withColumn("_whole", whole)
-    staged = _plain_stats(staged.withColumn(pixels, chosen), pixels)
+    staged = plain_stats(staged.withColumn(pixels, chosen), pixels)
     scale = F.when(F.col("_whole"), 1.0).otherwise(
         F.try_divide(F.col("_n"), F.least(F.col("_n"), F.lit(sample)))
     )

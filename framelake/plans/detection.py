@@ -68,6 +68,12 @@ def detection_report(
         F.col(pixels).alias("_pixels"),
     )
     found = detect(rows, "_pixels", "_w", detection_sigma, bright_sigma, saturation_level)
+    return report_rows(found, listed)
+
+
+def report_rows(found: DataFrame, listed: int | None = None) -> DataFrame:
+    """Detection rows from what was found in each image: the columns of ``detect``, file_path, ``_n_pixels`` and
+    ``_decoded``."""
     state = (
         F.when(~F.col("_decoded").isin(SUCCESS, NO_IMAGE, ALL_NAN),
                F.left(F.regexp_replace("_decoded", "^ERR:", "ERROR_"), F.lit(len("ERROR_") + ERROR_TEXT)))

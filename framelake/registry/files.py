@@ -2,9 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from framelake.operators.frames import SUCCESS, frame_stats
+from framelake.operators.frames import SUCCESS, frame_stats, pixel_explode
 from framelake.registry.base import query, rounded, sql_round as r
-from framelake.registry.derived import FRAME_PATH, FRAME_STATS_SQL, PIXELS_SQL
+from framelake.registry.derived import FRAME_PATH, FRAME_STATS_SQL, PIXELS_SQL, SIDE, frames, noise_sql
+from framelake.operators.selection import exact_medians, background_noise_long, sampled_stats_long
+from framelake.plans.large_images import large_detections
+from framelake.registry.images import (
+    BRIGHT, DETECT, DETECTION_SQL, REPORT_NUMBERS, SAMPLE, SAMPLED_STATS_SQL, SATURATED, SEED, md5_hash,
+)
 from framelake.registry.sources_sinks import written_images
 from framelake.sources.bands import band_pixels, read_bands
 from framelake.sources.images import decode_frames
@@ -52,3 +57,41 @@ def image_bands(spark, sf):
     bands = read_bands(files, band_bytes=3 * 8 * 4)
     named = named_image_files(band_pixels(bands).withColumnRenamed("frame_id", "path"))
     return named.select(F.substring_index("path", "/", -1).alias("file_name"), "y", "x", "v")
+
+
+def pixels(spark, sf):
+    return pixel_explode(frames(spark, sf), ["vec_id"], "pixels", SIDE)
+
+
+@query("selected_medians", f"""
+SELECT CAST(y AS INTEGER) AS y, count(*) AS n_valid, {r("median(v)")} AS median FROM {PIXELS_SQL} GROUP BY y""")
+def selected_medians(spark, sf):
+    """One median per image line over all frames: a few groups that each hold an eighth of the pixels."""
+    return rounded(exact_medians(pixels(spark, sf), ["y"], "v"), "median")
+
+
+@query("selected_noise", f"""
+SELECT vec_id, CAST({SIDE * SIDE} AS BIGINT) AS n_valid, {r("background_level")} AS background_level,
+       {r("background_noise")} AS background_noise FROM {noise_sql()}""")
+def selected_noise(spark, sf):
+    return rounded(background_noise_long(pixels(spark, sf), ["vec_id"], "v"), "background_level", "background_noise")
+
+
+@query("sampled_stats_long", SAMPLED_STATS_SQL)
+def sampled_stats_of_pixels(spark, sf):
+    """The draw of ``sampled_stats`` from pixel rows dealt over many tasks."""
+    rows = pixels(spark, sf).withColumn("place", F.col("y") * SIDE + F.col("x")).repartition(13)
+    out = sampled_stats_long(rows, ["vec_id"], "place", "v", SAMPLE, SEED, md5_hash)
+    return rounded(out, "mean_value", "std_value")
+
+
+@query("large_detections", DETECTION_SQL)
+def large_detection_rows(spark, sf):
+    """Detection rows of the frames' files, read three lines a band and labelled in tiles of five pixels."""
+    bands = read_bands(list_files(spark, written_images(spark, sf)), band_bytes=3 * SIDE * 4)
+    named = named_image_files(bands.withColumnRenamed("frame_id", "path"))
+    named = named.withColumn("path", F.concat(F.lit("/raw/"), F.substring_index("path", "/", -1)))
+    out = large_detections(
+        named.withColumnRenamed("path", "frame_id"), DETECT, BRIGHT, SATURATED, tile=5
+    ).withColumns({"n_positions": F.size("source_positions"), "n_photometry": F.size("photometry_data")})
+    return rounded(out.drop("source_positions", "photometry_data"), *REPORT_NUMBERS)
