@@ -207,19 +207,25 @@ def pivot_first(
     The row with the lowest ``tie_break`` supplies all metrics of its kind, nulls included, so a
     duplicate never mixes two rows; a null ``tie_break`` comes last. Stating the kinds makes this one
     aggregate behind one shuffle and keeps unexpected kinds from adding columns. With a numeric
-    ``tie_break`` below the largest double the aggregate combines by hashing, one value per metric.
+    ``tie_break`` the aggregate combines by hashing; numbers keep their type, so decimals compare as decimals.
     """
     place = F.col(tie_break)
     if isinstance(df.schema[tie_break].dataType, T.NumericType) and all(
         isinstance(df.schema[m].dataType, (T.NumericType, T.BooleanType)) for m in metrics
     ):
-        rank = F.coalesce(place.cast("double"), F.lit(float("inf"))) \
-            if isinstance(df.schema[tie_break].dataType, (T.FloatType, T.DoubleType)) \
-            else F.coalesce(place.cast("bigint"), F.lit(2**63 - 1))
-        return df.groupBy(key).agg(*[
-            F.min_by(F.col(metric), F.when(F.col(kind) == name, rank)).alias(f"{name}_{metric}")
-            for name in kinds
-            for metric in metrics
+        of_kind = [F.col(kind) == name for name in kinds]
+        picked = df.groupBy(key).agg(*[
+            column
+            for i, mine in enumerate(of_kind)
+            for column in (
+                F.count(F.when(mine, place)).alias(f"_placed{i}"),
+                *[F.min_by(F.col(m), F.when(mine, place)).alias(f"_first{i}_{j}") for j, m in enumerate(metrics)],
+                *[F.min_by(F.col(m), F.when(mine & place.isNull(), 0)).alias(f"_last{i}_{j}") for j, m in enumerate(metrics)],
+            )
+        ])
+        return picked.select(key, *[
+            F.when(F.col(f"_placed{i}") > 0, F.col(f"_first{i}_{j}")).otherwise(F.col(f"_last{i}_{j}")).alias(f"{name}_{m}")
+            for i, name in enumerate(kinds) for j, m in enumerate(metrics)
         ])
     order = F.struct(place.isNull().alias("_last"), place.alias("_place"))
     picked = df.groupBy(key).agg(
@@ -274,26 +280,32 @@ def best_worst_by_group(
 ) -> DataFrame:
     """Per data size with at least ``at_least`` runs: extremes, their configurations and spread.
 
-    Of equal throughputs the earliest run by ``run_order`` wins on both ends.
+    Of equal throughputs the earliest run by ``run_order`` wins on both ends. A throughput that is NaN counts
+    as missing: such a run is counted and timed, but is neither best nor worst. Extremes combine by hashing;
+    only the runs that reach one are put in order, so ``df`` is read twice.
     """
-    kept = df if where is None else df.filter(where)
-    settings = F.struct(*config)
-    runs = [F.col(c).alias(f"_{c}") for c in run_order]  # numbers, texts or times
-    fastest = F.struct((-F.col(throughput)).alias("_speed"), *runs)
-    slowest = F.struct(F.col(throughput).alias("_speed"), *runs)
-    grouped = (
+    kept = (df if where is None else df.filter(where)).withColumn("_speed", F.when(is_valid(throughput), F.col(throughput)))
+    sizes = (
         kept.groupBy(size)
         .agg(
             _count().alias("num_configurations_tested"),
-            F.max(throughput).alias("best_throughput"),
-            F.min(throughput).alias("worst_throughput"),
-            F.min_by(settings, fastest).alias("_best"),
-            F.min_by(settings, slowest).alias("_worst"),
-            F.var_pop(throughput).alias("throughput_variance"),
+            F.max("_speed").alias("best_throughput"),
+            F.min("_speed").alias("worst_throughput"),
+            F.var_pop("_speed").alias("throughput_variance"),
             F.avg(seconds).alias("avg_execution_time"),
         )
         .filter(F.col("num_configurations_tested") >= at_least)
     )
+    ends = sizes.select(F.col(size).alias("_size"), "best_throughput", "worst_throughput")
+    reached = (F.col("_speed") == F.col("best_throughput")) | (F.col("_speed") == F.col("worst_throughput"))
+    runs = kept.join(ends, F.col(size).eqNullSafe(F.col("_size")) & reached)
+    settings = F.struct(*config)
+    place = F.struct(*[F.col(c).alias(f"_{i}") for i, c in enumerate(run_order)])  # numbers, texts or times
+    picked = runs.groupBy("_size").agg(*[
+        F.min_by(settings, F.when(F.col("_speed") == F.col(f"{end}_throughput"), place)).alias(f"_{end}")
+        for end in ("best", "worst")
+    ])
+    grouped = sizes.join(picked, F.col(size).eqNullSafe(F.col("_size")), "left")
     return grouped.select(
         size,
         "num_configurations_tested",

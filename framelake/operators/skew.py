@@ -11,15 +11,25 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F, types as T
 
 from framelake.functions.measures import mask_non_finite
-from framelake.workspace import materialize
+from framelake.workspace import materialize, new_folder
 
 #: Rows of a group, and of a slice of a larger group, that one task should handle.
 MAX_GROUP_ROWS = 1_000_000
 
 
+#: Columns of the hash that orders equal rows, and of the mark of oversized groups.
+TIE, HOT = "_tie", "_hot"
+
+
+def with_tie(df: DataFrame) -> DataFrame:
+    """Add a hash of the row; maps, which Spark does not hash, stay out of it."""
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return df.withColumn(TIE, F.xxhash64(*[F.col(f"`{c}`") for c in hashed]))
+
+
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """Join on ``keys``, null-safe, keeping one copy of them. Without keys one side has one row."""
     left, right = left.alias("l"), right.alias("r")
@@ -48,7 +58,8 @@ def split_hot(
 ) -> Split:
     """Tell oversized groups from ordinary ones, and say how many slices the former need.
 
-    Costs one count that reads the key columns only; the keys of oversized groups are written.
+    Costs one count that reads the key columns only. Where there are oversized groups their keys and all
+    rows are written.
     """
 
     def slices(rows: int) -> int:
@@ -62,14 +73,15 @@ def split_hot(
     hot_rows = hot_sizes.agg(F.sum("_rows")).first()[0]
     if hot_rows is None:
         return Split(df)
-    # Their written size decides whether the keys are sent to all tasks.
+    # Their written size decides whether the keys are sent to all tasks. Rows are written once, apart by
+    # what they are, so that ``df`` runs once more, however often either part is read.
     hot_keys = hot_sizes.select(*keys)
-    return Split(
-        null_safe_join(df, hot_keys, keys, "left_anti"),
-        null_safe_join(df, hot_keys, keys, "left_semi"),
-        slices(hot_rows),
-        hot_keys,
-    )
+    marked = null_safe_join(df, hot_keys.withColumn(HOT, F.lit(True)), keys, "left")
+    path = new_folder(df.sparkSession, "split")
+    marked.withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False))).write.partitionBy(HOT).parquet(path)
+    written = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField(HOT, T.BooleanType())])).parquet(path)
+    part = lambda hot: written.filter(F.col(HOT) == hot).select(*df.columns)
+    return Split(part(False), part(True), slices(hot_rows), hot_keys)
 
 
 def _union(parts: Sequence[DataFrame | None]) -> DataFrame:
@@ -113,11 +125,13 @@ def rolling(
 ) -> DataFrame:
     """Add window columns over each row and the ``before`` rows ahead of it in its group.
 
-    ``columns`` maps output names to functions of the window. ``order`` must be unique within a
-    group. Slices of an oversized group borrow the ``before`` rows that precede them, so their
-    windows see what a window over the whole group would.
+    ``columns`` maps output names to functions of the window. Rows that ``order`` leaves equal stand in the
+    order of a hash of the whole row, so both plans and all runs see the same neighbours. Slices of an
+    oversized group borrow the ``before`` rows that precede them, so their windows see what a window over
+    the whole group would.
     """
     frame = (-before, 0 if include_current else -1)
+    df, order = with_tie(df), [*order, TIE]
 
     def with_columns(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
         window = Window.partitionBy(*groups).orderBy(*order).rowsBetween(*frame)
@@ -127,7 +141,7 @@ def rolling(
     hot = split.hot
     result_cold = with_columns(split.cold, keys) if split.cold is not None else None
     if hot is None:
-        return result_cold
+        return result_cold.drop(TIE)
 
     sliced = sorted_slices(hot, keys, order, split.slices)
     offsets = slice_offsets(sliced, keys)
@@ -156,14 +170,15 @@ def rolling(
         .filter(~F.col("_borrowed"))
         .drop("_slice", "_borrowed")
     )
-    return _union([result_cold, result_hot])
+    return _union([result_cold, result_hot]).drop(TIE)
 
 
 def running_number(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Number the rows of each group from 1 in ``order``."""
+    """Number the rows of each group from 1 in ``order``, equal ones by a hash of the row."""
+    columns, df, order = df.columns, with_tie(df), [*order, TIE]
     split = split_hot(df, keys, max_group_rows)
 
     def place(groups: Sequence[str]) -> Column:
@@ -181,7 +196,7 @@ def running_number(
         )
         number = F.col("_before") + F.col("_place")
         parts.append(numbered.withColumn(out, number).select(*df.columns, out))
-    return _union(parts)
+    return _union(parts).select(*columns, out)
 
 
 def _hot_medians(split: Split, keys: Sequence[str], value: str, out: str) -> DataFrame:

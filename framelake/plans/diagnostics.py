@@ -30,15 +30,20 @@ def quality_diagnostic(
 
 
 def profile_with_conditions(
-    df: DataFrame, kind: str, score: str, focus: Column, conditions: dict[str, Column]
+    df: DataFrame, kind: str, score: str, focus: Column, conditions: dict[str, Column], first: str | None = None,
 ) -> DataFrame:
-    """Counts and valid means per kind, and how many of its rows in focus meet each condition."""
+    """Counts and valid means per kind, and how many of its rows in focus meet each condition.
+
+    With ``first``, a numeric column, ``first_valid`` is its least value among valid rows in focus.
+    """
     valid = is_valid(score)
+    least = [F.min(F.when(focus & valid, F.col(first))).alias("first_valid")] if first else []
     return df.groupBy(kind).agg(
         F.count(F.lit(1)).alias("total_count"),
         F.count(F.when(~valid, 1)).alias("nan_count"),
         F.avg(F.when(valid, F.col(score))).alias("avg_valid"),
         *[F.count(F.when(focus & c, 1)).alias(n) for n, c in conditions.items()],
+        *least,
     )
 
 

@@ -176,6 +176,21 @@ def pivot_first(spark, sf):
     )
 
 
+@query("pivot_first_decimal", """
+SELECT o_custkey,
+       arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F_o_totalprice,
+       arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderstatus = 'F') AS F_o_orderkey,
+       arg_min(o_totalprice, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O_o_totalprice,
+       arg_min(o_orderkey, o_orderkey) FILTER (WHERE o_orderstatus = 'O') AS O_o_orderkey
+FROM orders GROUP BY o_custkey""")
+def pivot_first_decimal(spark, sf):
+    """Places that differ behind the point only, and beyond a long."""
+    far = F.expr("CAST(100000000000000000000 AS DECIMAL(30, 7))")
+    placed = table(spark, sf, "orders").withColumn(
+        "place", far + (F.col("o_orderkey").cast("decimal(15,0)") / F.lit(10_000_000).cast("decimal(9,0)")).cast("decimal(20,7)"))
+    return agg.pivot_first(placed, "o_custkey", "o_orderstatus", ["F", "O"], ["o_totalprice", "o_orderkey"], "place")
+
+
 FLAGS = ["A", "N", "R"]
 LONG_STATS_SQL = """
 (WITH m AS (SELECT l_suppkey, l_returnflag, median(l_extendedprice) AS med FROM lineitem GROUP BY ALL),

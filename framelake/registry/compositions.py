@@ -1,6 +1,6 @@
 """Whole runs from derived files to reports."""
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from framelake import schemas
 from framelake.functions.measures import percent_of
@@ -203,14 +203,15 @@ SELECT event_type, count(*) AS total_count,
        (SELECT min(event_id) FROM {SCORES_SQL} WHERE event_type = 'click' AND NOT isnan(score)) AS first_valid
 FROM {SCORES_SQL} GROUP BY event_type""")
 def quality_diagnostic(spark, sf):
-    parts = diagnostics.quality_diagnostic(
-        scores(spark, sf), "event_type", "score", F.col("event_type") == "click",
-        {"low": F.col("score") <= 10}, ["event_id", "score"], "event_id",
-    )
-    out = parts["profile"].select(
+    """Profile, condition counts and the first valid row in focus, all from one scan."""
+    click = F.col("event_type") == "click"
+    per_type = diagnostics.profile_with_conditions(
+        scores(spark, sf), "event_type", "score", click, {"low": F.col("score") <= 10}, first="event_id")
+    # One row per event type: the totals over types stay in one small window.
+    over_types = Window.partitionBy(F.lit(1))
+    out = per_type.select(
         "event_type", "total_count", "nan_count", "avg_valid",
-        parts["conditions"].select("low").scalar().alias("low_clicks"),
-        parts["valid"].agg(F.min("event_id")).scalar().alias("first_valid"),
+        F.sum("low").over(over_types).alias("low_clicks"), F.min("first_valid").over(over_types).alias("first_valid"),
     )
     return rounded(out, "avg_valid")
 

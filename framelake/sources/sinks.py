@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from framelake.workspace import materialize
+
 
 def _with_files(df: DataFrame, files: int | None) -> DataFrame:
     # A shuffle in front of the sink keeps the stage that computes the rows at full parallelism,
@@ -47,9 +49,10 @@ def sink_text_rows(df: DataFrame, path: str, columns: Sequence[str] | None = Non
 
 def sink_json_report(report: DataFrame, path: str) -> str:
     """A report is one row of structs, arrays and maps; it becomes one JSON document."""
-    if len(report.take(2)) > 1:
+    written = materialize(report, "report")  # the plan behind a report runs once
+    if len(written.take(2)) > 1:
         raise ValueError("a report has one row")
-    report.coalesce(1).write.mode("overwrite").json(path)
+    written.coalesce(1).write.mode("overwrite").json(path)
     return path
 
 

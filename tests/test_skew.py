@@ -177,3 +177,59 @@ def test_pivot_picks_one_row_per_kind(spark):
         assert {r["k"]: r["A_m"] for r in out} == {"k": 2.0, "j": 5.0}
     kept = aggregates.silver_triplets(df, "k", "kind", ["X", "Y"], ["n"], "path").collect()
     assert [tuple(r) for r in kept] == [("a", 7, 2)]
+
+
+def test_pivot_by_numbers_of_every_type(spark):
+    """Ties are broken in the tie-break's own type; nulls come last; a metric is never taken from another row."""
+    rows = [("a", "X", 1.70, 10.0, None), ("a", "X", 1.20, 20.0, 1), ("b", "X", None, 5.0, 2), ("b", "X", 9.5, None, 3), ("c", "X", None, 7.0, 4)]
+    df = spark.createDataFrame(rows, "k string, kind string, p double, m double, n int")
+    for kind in ("decimal(10,2)", "decimal(38,10)", "double", "float", "string"):
+        for shuffled in (df, df.orderBy(F.desc("m")), df.repartition(5)):
+            out = aggregates.pivot_first(shuffled.withColumn("p", F.col("p").cast(kind)), "k", "kind", ["X", "Y"], ["m", "n"], "p")
+            assert {r.k: (r.X_m, r.X_n, r.Y_m) for r in out.collect()} == {"a": (20.0, 1, None), "b": (None, 3, None), "c": (7.0, 4, None)}
+    far = df.withColumn("p", F.expr("CAST(90000000000000000000 AS DECIMAL(38, 2))") + F.col("p").cast("decimal(10,2)"))
+    plan = aggregates.pivot_first(far, "k", "kind", ["X"], ["m"], "p")
+    assert {r.k: r.X_m for r in plan.collect()} == {"a": 20.0, "b": None, "c": 7.0}
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
+def test_best_and_worst_of_runs_without_throughput(spark):
+    nan = float("nan")
+    rows = [(1, 5.0, 2.0, "p1", "t1"), (1, nan, 4.0, "p2", "t0"), (1, None, 6.0, "p3", "t2"), (1, 5.0, 8.0, "p4", "t0"),
+            (2, nan, 1.0, "p5", "t1"), (2, None, 1.0, "p6", "t2"), (3, 1.0, 1.0, "p7", "t1"), (None, 2.0, 1.0, "p8", "t1"), (None, 4.0, 3.0, "p9", "t2")]
+    df = spark.createDataFrame(rows, "size int, thr double, sec double, conf string, at string")
+    out = {r["size"]: r for r in aggregates.best_worst_by_group(df, "size", "thr", "sec", ["conf"], ["at"]).collect()}
+    assert set(out) == {1, 2, None}
+    one = out[1]
+    assert (one.num_configurations_tested, one.best_throughput, one.worst_throughput, one.best_conf, one.worst_conf) == (4, 5.0, 5.0, "p4", "p4")
+    assert (one.throughput_variance, one.avg_execution_time, one.speedup_factor) == (0.0, 5.0, 1.0)
+    assert (out[2].best_throughput, out[2].best_conf, out[2].num_configurations_tested) == (None, None, 2)
+    assert (out[None].best_conf, out[None].worst_conf, out[None].speedup_factor) == ("p9", "p8", 2.0)
+
+
+def test_rolling_with_equal_orders(spark):
+    """Rows that the order leaves equal stand alike in the plain and the sliced plan, in every partitioning."""
+    df = spark.range(400).selectExpr("id % 2 as g", "id div 40 as t", "(id * 7919) % 101 as v")
+    results = []
+    for limit in (skew.MAX_GROUP_ROWS, SMALL, 7):
+        for parts in (1, 6):
+            made = skew.rolling(df.repartition(parts), ["g"], ["t"], 3, {"s": lambda w: F.sum("v").over(w)}, max_group_rows=limit)
+            assert made.columns == ["g", "t", "v", "s"]
+            results.append(rows_of(made))
+    assert all(r == results[0] for r in results)
+    numbered = [rows_of(skew.running_number(df, ["g"], ["t"], "n", max_group_rows=m)) for m in (skew.MAX_GROUP_ROWS, 7)]
+    assert numbered[0] == numbered[1]
+
+
+def test_input_of_hot_groups_runs_once_more(spark):
+    """Beyond the count of keys the input runs once, also with hot groups."""
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            runs.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(0, 300, 1, 3).selectExpr("id % 2 as g", "id as t", "id as v").mapInArrow(counted, "g long, t long, v long")
+    skew.rolling(df, ["g"], ["t"], 3, {"s": lambda w: F.sum("v").over(w)}, max_group_rows=40).collect()
+    assert runs.value == 2 * 300
