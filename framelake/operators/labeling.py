@@ -84,7 +84,7 @@ def _list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return lengths.astype(np.int64), column.flatten().to_numpy(zero_copy_only=False)
 
 
-def _trace(positions: pa.Array, above: pa.Array, widths: pa.Array, floor: pa.Array) -> pa.Array:
+def trace_batch(positions: pa.Array, above: pa.Array, widths: pa.Array, floor: pa.Array) -> pa.Array:
     """Sources among the pixels above ``floor`` for a batch of images, in raster order."""
     lengths, index = _list_parts(positions)
     _, flux = _list_parts(above)
@@ -131,7 +131,7 @@ def trace_sources(
 
     @F.arrow_udf(T.ArrayType(SOURCE))
     def trace(p: pa.Array, a: pa.Array, w: pa.Array, f: pa.Array) -> pa.Array:
-        return _trace(p, a, w, f)
+        return trace_batch(p, a, w, f)
 
     return trace(as_column(positions), as_column(above), as_column(width), as_column(floor))
 

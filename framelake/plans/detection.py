@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from framelake import schemas
 from framelake.functions import naming, pixels as px
-from framelake.functions.measures import ratio_or_zero
+from framelake.functions.measures import MAD_TO_SIGMA, ratio_or_zero
 from framelake.operators.aggregates import QUALITY_BUCKETS
 from framelake.operators.frames import ALL_NAN, NO_IMAGE, SATURATION_LEVEL, SUCCESS
 from framelake.operators.labeling import (
     BRIGHT_SIGMA,
     DETECTION_SIGMA,
+    SOURCE,
     detect,
     source_lists,
+    trace_batch,
 )
 from framelake.operators.relational import conform_to_schema
-from framelake.sources.images import decode_frames
+from framelake.sources.images import PIXELS_PER_BATCH, decoded
 
 # What scales each quality factor to 1.
 FULL_SNR = 100.0
@@ -102,10 +108,89 @@ def report_rows(found: DataFrame, listed: int | None = None) -> DataFrame:
     )
 
 
-def detections(files: DataFrame, **options) -> DataFrame:
-    frames = decode_frames(files)
-    report = detection_report(frames, "frame_id", "pixels", "width", "status", **options)
-    return conform_to_schema(report, schemas.DETECTIONS)
+#: What is found in an image file, as ``report_rows`` takes it.
+FOUND = T.StructType([
+    T.StructField("file_path", T.StringType()), T.StructField("_n_pixels", T.IntegerType()),
+    T.StructField("_decoded", T.StringType()), T.StructField("n_valid", T.IntegerType()),
+    *[T.StructField(c, T.DoubleType()) for c in (
+        "background_level", "background_noise", "_max", "dynamic_range", "saturation_fraction")],
+    *[T.StructField(c, T.IntegerType()) for c in ("total_objects", "bright_sources", "faint_sources")],
+    T.StructField("sources", T.ArrayType(SOURCE)),
+])
+
+
+def _measured(image: np.ndarray | None, saturation_level: float) -> tuple:
+    """n_pixels, n_valid, level, noise, maximum, range and saturated share."""
+    if image is None:
+        return 0, 0, None, None, None, None, None
+    values = image[np.isfinite(image)].astype(np.float64)
+    if not values.size:
+        return image.size, 0, None, None, None, None, None
+    level = float(np.median(values))
+    noise = float(np.median(np.abs(values - level))) * MAD_TO_SIGMA
+    top = float(values.max())
+    return (image.size, values.size, level, noise, top, top - float(values.min()),
+            float(np.count_nonzero(values >= saturation_level) / values.size))
+
+
+def _found_batch(images: list[tuple], detection_sigma: float, bright_sigma: float, saturation_level: float) -> pa.RecordBatch:
+    paths, pixels, states = zip(*images)
+    measured = [_measured(image, saturation_level) for image in pixels]
+    index, flux, faintest = [], [], min(detection_sigma, bright_sigma)
+    for image, (_, _, level, noise, *_) in zip(pixels, measured):
+        if not noise:  # none, or no positive one
+            index.append(np.zeros(0, np.int32))
+            flux.append(np.zeros(0))
+            continue
+        above = image.ravel().astype(np.float64) - level
+        hot = np.flatnonzero(np.isfinite(above) & (above > noise * faintest))
+        index.append(hot.astype(np.int32))
+        flux.append(above[hot])
+    ends = pa.array(np.concatenate([[0], np.cumsum([len(i) for i in index])]).astype(np.int32))
+    positions = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(index)))
+    values = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(flux)))
+    widths = pa.array([image.shape[1] if image is not None else 1 for image in pixels], pa.int32())
+
+    def traced(sigma: float) -> pa.Array:
+        return trace_batch(positions, values, widths, pa.array([m[3] * sigma if m[3] else None for m in measured], pa.float64()))
+
+    total = traced(detection_sigma).value_lengths().to_numpy(zero_copy_only=False)
+    sources = traced(bright_sigma)
+    bright = sources.value_lengths().to_numpy(zero_copy_only=False)
+    n_pixels, n_valid, *numbers = zip(*measured)
+    columns = [
+        pa.array(paths, pa.string()), pa.array(n_pixels, pa.int32()), pa.array(states, pa.string()), pa.array(n_valid, pa.int32()),
+        *[pa.array(c, pa.float64()) for c in numbers],
+        *[pa.array(c, pa.int32()) for c in (total, bright, total - bright)], sources,
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=FOUND.fieldNames())
+
+
+def decode_found(
+    files: DataFrame, detection_sigma: float = DETECTION_SIGMA, bright_sigma: float = BRIGHT_SIGMA,
+    saturation_level: float = SATURATION_LEVEL, path: str = "path", content: str = "content",
+) -> DataFrame:
+    """Files to what is found in them, one for one, where they are decoded: pixels do not leave the stage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            images, size = [], 0
+            for name, data in zip(batch.column(0), batch.column(1)):
+                image, status = decoded(data.as_py())
+                images.append((name.as_py(), image, status))
+                size += 0 if image is None else image.size
+                if size >= PIXELS_PER_BATCH:
+                    yield _found_batch(images, detection_sigma, bright_sigma, saturation_level)
+                    images, size = [], 0
+            if images:
+                yield _found_batch(images, detection_sigma, bright_sigma, saturation_level)
+
+    return files.select(path, content).mapInArrow(run, FOUND)
+
+
+def detections(files: DataFrame, listed: int | None = None, **thresholds) -> DataFrame:
+    """Detection rows of image files. Tables that hold pixels already take ``detection_report``."""
+    return conform_to_schema(report_rows(decode_found(files, **thresholds), listed), schemas.DETECTIONS)
 
 
 def json_columns(rows: DataFrame) -> DataFrame:

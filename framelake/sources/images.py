@@ -97,7 +97,8 @@ def scaled(raw: np.ndarray, header: dict[str, str], width: int) -> np.ndarray:
     return values.astype(np.float32).reshape(-1, width)
 
 
-def _decoded(content: bytes | None) -> tuple[np.ndarray | None, str]:
+def decoded(content: bytes | None) -> tuple[np.ndarray | None, str]:
+    """Pixels and status of a file's bytes."""
     try:
         image = read_image(content or b"")
     except Exception as error:  # whatever the bytes hold, the outcome is a status
@@ -135,7 +136,7 @@ def decode_frames(files: DataFrame, path: str = "path", content: str = "content"
         for batch in batches:
             rows, pixels = [], 0
             for name, content in zip(batch.column(0), batch.column(1)):
-                image, status = _decoded(content.as_py())
+                image, status = decoded(content.as_py())
                 rows.append((name.as_py(), NO_PIXELS if image is None else image, status))
                 pixels += rows[-1][1].size
                 if pixels >= PIXELS_PER_BATCH:
@@ -175,7 +176,7 @@ def decode_stats(files: DataFrame, path: str = "path", content: str = "content")
         for batch in batches:
             rows = []
             for name, data in zip(batch.column(0), batch.column(1)):
-                image, status = _decoded(data.as_py())
+                image, status = decoded(data.as_py())
                 rows.append((name.as_py(), *_image_stats(image), status))
             if rows:
                 kinds = [pa.string(), pa.int32(), pa.int32(), *[pa.float64()] * 3, pa.int32(), pa.string()]
