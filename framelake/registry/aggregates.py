@@ -6,6 +6,8 @@ from framelake.operators import aggregates as agg
 from framelake.operators.skew import long_frame_stats
 from framelake.registry.base import query, rounded, sql_round as r, table
 from framelake.registry.rows import ORDER_STATS_SQL, SCORES_SQL, order_stats, scores
+from framelake.sources.sinks import sink_buckets
+from framelake.workspace import new_folder
 
 
 @query("global_count", "SELECT count(*) AS n FROM orders")
@@ -224,12 +226,25 @@ def triplets(spark, sf):
     return agg.silver_triplets(rows, "l_suppkey", "l_returnflag", FLAGS, metrics, "n_valid")
 
 
-@query("silver_triplets", f"WITH st AS MATERIALIZED {LONG_STATS_SQL} SELECT a.l_suppkey, " + ", ".join(
+SILVER_SQL = f"WITH st AS MATERIALIZED {LONG_STATS_SQL} SELECT a.l_suppkey, " + ", ".join(
     f"{r(f'{f.lower()}.{m}', 4)} AS {f}_{m}" if m != "bright_pixels" else f"{f.lower()}.{m} AS {f}_{m}"
     for f in FLAGS for m in ("median_bg", "mean_sub", "std_sub", "bright_pixels")
 ) + """
 FROM st a JOIN st n USING (l_suppkey) JOIN st r USING (l_suppkey)
-WHERE a.l_returnflag = 'A' AND n.l_returnflag = 'N' AND r.l_returnflag = 'R'""")
+WHERE a.l_returnflag = 'A' AND n.l_returnflag = 'N' AND r.l_returnflag = 'R'"""
+
+
+@query("silver_buckets", SILVER_SQL)
+def silver_buckets(spark, sf):
+    """Statistics kept in buckets by supplier, pivoted where they lie."""
+    path = new_folder(spark, "bronze-buckets")
+    stored = sink_buckets(supplier_stats(spark, sf), f"bronze_{path[-32:]}", path, "l_suppkey", 8)
+    metrics = ["median_bg", "mean_sub", "std_sub", "bright_pixels"]
+    out = agg.silver_triplets(stored, "l_suppkey", "l_returnflag", FLAGS, metrics, "n_valid")
+    return rounded(out, *[c for c in out.columns if c.endswith(("_bg", "_sub"))], digits=4)
+
+
+@query("silver_triplets", SILVER_SQL)
 def silver_triplets(spark, sf):
     out = triplets(spark, sf)
     return rounded(out, *[c for c in out.columns if c.endswith(("_bg", "_sub"))], digits=4)

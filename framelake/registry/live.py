@@ -1,13 +1,24 @@
 """Streams over arriving files."""
 
+from pyspark.sql import functions as F, types as T
+
+from framelake import schemas
+from framelake.functions.naming import image_type, object_id
+from framelake.operators import frames as fr
 from framelake.registry.base import query, rounded, sql_round as r, table
+from framelake.registry.derived import named_frames
 from framelake.registry.images import STORED_BRONZE_SQL
 from framelake.registry.sources_sinks import written_images
+from framelake.sources.manifest import MANIFEST, list_files
 from framelake.sources.sinks import named_image_files
 from framelake.streaming import live
+from framelake.streaming.triplets import live_triplets
 from framelake.workspace import materialize, new_folder
 
 
+STORED_METRICS = ", ".join(schemas.BRONZE_METRICS)
+
+
 def events(spark, sf):
     return live.stream_parquet(
         spark, f"{sf}/events.parquet", table(spark, sf, "events").schema
@@ -54,3 +65,40 @@ def live_bronze_ingest(spark, sf):
     metrics = ["median_bg", "mean_sub", "std_sub"]
     out = rows.drop("file_path").withColumns({c: rows[c].cast("double") for c in metrics})
     return rounded(out, *metrics)
+
+
+@query("live_manifest_ingest", f"""
+SELECT object_id, image_type, median_bg, mean_sub, std_sub, bright_pixels, status FROM ({STORED_BRONZE_SQL})""")
+def live_manifest_ingest(spark, sf):
+    """Two listings of the same files arrive one after the other; each file becomes one row."""
+    folder, images = new_folder(spark, "manifest"), written_images(spark, sf)
+    target, checkpoint = new_folder(spark, "manifest-bronze"), new_folder(spark, "manifest-checkpoint")
+    for _ in range(2):
+        list_files(spark, images).write.mode("append").parquet(folder)
+        rows = live.live_manifest_ingest(live.stream_parquet(spark, folder, MANIFEST), target, checkpoint)
+    named = named_image_files(rows.withColumnRenamed("file_path", "path"))
+    out = named.withColumns({c: named[c].cast("double") for c in ("median_bg", "mean_sub", "std_sub")})
+    out = out.withColumns({"object_id": object_id("path"), "image_type": image_type("path")})
+    return rounded(out.drop("path"), "median_bg", "mean_sub", "std_sub")
+
+
+@query("live_triplets", f"""
+WITH b AS (SELECT object_id, image_type, {STORED_METRICS} FROM ({STORED_BRONZE_SQL}))
+SELECT d.object_id, {", ".join(f"{t}.{m} AS {name}_{m}" for t, name in zip("dst", schemas.IMAGE_TYPES) for m in schemas.BRONZE_METRICS)}
+FROM b d JOIN b s USING (object_id) JOIN b t USING (object_id)
+WHERE d.image_type = 'DIFFERENCE' AND s.image_type = 'SCIENCE' AND t.image_type = 'TEMPLATE'""")
+def live_triplet_rows(spark, sf):
+    """Bronze rows arrive in four parts that cut through objects, in two runs of the stream."""
+    folder, target, checkpoint = (new_folder(spark, label) for label in ("arriving", "triplets", "triplets-checkpoint"))
+    bronze = fr.bronze_features(named_frames(spark, sf), "path", "pixels").withColumn(
+        "came", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("file_path"), F.lit(600))))
+    schema = schemas.with_fields(schemas.BRONZE, came=T.TimestampType())
+    bronze = materialize(bronze.select(*[F.col(f.name).cast(f.dataType) for f in schema]), "bronze")
+    for parts in ((3, 0), (1, 2)):
+        for part in parts:
+            bronze.filter(F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(4)) == part).write.mode("append").parquet(folder)
+        stream = live.stream_parquet(spark, folder, schema, files_per_batch=1)
+        rows = live_triplets(stream, "came", target, checkpoint)
+    out = rows.filter("state = 'complete'").drop("state", "missing")
+    metrics = [c for c in out.columns if c.endswith(("_bg", "_sub"))]
+    return rounded(out.withColumns({c: F.col(c).cast("double") for c in metrics}), *metrics)

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from framelake.functions import measures, naming
+from framelake.functions.pattern_index import classify_by_index
 from framelake.registry.base import query, rounded, sql_round as r, table
 from framelake.registry.derived import PATHS_SQL, paths
 from framelake.registry.rows import SCORES_SQL, scores
@@ -69,6 +70,22 @@ def classify_by_patterns(spark, sf):
     )
 
 
+# Two thousand rules: a name's leading digits by their number, then its last word; the first in order wins.
+INDEX_RULES = 1000
+
+
+@query("classify_by_index", f"""
+SELECT o_orderkey, CASE WHEN regexp_matches(name, '_(science|difference)\\.fits$') AND regexp_matches(name, '^[0-9]{{10}}_')
+         THEN 'PAIR' || CAST(CAST(name[8:10] AS INTEGER) AS VARCHAR)
+       WHEN regexp_matches(name, '_template\\.fits$') THEN 'T' || CAST(CAST(name[8:10] AS INTEGER) AS VARCHAR)
+       ELSE 'UNKNOWN' END AS data_type
+FROM (SELECT o_orderkey, regexp_extract(path, '[^/]*$') AS name FROM {PATHS_SQL})""")
+def classify_by_many_patterns(spark, sf):
+    rules = [rule for i in range(INDEX_RULES) for rule in (
+        (f"PAIR{i}", rf"^[0-9]{{7}}{i:03d}_(science|difference)\.fits$"), (f"T{i}", rf"{i:03d}_template\.fits$"))]
+    return on_paths(spark, sf, data_type=classify_by_index("path", rules))
+
+
 @query("extract_metadata", f"""
 SELECT o_orderkey, 'ZTF' AS telescope, {CLASS} AS data_type,
        CAST(substr({RUN6}, 1, 3) AS INTEGER) AS field_id, {CCD} AS ccd_id, {BAND} AS filter_band,

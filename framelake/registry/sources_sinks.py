@@ -141,6 +141,18 @@ def sink_publish_run(spark, sf):
     return tables.scan_parquet(spark, sinks.sink_publish_run(rows, target))
 
 
+@query("publish_run", "SELECT o_orderkey, o_orderpriority, CAST(2 AS BIGINT) AS runs FROM orders")
+def publish_run(spark, sf):
+    """Two runs published one after the other; the pointer leads to the second."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    base = new_folder(spark, "published")
+    sinks.publish_run(rows.filter("o_orderkey % 2 = 0"), base, "half_20251012_153354")
+    sinks.publish_run(rows, base, "full_20251012_153354")
+    runs = sinks.published_runs(spark, base).agg(F.count(F.lit(1)).alias("runs"))
+    current = tables.scan_parquet(spark, sinks.current_run(spark, base))
+    return current.withColumn("runs", runs.scalar())
+
+
 @query("run_tag", "SELECT s_suppkey, 'full_20251012_153354' AS run_id FROM supplier")
 def run_tag(spark, sf):
     return sinks.run_tag(table(spark, sf, "supplier").select("s_suppkey"), "full_20251012_153354")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from framelake.schemas import BIGINT, STRING, struct
 from framelake.workspace import materialize
 
 
@@ -84,6 +87,53 @@ def sink_publish_run(df: DataFrame, target: str, write=sink_parquet) -> str:
     return target
 
 
+#: One row per published run; the highest sequence is the current one.
+POINTER = struct(sequence=BIGINT, run_id=STRING, folder=STRING)
+
+
+def publish_run(df: DataFrame, base: str, run_id: str, write=sink_parquet) -> str:
+    """Write a run into a folder of its own and then name it in the pointer table, in one small file.
+
+    Folders of runs are never written twice, moved or deleted here, and readers resolve the pointer. Until
+    the pointer's file is there they get the run before, whatever step fails; a run that is not named is not
+    seen. That needs no rename of folders, which object stores do not have. Of two publishers at once the run
+    whose folder's name is higher becomes the current one.
+    """
+    base, spark = base.rstrip("/"), df.sparkSession
+    folder = f"{base}/runs/{run_id}-{uuid.uuid4().hex}"
+    write(df, folder)
+    before = published_runs(spark, base).agg(F.max("sequence")).first()[0]
+    row = spark.createDataFrame([((before or 0) + 1, run_id, folder.removeprefix(f"{base}/"))], POINTER)
+    row.coalesce(1).write.mode("append").parquet(f"{base}/pointers")
+    return folder
+
+
+def published_runs(spark: SparkSession, base: str) -> DataFrame:
+    """sequence, run_id and folder of all published runs; empty before the first."""
+    try:
+        return spark.read.schema(POINTER).parquet(f"{base.rstrip('/')}/pointers")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], POINTER)
+
+
+def current_run(spark: SparkSession, base: str) -> str | None:
+    """Folder of the current run; None before the first is published."""
+    newest = published_runs(spark, base).agg(F.max(F.struct("sequence", "folder")).alias("newest")).first()[0]
+    return newest and f"{base.rstrip('/')}/{newest['folder']}"
+
+
+def sink_buckets(df: DataFrame, table: str, path: str, by: str, buckets: int) -> DataFrame:
+    """Write ``df`` as a table in ``buckets`` by the hash of a column, one file each, and read it as such.
+
+    Aggregates and joins by that column then find their rows together and need no exchange.
+    """
+    rows = df.repartition(buckets, by).sortWithinPartitions(by)
+    rows.write.mode("overwrite").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+    return df.sparkSession.table(table)
+
+
 def run_tag(df: DataFrame, run_id: str, out: str = "run_id") -> DataFrame:
     """The caller names the run; nothing here reads the clock."""
     return df.withColumn(out, F.lit(run_id))

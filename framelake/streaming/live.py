@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from pyspark.sql.streaming import StreamingQuery
 
 from framelake import schemas
+from framelake.operators.frames import SUCCESS
 from framelake.plans.medallion import bronze
+from framelake.sources.manifest import content_of
 from framelake.workspace import new_folder
 
 DRAIN = {"availableNow": True}
@@ -51,7 +53,8 @@ def stream_images(spark: SparkSession, path: str, recursive: bool = True,
     return reader.load(path)
 
 
-def _drains(trigger: Mapping) -> bool:
+def drains(trigger: Mapping) -> bool:
+    """Whether a trigger stops when what has arrived is done."""
     return bool(trigger.get("availableNow") or trigger.get("once"))
 
 
@@ -71,7 +74,7 @@ def _latest(stream: DataFrame, label: str, trigger: Mapping,
         .option("checkpointLocation", f"{folder}/state")
         .trigger(**trigger).start()
     )
-    if not _drains(trigger):
+    if not drains(trigger):
         return query
     query.awaitTermination()
     found, last = spark.table(name), f"{folder}/last"
@@ -128,7 +131,28 @@ def live_bronze_ingest(files: DataFrame, target: str, checkpoint: str, trigger:
         .option("path", target).option("checkpointLocation", checkpoint)
         .trigger(**trigger).start()
     )
-    if not _drains(trigger):
+    if not drains(trigger):
         return query
     query.awaitTermination()
     return files.sparkSession.read.schema(schemas.BRONZE).parquet(target)
+
+
+def live_manifest_ingest(manifest: DataFrame, target: str, checkpoint: str, event_time: str = "modificationTime",
+                         delay: str = "7 days", trigger: Mapping = DRAIN):
+    """Turn the files of arriving manifest rows into bronze rows in ``target``, each file once.
+
+    The stream's own log names manifest files, not images. A path that is listed again within ``delay`` of
+    ``event_time`` is dropped, across restarts; Spark forgets older paths, whose rows it drops as late. Bytes
+    are read where the rows are.
+    """
+    listed = manifest.filter(F.col("status") == SUCCESS).withWatermark(event_time, delay)
+    files = content_of(listed.dropDuplicatesWithinWatermark(["path"]))
+    query = (
+        bronze(files).writeStream.outputMode("append").format("parquet")
+        .option("path", target).option("checkpointLocation", checkpoint)
+        .trigger(**trigger).start()
+    )
+    if not drains(trigger):
+        return query
+    query.awaitTermination()
+    return manifest.sparkSession.read.schema(schemas.BRONZE).parquet(target)
