@@ -3,7 +3,9 @@
 A page becomes the sequence of its leaf blocks. Each block is a vector of its hashed tag path, its
 hashed words (all of them, as counts of unit length), and a few measures such as length and link density. A bidirectional LSTM in NumPy reads
 the sequence both ways and labels every block as main text or not, so a block is judged with the
-whole page around it. Blocks labelled main text are joined in page order.
+whole page around it. Blocks labelled main text are joined in page order. When pages are labelled the
+vectors are never built: the input weights of what is set in them are gathered and added up, once for each
+different path, and long pages are read in pieces.
 
 The labeller is trained here, when it is first needed, on pages made from layout rules: containers
 of menus, headers, footers, sidebars, notices, adverts, forms and comments around articles in many
@@ -27,19 +29,18 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from framelake.llm.common import schema_of
-from framelake.llm.html_blocks import Leaf, leaves
+from framelake.llm.html_blocks import SLOTS, Leaf, leaves, slot
 
-PATH, WORDS, MEASURES, HIDDEN = 256, 1024, 8, 24
+PATH, WORDS, MEASURES, HIDDEN = SLOTS, 1024, 8, 24
 INPUT = PATH + WORDS + MEASURES
 #: Made pages to learn from, training steps, pages a step, and pages whose blocks are read together.
-TRAINING_PAGES, STEPS, BATCH, GROUP = 3000, 600, 24, 128
-#: Blocks in one padded array at most: long pages go alone.
+TRAINING_PAGES, STEPS, BATCH, GROUP = 3000, 600, 24, 96
+#: Blocks in one padded array at most: long pages go alone, in pieces.
 CELLS = 16_000
-
-
-@lru_cache(maxsize=1 << 16)
-def _slot(name: str, size: int) -> int:
-    return xxhash.xxh32_intdigest(name.encode(), 7) % size
+#: Blocks of more different words than this are added up one by one, so many words at a time.
+LONG, ENTRIES = 64, 1024
+#: Distinct paths whose sums of weights a worker keeps.
+PATHS = 1 << 13
 
 
 @lru_cache(maxsize=1 << 16)
@@ -48,30 +49,81 @@ def _word_slot(token: str) -> int:
     return xxhash.xxh32_intdigest(token.strip(".,;:!?()\"'").encode("utf-8", "surrogatepass"), 7) % WORDS
 
 
+#: Hashes of the names on a block's path, and of the name next to it, apart from those around it.
+PathKey = tuple[frozenset[int], int]
+NO_PATH: PathKey = (frozenset(), -1)
+
+
+class Features:
+    """Inputs of the blocks of some pages, all blocks in a row: only what is set is held.
+
+    ``paths`` has a key per block, ``measures`` a row; the words of block i are entries ``ends[i]`` to
+    ``ends[i + 1]`` of ``slots`` and ``weights``, counts of a length of one.
+    """
+
+    def __init__(self, pages: list[list[Leaf]]):
+        self.lengths = np.array([len(page) for page in pages], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        n = int(self.starts[-1])
+        self.paths: list[PathKey] = []
+        found: list[int] = []
+        told = []  # of each block: characters, words, characters in links, stops, whether it ends in one, its place, a sign
+        for page in pages:
+            for k, leaf in enumerate(page):
+                text, node = leaf.text, leaf.node
+                self.paths.append((node.slots, slot("=" + node.names[-1])) if node else NO_PATH)
+                tokens = text.lower().split()
+                found += map(_word_slot, tokens)
+                told.append((len(text), len(tokens), leaf.linked, sum(map(text.count, ".,;!?")), text[-1] in ".!?:", k,
+                             "\N{COPYRIGHT SIGN}" in text))
+        size, counts, linked, stops, ended, place, sign = np.array(told, np.int64).reshape(-1, 7).T
+        self.measures = np.stack([
+            np.log1p(size) / 6, np.log1p(counts) / 4, np.minimum(linked / np.maximum(size, 1), 1), stops / (counts + 1), ended,
+            place / np.repeat(self.lengths, self.lengths), 1 / (1 + place), sign], axis=1).astype(np.float32)
+        keys, times = np.unique(np.repeat(np.arange(n), counts) * WORDS + np.array(found, np.int64), return_counts=True)
+        rows, self.slots = keys // WORDS, (keys % WORDS).astype(np.int32)
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+        weights = np.log1p(times)  # a word that a block repeats does not drown the others
+        norms = np.maximum(np.sqrt(np.bincount(rows, weights * weights, minlength=n)), 0.5)
+        self.weights = (weights / norms[rows]).astype(np.float32)
+
+    def words(self, weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Sums of ``weights`` over the words of ``rows``."""
+        sizes = self.ends[rows + 1] - self.ends[rows]
+        out = np.zeros((len(rows), weights.shape[1]), np.float32)
+        # The first words of all blocks together, then the second ones; blocks in falling order of length.
+        order = np.argsort(-sizes, kind="stable")
+        long = int(np.count_nonzero(sizes > LONG))
+        sums, begins = np.zeros((len(rows) - long, weights.shape[1]), np.float32), self.ends[rows[order[long:]]]
+        left = np.searchsorted(-sizes[order[long:]], -np.arange(LONG), side="left")  # blocks of more than k words
+        for k, n in enumerate(left.tolist()):
+            if not n:
+                break
+            at = begins[:n] + k
+            sums[:n] += weights[self.slots[at]] * self.weights[at, None]
+        out[order[long:]] = sums
+        for i in order[:long].tolist():
+            low, high = self.ends[rows[i]], self.ends[rows[i] + 1]
+            for at in range(low, high, ENTRIES):
+                part = slice(at, min(at + ENTRIES, high))
+                out[i] += np.einsum("w,wg->g", self.weights[part], weights[self.slots[part]])
+        return out
+
+    def dense(self) -> np.ndarray:
+        """One row of ``INPUT`` numbers a block, as training takes them."""
+        out = np.zeros((len(self.paths), INPUT), np.float32)
+        for row, (slots, last) in zip(out, self.paths):
+            row[list(slots)] = 1.0
+            if last >= 0:
+                row[last] = 1.0
+        out[np.repeat(np.arange(len(out)), np.diff(self.ends)), PATH + self.slots] = self.weights
+        out[:, PATH + WORDS:] = self.measures
+        return out
+
+
 def vectors(page: list[Leaf]) -> np.ndarray:
     """One row a block."""
-    out = np.zeros((len(page), INPUT), np.float32)
-    slots, counts = [], []
-    for i, leaf in enumerate(page):
-        row = out[i]
-        for name in leaf.path:
-            row[_slot(name, PATH)] = 1.0
-        if leaf.path:  # the element itself, apart from those around it
-            row[_slot("=" + leaf.path[-1], PATH)] = 1.0
-        tokens = leaf.text.lower().split()
-        slots += [_word_slot(token) for token in tokens]
-        counts.append(len(tokens))
-        size = len(leaf.text)
-        row[PATH + WORDS:] = (
-            np.log1p(size) / 6, np.log1p(len(tokens)) / 4, min(leaf.linked / size, 1.0),
-            sum(map(leaf.text.count, ".,;!?")) / (len(tokens) + 1), leaf.text[-1] in ".!?:", i / len(page),
-            1 / (1 + i), "\N{COPYRIGHT SIGN}" in leaf.text)
-    if slots:
-        words = np.zeros((len(page), WORDS), np.float32)
-        np.add.at(words, (np.repeat(np.arange(len(page)), counts), slots), 1)
-        words = np.log1p(words)  # a word that a block repeats does not drown the others
-        out[:, PATH:PATH + WORDS] = words / np.maximum(np.sqrt((words * words).sum(1, keepdims=True)), 0.5)
-    return out
+    return Features([page]).dense()
 
 
 class BiLstm:
@@ -81,6 +133,7 @@ class BiLstm:
         rng = np.random.default_rng(seed)
         draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         self.p = {"out": draw(2 * HIDDEN, 1, scale=0.2), "bias": np.zeros(1, np.float32)}
+        self.sums: dict[tuple[PathKey, str], np.ndarray] = {}
         for side in "fb":
             self.p[f"x{side}"] = draw(INPUT, 4 * HIDDEN, scale=0.1)
             self.p[f"h{side}"] = draw(HIDDEN, 4 * HIDDEN, scale=0.2)
@@ -141,20 +194,70 @@ class BiLstm:
             grads[f"c{side}"] = flat.sum(0)
         return grads
 
-    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+    def _along_path(self, key: PathKey, side: str) -> np.ndarray:
+        """Sum of the input weights of a path's names."""
+        found = self.sums.get((key, side))
+        if found is None:
+            slots, last = key
+            chosen = sorted(slots | {last}) if last >= 0 else []
+            found = self.p[f"x{side}"][chosen].sum(0)
+            if len(self.sums) >= 2 * PATHS:
+                self.sums.clear()
+            self.sums[key, side] = found
+        return found
+
+    def _inputs(self, features: Features, rows: np.ndarray, side: str) -> np.ndarray:
+        """What the gates of one direction take from the blocks ``rows``, which rise: gathered sums of weights,
+        no vector of a block."""
+        weights = self.p[f"x{side}"]
+        out = features.words(weights[PATH:PATH + WORDS], rows) + self.p[f"c{side}"]
+        kinds: dict[PathKey, int] = {}
+        which = np.array([kinds.setdefault(features.paths[r], len(kinds)) for r in rows.tolist()])
+        out += np.stack([self._along_path(key, side) for key in kinds])[which]
+        for k in range(MEASURES):
+            out += features.measures[rows, k, None] * weights[PATH + WORDS + k]
+        return out
+
+    def _states(self, features: Features, pages: np.ndarray, side: str) -> np.ndarray:
+        """States (steps, pages, HIDDEN) of one direction over some pages, in pieces of ``CELLS`` blocks."""
+        lengths, first = features.lengths[pages], features.starts[pages]
+        steps, size = int(lengths.max()), max(1, CELLS // len(pages))
+        states = np.zeros((steps, len(pages), HIDDEN), np.float32)
+        h = c = np.zeros((len(pages), HIDDEN), np.float32)
+        edges = range(0, steps, size)
+        for low in edges if side == "f" else reversed(edges):
+            high = min(low + size, steps)
+            place, column = np.nonzero(np.arange(low, high)[:, None] < lengths)
+            rows = first[column] + low + place
+            order = np.argsort(rows)
+            taken = np.zeros((high - low, len(pages), 4 * HIDDEN), np.float32)
+            taken[place[order], column[order]] = self._inputs(features, rows[order], side)
+            for t in range(low, high) if side == "f" else range(high - 1, low - 1, -1):
+                gates = taken[t - low] + h @ self.p[f"h{side}"]
+                open_ = self._sigmoid(gates)
+                i, f, o = (open_[:, k * HIDDEN:(k + 1) * HIDDEN] for k in (0, 1, 3))
+                m = (t < lengths)[:, None]
+                c = np.where(m, f * c + i * np.tanh(gates[:, 2 * HIDDEN:3 * HIDDEN]), c)
+                h = np.where(m, o * np.tanh(c), h)
+                states[t] = h
+        return states
+
+    def label(self, features: Features) -> list[np.ndarray]:
         """P(main text) of each page's blocks; pages of like length are read together."""
-        out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
-        group: list[int] = []
-        for k in [*order, None]:
-            if group and (k is None or (len(group) + 1) * max(len(pages[k]), 1) > CELLS):
-                x, mask = padded([pages[j] for j in group])
-                found, _ = self.forward(x, mask)
-                for column, j in enumerate(group):
-                    out[j] = found[:len(pages[j]), column]
-                group = []
-            if k is not None and len(pages[k]):
-                group.append(k)
+        out: list[np.ndarray] = [np.zeros(0)] * len(features.lengths)
+        order = [int(k) for k in np.argsort(features.lengths, kind="stable") if features.lengths[k]]
+        at = 0
+        while at < len(order):
+            stop = at + 1
+            while stop < len(order) and (stop + 1 - at) * features.lengths[order[stop]] <= CELLS:
+                stop += 1
+            pages = np.array(order[at:stop])
+            raw = sum(np.einsum("tbh,h->tb", self._states(features, pages, side), part[:, 0])
+                      for side, part in zip("fb", np.split(self.p["out"], 2)))
+            found = self._sigmoid(raw + self.p["bias"])
+            for column, k in enumerate(pages):
+                out[k] = found[:features.lengths[k], column]
+            at = stop
         return out
 
 
@@ -366,7 +469,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
             for start in range(0, batch.num_rows, GROUP):
                 part = batch.slice(start, GROUP)
                 blocks = [leaves(x.as_py()) for x in part.column(2)]
-                chances = labeller.label([vectors(b) for b in blocks])
+                chances = labeller.label(Features(blocks))
                 texts = ["\n\n".join(leaf.text for leaf, p in zip(b, chance) if p >= least)
                          for b, chance in zip(blocks, chances)]
                 yield pa.RecordBatch.from_arrays(

@@ -254,7 +254,7 @@ def test_all_words_of_a_block_count():
     notice, prose = map(html_extraction.vectors, pages)
     words = slice(html_extraction.PATH, html_extraction.PATH + html_extraction.WORDS)
     assert (notice[2, words] != prose[2, words]).sum() > 10
-    chances = html_extraction.trained().label([notice, prose])
+    chances = html_extraction.trained().label(html_extraction.Features(pages))
     assert chances[0][2] < 0.5 < chances[1][2]
 
 
@@ -273,7 +273,7 @@ def test_labeller_on_held_out_pages():
         html, labels = maker.page()
         found = html_blocks.leaves(html)
         if found and len(found) == len(labels):
-            right += int(((model.label([html_extraction.vectors(found)])[0] >= 0.5) == np.array(labels)).sum())
+            right += int(((model.label(html_extraction.Features([found]))[0] >= 0.5) == np.array(labels)).sum())
             blocks += len(labels)
     assert right >= 0.985 * blocks
 
