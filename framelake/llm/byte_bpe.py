@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import base64
 import importlib.util
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 from itertools import chain
@@ -29,7 +29,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 #: Bits of a bitmap word; two levels of them hold 65,536 ranks.
 SHIFT = 8
@@ -37,6 +37,8 @@ WORD = 1 << SHIFT
 BIT = [1 << i for i in range(WORD)]
 #: Pre-tokens that a worker remembers in each of two generations, and the longest of them.
 CACHED, CACHED_BYTES = 1 << 18, 64
+#: Texts whose ids a task hands over at a time.
+ROWS = 256
 FOLLOWING, PRECEDING = list(range(1, CACHED_BYTES + 1)), list(range(-1, CACHED_BYTES - 1))
 
 
@@ -229,18 +231,24 @@ def round_trip(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
     """``docs`` with ``ids`` and the bytes they ``decoded`` to, both from one pass of a task over its texts.
 
     As two functions one after the other, Spark would encode a text for the ids and again for the bytes.
+    Rows leave a task ``ROWS`` at a time, so that it holds the ids of few texts.
     """
     data, cut = read_vocabulary(vocabulary), _pattern(pattern)
+    rest = [f for f in docs.schema if f.name not in ("ids", "decoded")]
+    name = "_" * (1 + max((len(f.name) for f in rest), default=0))  # longer than any, so no column's
+    texts = docs.select(F.col(text).alias(name), *[F.col(f"`{f.name}`") for f in rest])
+    schema = T.StructType([*rest, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
 
-    @F.arrow_udf("struct<ids: array<int>, decoded: binary>")
-    def run(texts: pa.Array) -> pa.Array:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(data, cut)
-        coded = [own.encode(value.as_py()) for value in texts]
-        return pa.StructArray.from_arrays(
-            [_lists(coded), pa.array(map(own.decode, coded), pa.binary())], names=["ids", "decoded"])
-
-    coded = run(F.col(text))
-    return docs.withColumns({"ids": coded["ids"], "decoded": coded["decoded"]})
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                coded = [own.encode(value.as_py()) for value in part.column(0)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[1:], _lists(coded), pa.array(map(own.decode, coded), pa.binary())], names=schema.names)
+
+    return texts.mapInArrow(run, schema)
 
 
 def digest(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
