@@ -10,7 +10,8 @@ in full. Documents that cover an item by ``coverage`` or more are contaminated.
 
 Items are the query set. Their different texts come in blocks of about ``block_words`` words, chosen
 by hash, and each block meets all documents in one pass, so that a task holds one block however large
-the benchmark is and however often it repeats a text; the ids of the items are joined to what is found. An item with fewer than ``match`` words is matched as a whole.
+the benchmark is and however often it repeats a text; the ids of the items are joined to what is found. An item with fewer than ``match`` words, which any text may
+hold by chance, counts only where it is the document's whole text.
 
 Nulls: null texts have no words; such documents match nothing and such items are left out. Repeated
 documents give a row each; repeated items too. Of tiles of equal length the first in the document
@@ -96,35 +97,41 @@ class SeedIndex:
 
     def __init__(self, items: list[tuple[str, list[bytes]]], match: int):
         self.items, self.match = items, match
-        self.groups = []  # by length of run: items shorter than ``match`` are runs of their own length
-        for n in sorted({min(match, len(t)) for _, t in items}):
-            own = [(k, run_hashes(word_ids(t), n)) for k, (_, t) in enumerate(items) if min(match, len(t)) == n]
-            hashes = np.concatenate([h for _, h in own])
-            item = np.concatenate([np.full(len(h), k) for k, h in own])
-            place = np.concatenate([np.arange(len(h)) for _, h in own])
-            order = np.argsort(hashes, kind="stable")
-            self.groups.append((n, hashes[order], item[order], place[order]))
+        self.lengths = np.array([len(t) for _, t in items], np.int64)
+        self.short: dict[tuple[bytes, ...], list[int]] = {}
+        for k, (_, t) in enumerate(items):
+            if len(t) < match:
+                self.short.setdefault(tuple(t), []).append(k)
+        own = [(k, run_hashes(word_ids(t), match)) for k, (_, t) in enumerate(items) if len(t) >= match]
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(h for _, h in own)])
+        item = np.repeat(np.array([k for k, _ in own], np.int64), [len(h) for _, h in own])
+        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for _, h in own)])
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.item, self.place = hashes[order], item[order], place[order]
 
     def candidates(self, tokens: list[bytes], coverage: float) -> list[int]:
-        """Items whose words under shared seeds reach ``coverage``: no tiling can cover more."""
-        ids, found = word_ids(tokens), []
-        for n, hashes, item, place in self.groups:
-            own = np.unique(run_hashes(ids, n))
-            low = np.searchsorted(hashes, own, "left")
-            counts = np.searchsorted(hashes, own, "right") - low
-            hits = np.flatnonzero(counts)
-            if not len(hits):
-                continue
-            at = np.concatenate([np.arange(low[h], low[h] + counts[h]) for h in hits])
-            for k in np.unique(item[at]).tolist():
-                words = len(self.items[k][1])
-                steps = np.zeros(words + 1, np.int64)
-                here = place[at[item[at] == k]]
-                np.add.at(steps, here, 1)
-                np.add.at(steps, here + n, -1)
-                if (np.cumsum(steps[:-1]) > 0).sum() >= coverage * words:
-                    found.append(k)
-        return found
+        """Items whose words under shared seeds reach ``coverage``: no tiling can cover more.
+
+        All hits are sorted once by item and place, however many items share a seed.
+        """
+        found = list(self.short.get(tuple(tokens), ())) if len(tokens) < self.match else []
+        own = np.unique(run_hashes(word_ids(tokens), self.match))
+        low = np.searchsorted(self.hashes, own, "left")
+        counts = np.searchsorted(self.hashes, own, "right") - low
+        low, counts = low[counts > 0], counts[counts > 0]
+        if not len(low):
+            return found
+        at = np.arange(int(counts.sum())) + np.repeat(low - (np.cumsum(counts) - counts), counts)
+        item, place = self.item[at], self.place[at]
+        order = np.lexsort((place, item))
+        item, place = item[order], place[order]
+        # Words that a run adds: up to where the next run of its item begins.
+        added = np.full(len(item), self.match, np.int64)
+        together = item[1:] == item[:-1]
+        added[:-1][together] = np.minimum(self.match, place[1:][together] - place[:-1][together])
+        first = np.flatnonzero(np.concatenate([[True], ~together]))
+        covered, which = np.add.reduceat(added, first), item[first]
+        return found + which[covered >= coverage * self.lengths[which]].tolist()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text",

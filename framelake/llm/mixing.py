@@ -196,18 +196,21 @@ def mix(docs: DataFrame, sizes: DataFrame, size: str = "size", source: str = "so
     plan = sizes.select(
         F.col("source").alias("__source"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)).alias("__rate"))
+    # The caller's columns travel in one, so that no name of theirs meets a name from here.
     fresh = docs.drop("source_size", "target", "copies")
-    counts = fresh.groupBy(F.col(source).alias("__source")).agg(F.count("*").alias("__docs"))
+    packed = fresh.select(
+        F.struct(*[F.col(f"`{c}`") for c in fresh.columns]).alias("__row"), F.col(source).alias("__of"),
+        F.col(size).alias("__words"), F.xxhash64(*(F.col(k) for k in keys), F.col(size)).alias("__name"))
+    counts = packed.groupBy(F.col("__of").alias("__source")).agg(F.count("*").alias("__docs"))
     plan = materialize(plan.alias("p").join(counts.alias("c"), F.col("p.__source").eqNullSafe(F.col("c.__source")))
                        .select("p.*", "__docs"), "mix-plan")
-    blocks = F.ceil(F.col("__docs") / block)
-    name = F.xxhash64(*(F.col(k) for k in keys), F.col(size))
-    whole = F.when(F.col(size) > 0, F.floor("__rate")).otherwise(F.lit(0)).cast("long")
-    units = fresh.join(plan, F.col(source).eqNullSafe(F.col("__source")), "left").drop("__source").withColumns({
-        "__size": F.col(size).cast("double"), "__name": name, "copies": whole,
-        "__group": F.col(source).cast("string"), "__blocks": blocks.cast("long"), "__docs": F.col("__docs"),
-        "__chance": F.when(F.col(size) > 0, F.col("__rate") - F.floor("__rate")).otherwise(F.lit(0.0)),
-    }).drop("__rate", "__docs").withColumn("__block", F.pmod("__name", F.col("__blocks")).cast("long"))
+    some = F.col("__words") > 0
+    units = packed.join(plan, F.col("__of").eqNullSafe(F.col("__source")), "left").select(
+        "__row", "source_size", "target", F.col("__words").cast("double").alias("__size"), "__name",
+        F.when(some, F.floor("__rate")).otherwise(F.lit(0)).cast("long").alias("copies"),
+        F.col("__of").cast("string").alias("__group"), F.ceil(F.col("__docs") / block).cast("long").alias("__blocks"),
+        F.when(some, F.col("__rate") - F.floor("__rate")).otherwise(F.lit(0.0)).alias("__chance"),
+    ).withColumn("__block", F.pmod("__name", F.col("__blocks")).cast("long"))
     columns = [c for c in units.columns if c != "__chance"]
     out = StructType([*(units.schema[c] for c in columns), StructField("__chance", DoubleType()),
                       StructField("__open", BooleanType())])
@@ -230,8 +233,7 @@ def mix(docs: DataFrame, sizes: DataFrame, size: str = "size", source: str = "so
     every = decided[0]
     for part in decided[1:]:
         every = every.unionByName(part)
-    return every.withColumn("copies", F.col("copies") + F.col("__chance").cast("long")) \
-        .drop("__size", "__name", "__group", "__blocks", "__block", "__chance", "__open")
+    return every.select("__row.*", "source_size", "target", (F.col("copies") + F.col("__chance").cast("long")).alias("copies"))
 
 
 def _arrow(schema: StructType) -> pa.Schema:

@@ -1,8 +1,9 @@
 """Secret scans by dictionary-primed compression.
 
 Three fixed patterns give the base spans. Further candidates are long runs of key characters
-shortly after a sensitive word, or after a candidate that was reported; of a run that a base span
-touches, the parts outside it. Each is compressed by zstandard with a raw dictionary made of
+shortly before or after a sensitive word, or after a candidate that was reported; of a run that a base span
+touches, the parts outside it. A candidate whose letters, digits and capitals come in runs as long as those of
+words is a name or path and is left alone. Each is compressed by zstandard with a raw dictionary made of
 common identifiers and the text around it: an identifier, a path or a word that the surroundings
 already hold costs few bytes, a random string costs about its length. Candidates whose marginal
 bytes reach ``novelty`` of their length are reported as ``novel``.
@@ -16,6 +17,7 @@ the output replaces them.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import zstandard
@@ -40,6 +42,7 @@ SENSITIVE = re.compile(
 )
 #: One of these, lower-cased, is in every text that ``SENSITIVE`` or ``ASSIGN`` can match.
 STEMS = ("passw", "passphrase", "secret", "token", "api", "credential", "bearer", "key", "authorization")
+KEY_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=~-")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
 
 IDENTIFIERS = (
@@ -55,6 +58,24 @@ IDENTIFIERS = (
 ).encode()
 
 
+#: Letters that begin with a capital at most, capitals, or digits.
+RUN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: What may be a word or a name's part: four letters or more with a vowel and no five consonants on end.
+WORD = re.compile(r"(?=[a-z]*[aeiouy])(?![a-z]*[^aeiouy]{5})[a-z]{4,}", re.IGNORECASE)
+#: Share of letters in words that makes a name; share of neighbours of a random string that belong to different
+#: runs, and how many standard deviations below it still count as random.
+NAMED, BREAKS, BELOW = 0.6, 0.45, 2.5
+
+
+def is_broken(value: str) -> bool:
+    """Whether runs of like characters are as short as chance makes them, and few are words."""
+    runs = RUN.findall(value)
+    size = sum(map(len, runs))
+    if sum(len(run) for run in runs if WORD.fullmatch(run)) > NAMED * size:
+        return False
+    return len(runs) >= 1 + BREAKS * (size - 1) - BELOW * (BREAKS * (1 - BREAKS) * max(size - 1, 0)) ** 0.5
+
+
 def outside(taken: list[tuple[int, int]], first: int, start: int, end: int) -> Iterator[tuple[int, int]]:
     """Parts of a span that the sorted spans from ``first`` on leave."""
     while start < end and first < len(taken) and taken[first][0] < end:
@@ -106,8 +127,10 @@ class NoveltyScanner:
         if not any(stem in lower for stem in STEMS):
             return []
         taken = sorted((s, e) for s, e, _ in base)
-        found, done, t = [], 0, 0
+        found, done, t, before, since = [], 0, 0, [], 0
         for word in SENSITIVE.finditer(text):
+            ahead, since = self.ahead(text, word.start(), taken, since)
+            before += ahead
             at, limit = max(word.end(), done), word.end() + self.reach
             while m := CANDIDATE.search(text, at):
                 if m.start() > limit:
@@ -119,7 +142,23 @@ class NoveltyScanner:
                     if self.is_novel(text, start, end) or self.ends_lines(text, start, end, found):
                         found.append((start, end, "novel"))
                         limit = end + self.reach
-        return found
+        return sorted({*found, *before})
+
+    def ahead(self, text: str, word: int, taken: list[tuple[int, int]], since: int) -> tuple[list[tuple[int, int, str]], int]:
+        """(novel candidates that end at most ``reach`` characters before a sensitive word, how far they were looked for).
+
+        What lies before ``since`` was looked at for an earlier word.
+        """
+        at = max(since, word - self.reach)
+        while at > since and text[at - 1] in KEY_CHARACTERS:  # from the start of a candidate that reaches in
+            at -= 1
+        found = []
+        for m in CANDIDATE.finditer(text, at, word):
+            since = m.end()
+            for start, end in outside(taken, max(0, bisect_left(taken, (m.start(), 0)) - 1), *m.span()):
+                if self.is_novel(text, start, end):
+                    found.append((start, end, "novel"))
+        return found, since
 
     @staticmethod
     def ends_lines(text: str, start: int, end: int, found: list[tuple[int, int, str]]) -> bool:
@@ -133,7 +172,7 @@ class NoveltyScanner:
     def is_novel(self, text: str, start: int, end: int) -> bool:
         value = text[start:end].strip(".=-/")
         kinds = sum(any(test(c) for c in value) for test in (str.isdigit, str.islower, str.isupper))
-        if len(value) < self.minimum or kinds < 2:
+        if len(value) < self.minimum or kinds < 2 or not is_broken(value):
             return False
         around = text[max(0, start - self.context):start] + " " + text[end:end + self.context]
         return self.marginal_bytes(value, around) >= self.novelty * len(value)

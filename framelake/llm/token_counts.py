@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from framelake.llm.common import schema_of
+from framelake.workspace import materialize
 
 #: Lengths per block of the two-level running sum.
 BLOCK = 1024
@@ -68,6 +69,8 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     levels, over blocks of lengths and within a block, so no task sees more lengths than a block or
     more blocks than the longest document has.
     """
+    # A few thousand rows, written: both levels read them, and texts are encoded once.
+    histogram = materialize(histogram, "length-histogram")
     cells = histogram.select(
         "n_tokens", "n_docs", (F.col("n_tokens") * F.col("n_docs")).alias("tokens"),
         F.floor(F.col("n_tokens") / BLOCK).alias("block"),
@@ -99,10 +102,9 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
 
 def truncated_total(sums: DataFrame, limit: int) -> DataFrame:
     """One row: tokens left when documents are cut at ``limit``, whether or not a length equals it."""
-    at = sums.filter(F.col("n_tokens") <= limit).agg(
-        F.coalesce(F.max("tokens_le"), F.lit(0)).alias("whole"), F.coalesce(F.max("docs_le"), F.lit(0)).alias("fit"))
-    total = sums.agg(F.coalesce(F.max("docs_le"), F.lit(0)).alias("docs"))
-    return at.join(total).select((F.col("whole") + F.lit(limit) * (F.col("docs") - F.col("fit"))).alias("tokens"))
+    fits, most = F.col("n_tokens") <= limit, lambda column: F.coalesce(F.max(column), F.lit(0))
+    rest = most("docs_le") - most(F.when(fits, F.col("docs_le")))
+    return sums.agg((most(F.when(fits, F.col("tokens_le"))) + F.lit(limit) * rest).alias("tokens"))
 
 
 def length_quantile(sums: DataFrame, q: float) -> DataFrame:
