@@ -641,4 +641,4 @@ def test_decontamination_of_odd_rows(odd_docs, no_docs, spark, sf):
 
 def test_queries_are_registered():
     names = {int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES}
-    assert names == set(range(1, 11)) and json.dumps(sorted(QUERIES))
+    assert names == set(range(1, 14)) and json.dumps(sorted(QUERIES))
