@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from framelake.operators.frames import NO_IMAGE, SUCCESS
 from framelake.schemas import BIGINT, FLOAT, INT, STRING, struct
-from framelake.sources.images import BLOCK, CARD, GZIP_MAGIC, PIXEL_TYPES, header_values, image_shape, scaled
+from framelake.sources.images import BLOCK, GZIP_MAGIC, PIXEL_TYPES, header_values, image_shape, scaled
 from framelake.sources.manifest import opened
 
 #: Bytes of pixels in a band; a band has one line of the image at least.
