@@ -4,7 +4,6 @@ import random
 import string
 import time
 
-import pytest
 from pyspark.sql import functions as F
 
 from framelake.llm import decontamination, mixing, secrets, token_counts
