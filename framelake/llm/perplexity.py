@@ -1,13 +1,7 @@
-"""Quality rules with a modified Kneser-Ney n-gram model counted by Spark.
+"""Quality rules: base counts of each text, and perplexity bands of a model of each language.
 
-The model predicts the next letter class of a text from the ``ORDER - 1`` before it. A text's UTF-8
-bytes are folded to 32 classes (letters without case, digits, punctuation, others), so an n-gram packs
-into 5 bits a class and the model has at most 32**4 entries, about 16 MB, whatever the corpus: that is
-the proven bound of what is collected and broadcast. Counting covers every text: each task adds up its
-own n-grams, the sums meet in one shuffle. The counts of an order lie in sorted arrays of packed keys
-(here the hash is the packed n-gram itself, without collisions) which are searched by bisection.
-
-A document's score is its mean negative log-probability per class. Each language has a band around
+The model, modified Kneser-Ney over word pairs, is that of ``kneser_ney``; a document's score is its mean
+negative log-probability a word, without its own counts. Each language has a band around
 the median of its documents: ``WIDTH`` robust deviations to either side for long texts, and more for
 short ones, whose means vary more, by the factor ``sqrt(1 + SHORT / words)``. Documents outside are
 rejected. Medians are taken from an exact histogram of scores on a fixed grid, over all documents.
@@ -18,120 +12,17 @@ of its own. Repeated rows count each. An empty table gives an empty result. Text
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from framelake.llm.common import schema_of
+from framelake.llm import kneser_ney
 from framelake.workspace import materialize
 
-ORDER, BITS = 4, 5
-SIZE = 1 << BITS
-#: Texts are folded in pieces of this many bytes, with an overlap, so that no text needs arrays much larger.
-PIECE = 1 << 20
-#: Grid of the score histogram, in nats per class; width of the band in robust deviations, the number of
+#: Grid of the score histogram, in nats per word; width of the band in robust deviations, the number of
 #: words at which it is wider by the root of two, and the least deviation as a share of the median.
 GRID, WIDTH, SHORT, LEAST_SPREAD = 0.001, 5.0, 40.0, 0.01
 
 
-def _classes() -> np.ndarray:
-    kind = np.full(256, 29, np.uint8)  # other ASCII
-    kind[[9, 10, 11, 12, 13, 32]] = 0
-    for first in (ord("a"), ord("A")):
-        kind[first:first + 26] = np.arange(1, 27)
-    kind[ord("0"):ord("9") + 1] = 27
-    kind[[ord(c) for c in ".,;:'\"!?()-"]] = 28
-    kind[128:192], kind[192:] = 31, 30  # later and first bytes of other letters
-    return kind
-
-
-CLASSES = _classes()
-
-
-def keys_of(text: bytes) -> Iterator[np.ndarray]:
-    """Packed n-grams that end at each byte of ``text``, led by spaces; one array per piece."""
-    for start in range(0, len(text), PIECE):
-        lead = max(0, start - ORDER + 1)
-        symbols = CLASSES[np.frombuffer(text, np.uint8, min(PIECE + start, len(text)) - lead, lead)].astype(np.int64)
-        if start == 0:
-            symbols = np.concatenate([np.zeros(ORDER - 1, np.int64), symbols])
-        keys = symbols[ORDER - 1:].copy()
-        for back in range(1, ORDER):
-            keys |= symbols[ORDER - 1 - back:len(symbols) - back] << (BITS * back)
-        yield keys
-
-
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(ngram, n) over all texts, summed in the tasks before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SIZE**ORDER, np.int64)
-        for batch in batches:
-            parts = [k for x in batch.column(0) if (t := x.as_py()) for k in keys_of(t.encode("utf-8", "surrogatepass"))]
-            if parts:
-                total += np.bincount(np.concatenate(parts), minlength=len(total))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], schema=schema_of("ngram long, n long"))
-
-    return docs.select(text).mapInArrow(run, "ngram long, n long").groupBy("ngram").agg(F.sum("n").alias("n"))
-
-
-class KneserNey:
-    """Interpolated modified Kneser-Ney over packed n-grams in sorted arrays."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        order = np.argsort(keys)
-        self.levels = []  # from the highest order down: keys, discounted share, contexts, backoff weight
-        keys, counts = keys[order].astype(np.int64), counts[order].astype(np.float64)
-        for _ in range(ORDER):
-            discounts = self._discounts(counts)
-            contexts, start = np.unique(keys >> BITS, return_index=True)
-            totals = np.add.reduceat(counts, start) if len(counts) else counts
-            cut = discounts[np.minimum(counts, 3).astype(np.int64)]
-            where = np.repeat(np.arange(len(contexts)), np.diff(np.append(start, len(keys))))
-            share = np.maximum(counts - cut, 0) / totals[where]
-            weight = (np.add.reduceat(np.minimum(cut, counts), start) if len(counts) else counts) / totals
-            self.levels.append((keys, share, contexts, weight))
-            # The next order counts the different classes that precede each shorter n-gram.
-            width = BITS * (ORDER - 1 - len(self.levels) + 1)
-            keys, counts = np.unique(keys & ((1 << width) - 1), return_counts=True) if width else (keys[:0], counts[:0])
-            counts = counts.astype(np.float64)
-
-    @staticmethod
-    def _discounts(counts: np.ndarray) -> np.ndarray:
-        """Discounts of counts 0, 1, 2 and 3 or more, from the counts of counts."""
-        n = [float((counts == k).sum()) for k in range(1, 5)]
-        if min(n[:3]) == 0 or n[0] + 2 * n[1] == 0:
-            return np.array([0.0, 0.5, 0.5, 0.5])  # too few n-grams to estimate from
-        y = n[0] / (n[0] + 2 * n[1])
-        found = [k - (k + 1) * y * n[k] / n[k - 1] for k in (1, 2, 3)]
-        return np.array([0.0, *(min(max(d, 0.01), k) for d, k in zip(found, (1, 2, 3)))])
-
-    def probability(self, keys: np.ndarray) -> np.ndarray:
-        """P(last class | the classes before it)."""
-        p = np.full(len(keys), 1.0 / SIZE)
-        for level in range(ORDER - 1, -1, -1):
-            known, share, contexts, weight = self.levels[level]
-            part = keys & ((1 << (BITS * (ORDER - level))) - 1)
-            p = self._find(contexts, weight, part >> BITS, 1.0) * p + self._find(known, share, part, 0.0)
-        return p
-
-    @staticmethod
-    def _find(known: np.ndarray, values: np.ndarray, keys: np.ndarray, other: float) -> np.ndarray:
-        if not len(known):
-            return np.full(len(keys), other)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, values[at], other)
-
-
-def fit(docs: DataFrame, text: str = "text") -> KneserNey:
-    """The model of all texts; the table that comes to the driver has at most 32**4 rows."""
-    counts = count_ngrams(docs, text).toArrow()
-    return KneserNey(counts.column("ngram").to_numpy(), counts.column("n").to_numpy())
-
-
 # Base rules of one text ------------------------------------------------------------------------
 
 SYMBOLS = "#*$%&|<>"
@@ -184,40 +75,14 @@ def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     return len(tokens), len(text) - white, sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeated_words(tokens)
 
 
-def score_documents(docs: DataFrame, model: KneserNey, text: str = "text", lang: str = "lang",
-                    doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, lang, base counts, classes scored, and their mean negative log-probability."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.levels)
-    fields = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-              "n_repeat_words long, score double")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bisect = KneserNey.__new__(KneserNey)
-        bisect.levels = shared.value
-        looked_up = np.zeros(SIZE**ORDER)  # log-probabilities of the n-grams met so far in this task
-        known = np.zeros(SIZE**ORDER, bool)
-
-        def score(text: str | None) -> float | None:
-            if not text:
-                return None
-            total = 0.0
-            data = text.encode("utf-8", "surrogatepass")
-            for keys in keys_of(data):
-                if not (seen := known[keys]).all():
-                    new = np.unique(keys[~seen])
-                    looked_up[new], known[new] = -np.log(bisect.probability(new)), True
-                total += float(looked_up[keys].sum())
-            return total / len(data)
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
-        for batch in batches:
-            texts = [x.as_py() for x in batch.column(2)]
-            base = list(zip(*map(base_counts, texts))) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).cast(pa.int64()), batch.column(1).cast(pa.string()),
-                *(pa.array(x, pa.int64()) for x in base), pa.array(map(score, texts), pa.float64()),
-            ], schema=schema_of(fields))
 
-    return docs.select(doc_id, lang, text).mapInArrow(run, fields)
+def score_documents(docs: DataFrame, **columns) -> DataFrame:
+    """Per row: doc_id, lang, base counts, and the mean negative log-probability of its words."""
+    scored = kneser_ney.perplexity(docs, base_counts, **columns)
+    return scored.select(F.col("id").alias(columns.get("doc_id", "doc_id")), "lang",
+                         *(F.get("measures", F.lit(k)).alias(name) for k, name in enumerate(COUNTS)), "score")
 
 
 def bands(scores: DataFrame) -> DataFrame:
@@ -248,7 +113,7 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, width: float = WIDTH, **columns) -> DataFrame:
     """Base counts, base verdict, score, band and the final verdict of every row."""
-    scored = materialize(score_documents(docs, fit(docs, columns.get("text", "text")), **columns), "perplexity")
+    scored = materialize(score_documents(docs, **columns), "perplexity")
     limits = materialize(bands(scored), "bands").select(F.col("lang").alias("band_lang"), "median", "deviation")
     half = width * F.col("deviation") * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
