@@ -13,8 +13,8 @@ The counts of a document and of its exact copies are taken off before it is scor
 one text uses would look certain there. Discounts and the totals of a language are left as they are, one document changes
 them little.
 
-Words are runs of letters and digits in lower case; characters of scripts without spaces and signs other
-than full stop and comma are words of their own. A word is known by a hash of 32 bits within its language:
+Words are what white space and the marks of ``MARKS`` part, in lower case; characters of scripts without
+spaces are words of their own. A word is known by a hash of 32 bits within its language:
 of ten million words about one in four hundred shares its hash with another.
 """
 
@@ -37,22 +37,34 @@ from framelake.workspace import materialize
 
 #: Bytes of text and documents of a block, and pairs or words of a range.
 BLOCK, DOCS, ENTRIES = 1 << 24, 1 << 16, 1 << 22
-_APART = "぀-ヿ㐀-鿿가-힯"
-WORDS = re.compile(rf"[{_APART}]|[^\W{_APART}]+|[^\w\s.,]")
+#: Documents are scored in slices of about this many words.
+SLICE = 1 << 18
+MARKS = '.,;:!?"()'
+_APART = re.compile("([\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Whole numbers as compressed bytes, equal places together."""
-    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), -1).T
+    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
     return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
+def words_of(text: str) -> list[str]:
+    text = text.lower()
+    for mark in MARKS:
+        text = text.replace(mark, " ")
+    if not text.isascii() and _APART.search(text):
+        text = _APART.sub(r" \1 ", text)
+    return text.split()
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     return pack(np.diff(keys, prepend=keys.dtype.type(0)), keys.dtype.str)
 
@@ -61,6 +73,21 @@ def unpack_sorted(data: bytes, kind: str) -> np.ndarray:
     return np.cumsum(unpack(data, kind), dtype=kind)
 
 
+def pack_pairs(keys: np.ndarray) -> bytes:
+    """Sorted pairs of hashes as a sorted list of hashes and places in it."""
+    left, right = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    words, at = np.unique(np.concatenate([left, right]).astype("<u4"), return_inverse=True)
+    parts = [pack_sorted(words), pack_sorted(at[:len(keys)].astype("<u4")), pack(at[len(keys):], "<u4")]
+    return struct.pack("<qq", len(parts[0]), len(parts[1])) + b"".join(parts)
+
+
+def unpack_pairs(data: bytes) -> np.ndarray:
+    first, second = struct.unpack_from("<qq", data)
+    words = unpack_sorted(data[16:16 + first], "<u4").astype(np.uint64)
+    left, right = unpack_sorted(data[16 + first:16 + first + second], "<u4"), unpack(data[16 + first + second:], "<u4")
+    return words[left] << np.uint64(32) | words[right]
+
+
 # Blocks of texts ---------------------------------------------------------------------------------
 
 BLOCKS = ("block long, tokens long, distinct long, ids array<bigint>, measures array<bigint>, doc_langs array<int>, "
@@ -94,8 +121,10 @@ class Block:
             self.seeds.append(0 if lang is None else xxhash.xxh32_intdigest(lang.encode(), 1))
             self.known.append({})
             self._word(k, "")
-        known, word = self.known[k], self._word
-        found = [at if (at := known.get(w)) is not None else word(k, w) for w in WORDS.findall(text.lower())]
+        words = words_of(text)
+        found = list(map(self.known[k].get, words))
+        if None in found:
+            found = [self._word(k, word) if at is None else at for at, word in zip(found, words)]
         self.ids.append(doc_id)
         self.measures += measures
         self.doc_langs.append(k)
@@ -121,15 +150,17 @@ class Pairs:
         self.hashes = unpack(row["vocabulary"], "<u4")
         self.word_langs = unpack(row["word_langs"], "<u4").astype(np.int64)
         lengths = np.array(row["lengths"], np.int64)
-        self.docs = np.repeat(np.arange(len(lengths)), lengths)
+        self.docs = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         self.lengths = lengths
-        self.words = unpack(row["words"], "<u4").astype(np.int64)
+        self.words = unpack(row["words"], "<u4")
         _, first = np.unique(self.word_langs, return_index=True)  # a language's first word starts its texts
         self.before = np.empty_like(self.words)
         self.before[1:] = self.words[:-1]
         begins = (np.cumsum(lengths) - lengths)[lengths > 0]
         self.before[begins] = first[np.array(row["doc_langs"], np.int64)[lengths > 0]]
-        different, self.pair, self.counts = np.unique(self.before << 32 | self.words, return_inverse=True, return_counts=True)
+        both = self.before.astype(np.int64) << 32 | self.words
+        different, pair, self.counts = np.unique(both, return_inverse=True, return_counts=True)
+        self.pair = pair.astype(np.int32)
         self.left, self.right = different >> 32, different & 0xFFFFFFFF
         self.keys = self.hashes[self.left].astype(np.uint64) << np.uint64(32) | self.hashes[self.right].astype(np.uint64)
 
@@ -154,7 +185,8 @@ def _parts(ranges: np.ndarray, langs: np.ndarray, keys: np.ndarray) -> Iterator[
         yield int(ranges[part[0]]), int(langs[part[0]]), part
 
 
-def blocks_of(docs: DataFrame, measure: Measure, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def blocks_of(docs: DataFrame, measure: Measure, size: int = BLOCK, text: str = "text", lang: str = "lang",
+              doc_id: str = "doc_id") -> DataFrame:
     """The written blocks of all texts; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +195,7 @@ def blocks_of(docs: DataFrame, measure: Measure, text: str = "text", lang: str =
             for i in range(batch.num_rows):
                 number, name, whole = (batch.column(k)[i].as_py() for k in range(3))
                 block.add(number, name, whole or "", measure(whole))
-                if block.bytes >= BLOCK or len(block.ids) >= DOCS:
+                if block.bytes >= size or len(block.ids) >= DOCS:
                     yield block.row()
                     block = Block()
         if block.ids:
@@ -197,7 +229,7 @@ def _send_pairs(blocks: DataFrame, ranges: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = _row_of(batch, i)
                 pairs = Pairs(row)
-                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_sorted(pairs.keys[part]), pack(pairs.counts[part], "<u4"))
+                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_pairs(pairs.keys[part]), pack(pairs.counts[part], "<u4"))
                                    for r, k, part in pairs.dealt(ranges)])
 
     return blocks.drop("ids", "measures", "texts").mapInArrow(run, SENT)
@@ -223,7 +255,7 @@ def _merge_pairs(slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ("range", "lang")):
             lang, number = table["lang"][0].as_py(), table["range"][0].as_py()
-            sent = [unpack_sorted(x.as_py(), "<u8") for x in table["keys"]]
+            sent = [unpack_pairs(x.as_py()) for x in table["keys"]]
             keys, at = np.unique(np.concatenate(sent), return_inverse=True)
             totals = np.bincount(at, np.concatenate([unpack(x.as_py(), "<u4") for x in table["counts"]]), len(keys)).astype(np.int64)
             ends = np.cumsum([len(x) for x in sent])
@@ -301,47 +333,53 @@ def discounts(n: list[int]) -> np.ndarray:
 
 
 def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int, tuple[list[int], list[int]]],
-           copies: np.ndarray) -> np.ndarray:
+           copies: np.ndarray, at_once: int = SLICE) -> np.ndarray:
     """Mean negative log-probability a word of each document; NaN for documents without words.
 
     ``totals`` are the pairs' counts, ``stats`` the words' statistics, ``sums`` of each language the counts
     of counts of pairs and what a range of words tells, ``copies`` how often each document's text occurs.
     """
-    size, vocabulary = len(totals), len(pairs.hashes)
-    own, times = np.unique(pairs.docs * size + pairs.pair, return_counts=True)
-    doc, pair = own // size, own % size
-    left, right = pairs.left[pair], pairs.right[pair]
-    taken = times * copies[doc]
-    count = totals[pair] - taken
-
-    _, at = np.unique(doc * vocabulary + left, return_inverse=True)
-    context = stats[0][left] - np.bincount(at, taken)[at].astype(np.int64)
-    followers = []
-    for k in (1, 2, 3):
-        change = (np.minimum(count, 3) == k).astype(np.int64) - (np.minimum(totals[pair], 3) == k)
-        followers.append(stats[k][left] + np.bincount(at, change)[at].astype(np.int64))
-    _, at = np.unique(doc * vocabulary + right, return_inverse=True)
-    after = stats[4][right] - np.bincount(at, count == 0)[at].astype(np.int64)
-
     low, high = np.zeros((len(pairs.langs), 4)), np.zeros((len(pairs.langs), 4))
     rest, whole, kinds = (np.ones(len(pairs.langs)) for _ in range(3))
     for k, (of_pairs, of_words) in sums.items():
         high[k], low[k] = discounts(of_pairs), discounts(of_words[:4])
         rest[k] = low[k][1:] @ np.array([of_words[0], of_words[1], of_words[4]])
         whole[k], kinds[k] = of_words[5], of_words[6] + 1
-    lang = pairs.word_langs[right]
-    lower = (np.maximum(after - low[lang, np.minimum(after, 3)], 0) + rest[lang] / kinds[lang]) / whole[lang]
-    held = sum(high[lang, k] * followers[k - 1] for k in (1, 2, 3))
-    kept = np.maximum(count - high[lang, np.minimum(count, 3)], 0)
-    probability = np.where(context > 0, (kept + held * lower) / np.maximum(context, 1), lower)
-    lost = np.bincount(doc, -np.log(probability) * times, len(pairs.lengths))
+    size, vocabulary = len(totals), len(pairs.hashes)
+    lost = np.zeros(len(pairs.lengths))
+    ends = np.cumsum(pairs.lengths)
+    start = 0
+    while start < len(pairs.docs):  # a slice ends with a document
+        end = int(ends[pairs.docs[min(start + at_once, len(pairs.docs)) - 1]])
+        own, times = np.unique(pairs.docs[start:end].astype(np.int64) * size + pairs.pair[start:end], return_counts=True)
+        doc, pair = own // size, own % size
+        start = end
+        left, right, total = pairs.left[pair], pairs.right[pair], totals[pair]
+        taken = times * copies[doc]
+        count = total - taken
+
+        _, at = np.unique(doc * vocabulary + left, return_inverse=True)
+        context = stats[0][left] - np.bincount(at, taken)[at].astype(np.int64)
+        followers = []
+        for k in (1, 2, 3):
+            change = (np.minimum(count, 3) == k).astype(np.int64) - (np.minimum(total, 3) == k)
+            followers.append(stats[k][left] + np.bincount(at, change)[at].astype(np.int64))
+        _, at = np.unique(doc * vocabulary + right, return_inverse=True)
+        after = stats[4][right] - np.bincount(at, count == 0)[at].astype(np.int64)
+
+        lang = pairs.word_langs[right]
+        lower = (np.maximum(after - low[lang, np.minimum(after, 3)], 0) + rest[lang] / kinds[lang]) / whole[lang]
+        held = sum(high[lang, k] * followers[k - 1] for k in (1, 2, 3))
+        kept = np.maximum(count - high[lang, np.minimum(count, 3)], 0)
+        probability = np.where(context > 0, (kept + held * lower) / np.maximum(context, 1), lower)
+        lost += np.bincount(doc, -np.log(probability) * times, len(lost))
     return np.where(pairs.lengths > 0, lost / np.maximum(pairs.lengths, 1), np.nan)
 
 
 SCORES = "id long, lang string, measures array<bigint>, score double"
 
 
-def _score(ranges: int, slots: int):
+def _score(ranges: int, slots: int, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ("block",)):
             row = _row_of(table, 0)
@@ -359,7 +397,7 @@ def _score(ranges: int, slots: int):
                     if (3, None, lang) in told}
             known = dict(zip(zip(of[0::3], of[1::3]), of[2::3])) if (of := told.get((5, None, None))) else {}
             copies = np.array([known.get(t, 1) for t in zip(row["texts"][0::2], row["texts"][1::2])], np.int64)
-            found = scores(pairs, totals, stats, sums, copies) if len(totals) else np.full(len(pairs.lengths), np.nan)
+            found = scores(pairs, totals, stats, sums, copies, at_once) if len(totals) else np.full(len(pairs.lengths), np.nan)
             measures = np.array(row["measures"], np.int64).reshape(len(found), -1).tolist()
             yield _rows(SCORES, [(i, pairs.langs[k], m, None if np.isnan(x) else float(x))
                                  for i, k, m, x in zip(row["ids"], row["doc_langs"], measures, found)])
@@ -371,11 +409,12 @@ def _dealt(df: DataFrame, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, *then)
 
 
-def perplexity(docs: DataFrame, measure: Measure = lambda text: (), **columns) -> DataFrame:
+def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int = BLOCK, entries: int = ENTRIES,
+               at_once: int = SLICE, **columns) -> DataFrame:
     """(id, lang, measures, score) of every row; a text without words scores null."""
-    blocks = blocks_of(docs, measure, **columns)
+    blocks = blocks_of(docs, measure, block, **columns)
     size = blocks.agg(F.sum("tokens"), F.sum("distinct")).first()
-    ranges, slots = (-(-(n or 1) // ENTRIES) or 1 for n in size)
+    ranges, slots = (-(-(n or 1) // entries) or 1 for n in size)
     learnt = materialize(_dealt(_send_pairs(blocks, ranges), "range", "lang").mapInArrow(_merge_pairs(slots), LEARNT), "ngram-counts")
     statistics = learnt.filter("kind = 2").select("range", "lang", "block", "keys", "counts")
     told = materialize(_dealt(_send_words(blocks, slots).unionByName(statistics), "range", "lang").mapInArrow(_merge_words, LEARNT), "ngram-words")
@@ -389,4 +428,4 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), **columns) -
     every = blocks.withColumn("kind", F.lit(0)).unionByName(answers, allowMissingColumns=True) \
         .unionByName(totals, allowMissingColumns=True) \
         .unionByName(_copies(blocks).withColumn("kind", F.lit(5)), allowMissingColumns=True)
-    return _dealt(every, "block", then=("kind",)).mapInArrow(_score(ranges, slots), SCORES)
+    return _dealt(every, "block", then=("kind",)).mapInArrow(_score(ranges, slots, at_once), SCORES)

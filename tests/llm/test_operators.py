@@ -525,31 +525,6 @@ def test_base_rules(spark, sf, texts, odd_docs):
         assert r.n_words or not r.kept
 
 
-def test_model_is_a_distribution(spark, docs):
-    model = perplexity.fit(docs)
-    rng = np.random.default_rng(0)
-    for context in rng.integers(0, 32**3, 40):
-        p = model.probability((int(context) << 5) + np.arange(32))
-        assert p.min() > 0 and p.sum() == pytest.approx(1)
-
-
-def test_counts_cover_all_texts(docs, texts):
-    counts = {r.ngram: r.n for r in perplexity.count_ngrams(docs).collect()}
-    assert sum(counts.values()) == sum(len(t.encode()) for t in texts.values())
-    want = Counter()
-    for t in list(texts.values()):
-        s = [0, 0, 0, *perplexity.CLASSES[np.frombuffer(t.encode(), np.uint8)].tolist()]
-        want.update(((a * 32 + b) * 32 + c) * 32 + d for a, b, c, d in zip(s, s[1:], s[2:], s[3:]))
-    assert counts == want
-
-
-def test_pieces_of_long_texts_join(monkeypatch):
-    text = b"the quick brown fox. 12 \xc3\xa9" * 9
-    whole = np.concatenate(list(perplexity.keys_of(text)))
-    monkeypatch.setattr(perplexity, "PIECE", 7)
-    assert (np.concatenate(list(perplexity.keys_of(text))) == whole).all()
-
-
 def test_bands_reject_the_outlier(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["the", "of", "and", "house", "tree", "runs"]) for _ in range(80)) for _ in range(60)]
