@@ -7,7 +7,7 @@ ranges of about ``ENTRIES`` pairs. A range merges what all blocks sent into one
 counts, and answers each block with the counts of its pairs. What a range learns about the words (how often
 and with how many different followers each occurs as a context, after how many different words it comes)
 is summed up in the same way by ranges of words, which answer the blocks too. A block then scores its
-documents on its own. A frequent pair is one entry per block, not one per occurrence.
+documents on its own; blocks are kept in buckets, so that only the answers are shuffled to them. A frequent pair is one entry per block, not one per occurrence.
 
 The counts of a document and of its exact copies are taken off before it is scored, else a word that only
 one text uses would look certain there. Discounts and the totals of a language are left as they are, one document changes
@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import secrets
 import struct
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from framelake.llm.common import schema_of
 from framelake.llm.transcripts import groups
-from framelake.workspace import materialize
+from framelake.workspace import materialize, new_folder
 
 #: Bytes of text and documents of a block, and pairs or words of a range.
 BLOCK, DOCS, ENTRIES = 1 << 24, 1 << 16, 1 << 22
@@ -186,8 +187,8 @@ def _parts(ranges: np.ndarray, langs: np.ndarray, keys: np.ndarray) -> Iterator[
 
 
 def blocks_of(docs: DataFrame, measure: Measure, size: int = BLOCK, text: str = "text", lang: str = "lang",
-              doc_id: str = "doc_id") -> DataFrame:
-    """The written blocks of all texts; a null text has no words."""
+              doc_id: str = "doc_id") -> tuple[DataFrame, str]:
+    """The blocks of all texts, in buckets of a table, and its name; a null text has no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = Block()
@@ -202,7 +203,10 @@ def blocks_of(docs: DataFrame, measure: Measure, size: int = BLOCK, text: str =
             yield block.row()
 
     rows = docs.select(F.col(doc_id).cast("long"), F.col(lang).cast("string"), F.col(text).cast("string"))
-    return materialize(rows.mapInArrow(run, BLOCKS), "ngram-blocks")
+    spark = docs.sparkSession
+    name, buckets = f"ngram_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows.mapInArrow(run, BLOCKS).write.option("path", new_folder(spark, "ngram-blocks")).bucketBy(buckets, "block").saveAsTable(name)
+    return spark.table(name), name
 
 
 # Ranges of pairs and words -----------------------------------------------------------------------
@@ -381,13 +385,9 @@ SCORES = "id long, lang string, measures array<bigint>, score double"
 
 def _score(ranges: int, slots: int, at_once: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ("block",)):
-            row = _row_of(table, 0)
+        for row in (_row_of(batch, i) for batch in batches for i in range(batch.num_rows)):
             pairs = Pairs(row)
-            told: dict[tuple, pa.Scalar] = {}
-            for i in range(1, table.num_rows):
-                one = table.slice(i, 1).select(["kind", "range", "lang", "counts", "sums"]).to_pylist()[0]
-                told[one["kind"], one["range"], one["lang"]] = one["sums"] if one["kind"] > 2 else one["counts"]
+            told = {(x["kind"], x["range"], x["lang"]): x["sums"] if x["kind"] > 2 else x["counts"] for x in row["told"] or []}
             totals, stats = np.zeros(len(pairs.keys), np.int64), np.zeros((_STATS, len(pairs.hashes)), np.int64)
             for r, k, part in pairs.dealt(ranges):
                 totals[part] = unpack(told[1, r, pairs.langs[k]], "<u8")
@@ -411,8 +411,8 @@ def _dealt(df: DataFrame, *keys: str, then: tuple[str, ...] = ()) -> DataFrame:
 
 def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int = BLOCK, entries: int = ENTRIES,
                at_once: int = SLICE, **columns) -> DataFrame:
-    """(id, lang, measures, score) of every row; a text without words scores null."""
-    blocks = blocks_of(docs, measure, block, **columns)
+    """(id, lang, measures, score) of every row, written; a text without words scores null."""
+    blocks, name = blocks_of(docs, measure, block, **columns)
     size = blocks.agg(F.sum("tokens"), F.sum("distinct")).first()
     ranges, slots = (-(-(n or 1) // entries) or 1 for n in size)
     learnt = materialize(_dealt(_send_pairs(blocks, ranges), "range", "lang").mapInArrow(_merge_pairs(slots), LEARNT), "ngram-counts")
@@ -425,7 +425,9 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int =
     members = blocks.select("block", F.explode("langs").alias("lang"))
     totals = members.join(sums, F.col("lang").eqNullSafe(F.col("of"))).select("kind", "block", "lang", "sums")
     answers = learnt.filter("kind = 1").unionByName(told.filter("kind = 2")).select("kind", "range", "block", "lang", "counts")
-    every = blocks.withColumn("kind", F.lit(0)).unionByName(answers, allowMissingColumns=True) \
-        .unionByName(totals, allowMissingColumns=True) \
+    every = answers.unionByName(totals, allowMissingColumns=True) \
         .unionByName(_copies(blocks).withColumn("kind", F.lit(5)), allowMissingColumns=True)
-    return _dealt(every, "block", then=("kind",)).mapInArrow(_score(ranges, slots, at_once), SCORES)
+    told_all = every.groupBy("block").agg(F.collect_list(F.struct("kind", "range", "lang", "counts", "sums")).alias("told"))
+    found = materialize(blocks.join(told_all, "block", "left").mapInArrow(_score(ranges, slots, at_once), SCORES), "perplexity")
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the entry only, the files lie in the run's folder
+    return found

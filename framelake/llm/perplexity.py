@@ -113,7 +113,7 @@ def bands(scores: DataFrame) -> DataFrame:
 
 def quality_rules(docs: DataFrame, width: float = WIDTH, **columns) -> DataFrame:
     """Base counts, base verdict, score, band and the final verdict of every row."""
-    scored = materialize(score_documents(docs, **columns), "perplexity")
+    scored = score_documents(docs, **columns)
     limits = materialize(bands(scored), "bands").select(F.col("lang").alias("band_lang"), "median", "deviation")
     half = width * F.col("deviation") * F.sqrt(1 + SHORT / F.greatest("n_words", F.lit(1)))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))

@@ -79,7 +79,7 @@ def test_model_is_a_distribution():
 
 def test_counts_cover_all_texts(spark, sf):
     docs = table(spark, sf, "documents")
-    blocks = kneser_ney.blocks_of(docs, lambda text: ())
+    blocks, _ = kneser_ney.blocks_of(docs, lambda text: ())
     sent = kneser_ney._send_pairs(blocks, 3).collect()
     found = sum(int(kneser_ney.unpack(r["counts"], "<u4").sum()) for r in sent)
     assert found == sum(len(kneser_ney.words_of(r.text or "")) for r in docs.collect())
@@ -96,7 +96,7 @@ def test_packing_round_trips():
 def test_a_pair_is_sent_once_a_block(spark):
     docs = spark.createDataFrame([(i, "the same few words again and again", "en") for i in range(500)],
                                  "doc_id long, text string, lang string").coalesce(1)
-    blocks = kneser_ney.blocks_of(docs, lambda text: ())
+    blocks, _ = kneser_ney.blocks_of(docs, lambda text: ())
     rows = kneser_ney._send_pairs(blocks, 1).collect()
     assert len(rows) == blocks.count() and all(len(kneser_ney.unpack_pairs(r["keys"])) == 7 for r in rows)
 
