@@ -37,7 +37,7 @@ from framelake.llm.transcripts import groups
 from framelake.workspace import materialize, new_folder
 
 #: Bytes of text and documents of a block, and pairs or words of a range.
-BLOCK, DOCS, ENTRIES = 1 << 24, 1 << 16, 1 << 22
+BLOCK, DOCS, ENTRIES = 1 << 25, 1 << 16, 1 << 22
 #: Documents are scored in slices of about this many words.
 SLICE = 1 << 18
 MARKS = '.,;:!?"()'
@@ -48,7 +48,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Whole numbers as compressed bytes, equal places together."""
     planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
@@ -159,12 +159,17 @@ class Pairs:
         self.before[1:] = self.words[:-1]
         begins = (np.cumsum(lengths) - lengths)[lengths > 0]
         self.before[begins] = first[np.array(row["doc_langs"], np.int64)[lengths > 0]]
-        both = self.before.astype(np.int64) << 32 | self.words
-        different, pair, self.counts = np.unique(both, return_inverse=True, return_counts=True)
-        self.pair = pair.astype(np.int32)
-        self.left, self.right = different >> 32, different & 0xFFFFFFFF
+        self.different, self.counts = np.unique(self._both(0, len(self.words)), return_counts=True)
+        self.left, self.right = self.different >> 32, self.different & 0xFFFFFFFF
         self.keys = self.hashes[self.left].astype(np.uint64) << np.uint64(32) | self.hashes[self.right].astype(np.uint64)
 
+    def _both(self, start: int, end: int) -> np.ndarray:
+        return self.before[start:end].astype(np.int64) << 32 | self.words[start:end]
+
+    def places(self, start: int, end: int) -> np.ndarray:
+        """Where the pairs that end at these words stand among the different ones."""
+        return np.searchsorted(self.different, self._both(start, end))
+
     def dealt(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(range, language, pairs in order of their keys)."""
         return _parts(((self.keys * _MIX) >> np.uint64(32)).astype(np.int64) % ranges, self.word_langs[self.right], self.keys)
@@ -355,7 +360,7 @@ def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int,
     start = 0
     while start < len(pairs.docs):  # a slice ends with a document
         end = int(ends[pairs.docs[min(start + at_once, len(pairs.docs)) - 1]])
-        own, times = np.unique(pairs.docs[start:end].astype(np.int64) * size + pairs.pair[start:end], return_counts=True)
+        own, times = np.unique(pairs.docs[start:end].astype(np.int64) * size + pairs.places(start, end), return_counts=True)
         doc, pair = own // size, own % size
         start = end
         left, right, total = pairs.left[pair], pairs.right[pair], totals[pair]
