@@ -108,10 +108,10 @@ class Block:
         self.ids, self.measures, self.doc_langs, self.words, self.texts = [], [], [], [], []
 
     def _word(self, lang: int, word: str) -> int:
-        key = (lang, xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), self.seeds[lang]))
-        if (at := self.by_hash.get(key)) is None:
-            at = self.by_hash[key] = len(self.hashes)
-            self.hashes.append(key[1])
+        digest = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), self.seeds[lang])
+        if (at := self.by_hash.get(lang << 32 | digest)) is None:
+            at = self.by_hash[lang << 32 | digest] = len(self.hashes)
+            self.hashes.append(digest)
             self.hash_langs.append(lang)
         self.known[lang][word] = at
         return at
@@ -149,19 +149,25 @@ class Pairs:
     def __init__(self, row: dict):
         self.langs = row["langs"]
         self.hashes = unpack(row["vocabulary"], "<u4")
-        self.word_langs = unpack(row["word_langs"], "<u4").astype(np.int64)
+        self.word_langs = unpack(row["word_langs"], "<u4").astype(np.int32)
         lengths = np.array(row["lengths"], np.int64)
-        self.docs = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
-        self.lengths = lengths
+        self.lengths, self.ends = lengths, np.cumsum(lengths)
         self.words = unpack(row["words"], "<u4")
         _, first = np.unique(self.word_langs, return_index=True)  # a language's first word starts its texts
         self.before = np.empty_like(self.words)
         self.before[1:] = self.words[:-1]
-        begins = (np.cumsum(lengths) - lengths)[lengths > 0]
+        begins = (self.ends - lengths)[lengths > 0]
         self.before[begins] = first[np.array(row["doc_langs"], np.int64)[lengths > 0]]
-        self.different, self.counts = np.unique(self._both(0, len(self.words)), return_counts=True)
-        self.left, self.right = self.different >> 32, self.different & 0xFFFFFFFF
-        self.keys = self.hashes[self.left].astype(np.uint64) << np.uint64(32) | self.hashes[self.right].astype(np.uint64)
+        both = self._both(0, len(self.words))
+        both.sort()  # in place, as a block's words are many
+        first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else [])
+        self.different, self.counts = both[first], np.diff(first, append=len(both)).astype(np.uint32)
+        del both, first
+        self.left, self.right = (self.different >> 32).astype(np.uint32), self.different.astype(np.uint32)
+
+    @property
+    def keys(self) -> np.ndarray:
+        return self.hashes[self.left].astype(np.uint64) << np.uint64(32) | self.hashes[self.right].astype(np.uint64)
 
     def _both(self, start: int, end: int) -> np.ndarray:
         return self.before[start:end].astype(np.int64) << 32 | self.words[start:end]
@@ -172,7 +178,8 @@ class Pairs:
 
     def dealt(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(range, language, pairs in order of their keys)."""
-        return _parts(((self.keys * _MIX) >> np.uint64(32)).astype(np.int64) % ranges, self.word_langs[self.right], self.keys)
+        keys = self.keys
+        return _parts(((keys * _MIX) >> np.uint64(32)).astype(np.int64) % ranges, self.word_langs[self.right], keys)
 
     def dealt_words(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         return _parts(slot_of(self.hashes, ranges), self.word_langs, self.hashes)
@@ -238,7 +245,8 @@ def _send_pairs(blocks: DataFrame, ranges: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = _row_of(batch, i)
                 pairs = Pairs(row)
-                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_pairs(pairs.keys[part]), pack(pairs.counts[part], "<u4"))
+                keys = pairs.keys
+                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_pairs(keys[part]), pack(pairs.counts[part], "<u4"))
                                    for r, k, part in pairs.dealt(ranges)])
 
     return blocks.drop("ids", "measures", "texts").mapInArrow(run, SENT)
@@ -356,14 +364,14 @@ def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int,
         whole[k], kinds[k] = of_words[5], of_words[6] + 1
     size, vocabulary = len(totals), len(pairs.hashes)
     lost = np.zeros(len(pairs.lengths))
-    ends = np.cumsum(pairs.lengths)
     start = 0
-    while start < len(pairs.docs):  # a slice ends with a document
-        end = int(ends[pairs.docs[min(start + at_once, len(pairs.docs)) - 1]])
-        own, times = np.unique(pairs.docs[start:end].astype(np.int64) * size + pairs.places(start, end), return_counts=True)
+    while start < len(pairs.words):  # a slice ends with a document
+        end = int(pairs.ends[np.searchsorted(pairs.ends, min(start + at_once, len(pairs.words)))])
+        docs = np.searchsorted(pairs.ends, np.arange(start, end), side="right")
+        own, times = np.unique(docs * size + pairs.places(start, end), return_counts=True)
         doc, pair = own // size, own % size
         start = end
-        left, right, total = pairs.left[pair], pairs.right[pair], totals[pair]
+        left, right, total = pairs.left[pair].astype(np.int64), pairs.right[pair].astype(np.int64), totals[pair]
         taken = times * copies[doc]
         count = total - taken
 
