@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from framelake.operators.frames import SUCCESS, frame_stats, pixel_explode
+from framelake.operators.frames import frame_stats, pixel_explode
 from framelake.registry.base import query, rounded, sql_round as r
 from framelake.registry.derived import FRAME_PATH, FRAME_STATS_SQL, PIXELS_SQL, SIDE, frames, noise_sql
 from framelake.operators.selection import exact_medians, background_noise_long, sampled_stats_long
@@ -29,9 +29,7 @@ def manifest(spark, sf):
 SELECT {FILE_NAME_SQL} AS file_name, CAST(5761 AS BIGINT) AS length, 'SUCCESS' AS status FROM embeddings
 UNION ALL SELECT 'missing', NULL, 'ERR'""")
 def scan_manifest(spark, sf):
-    listed = manifest(spark, sf)
-    good = F.col("status") == SUCCESS
-    return named_image_files(listed.filter(good)).unionByName(listed.filter(~good)).select(
+    return named_image_files(manifest(spark, sf)).select(
         F.substring_index("path", "/", -1).alias("file_name"), "length", F.substring_index("status", ":", 1).alias("status")
     )
 
@@ -43,8 +41,7 @@ UNION ALL SELECT 'missing', NULL, NULL""")
 def scan_packed(spark, sf):
     """Files in packs of about a hundred; the missing folder stays a row without statistics."""
     files = read_files(manifest(spark, sf), bytes_per_task=1_000_000, open_cost=4_000)
-    named = named_image_files(files.filter("content IS NOT NULL")).unionByName(files.filter("content IS NULL"))
-    stats = frame_stats(decode_frames(named).drop("height", "width", "status"), "pixels")
+    stats = frame_stats(decode_frames(named_image_files(files)).drop("height", "width", "status"), "pixels")
     out = stats.select(F.substring_index("frame_id", "/", -1).alias("file_name"), "median_bg", "bright_pixels")
     return rounded(out, "median_bg")
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Sequence
+import zlib
+from collections.abc import Iterator, Sequence
 
+import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F
 
 from framelake.schemas import BIGINT, STRING, struct
+from framelake.sources.manifest import opened
 from framelake.workspace import materialize
 
 
@@ -149,27 +154,82 @@ def sink_cutouts(cutouts: DataFrame, path: str) -> str:
     return path
 
 
+#: Files in a folder of ``sink_image_files``, about, and what a missing name is written as.
+FILES_PER_FOLDER, NO_NAME = 1_000, "__HIVE_DEFAULT_PARTITION__"
+_ESCAPED = re.compile(r"""[\x00-\x1f\x7f"#%'*/:=?\\{\[\]^]""")
+
+
+def _write_files(base: str, folders: int):
+    """A function over rows of names and bytes that writes a file of each."""
+
+    def run(rows: Iterator[Row]) -> None:
+        system, inner, _ = opened(base)
+        made, attempt = set(), TaskContext.get().taskAttemptId()
+        for name, data in rows:
+            file = _ESCAPED.sub(lambda c: f"%{ord(c[0]):02X}", name)
+            folder = f"{inner}/{zlib.crc32(file.encode()) % folders:06d}"
+            if folder not in made:
+                system.create_dir(folder)
+                made.add(folder)
+            _write_file(system, f"{folder}/name={file}", f"{folder}/_{attempt}", data or b"")
+
+    return run
+
+
+def _write_file(system: pafs.FileSystem, final: str, hidden: str, data: bytes) -> None:
+    """A file that is whole when it has its name."""
+    with system.open_output_stream(hidden) as stream:
+        stream.write(data)
+        stream.write(b"\n")
+    try:
+        system.move(hidden, final)
+    except OSError:  # a store that moves onto no file: another attempt of the task has written it
+        if system.get_file_info(final).type != pafs.FileType.File:
+            raise
+        system.delete_file(hidden)
+
+
 def sink_image_files(df: DataFrame, path: str, name: str = "file_name", content: str = "content") -> str:
-    """One file per row, below ``path/name=<file name>/``, for tools that need files.
+    """One file per row, named ``path/<folder>/name=<file name>``, for tools that need files.
 
-    The text writer stores the bytes of its one column as they are and adds a line end, which
-    lies behind the padded image and is not read. Rows of equal names would share a file, so they
-    are refused.
+    Tasks write the files, in folders of about ``FILES_PER_FOLDER`` by a hash of the name: neither folders
+    nor work of the driver come with each file. A line end lies behind the padded image and is not read.
+    Rows of equal names would share a file, so they are refused. Where only Spark can open ``path``, its
+    text writer writes ``path/name=<file name>/``, a folder per file.
     """
-    twice = df.groupBy(name).count().filter("count > 1").first()
-    if twice:
-        raise ValueError(f"{twice['count']} rows are named {twice[0]}")
-    rows = df.select(F.col(name).alias("name"), F.col(content).cast("string").alias("value"))
-    rows.write.mode("overwrite").partitionBy("name").text(path)
+    spark = df.sparkSession
+    rows = df.select(
+        F.coalesce(F.nullif(F.col(name).cast("string"), F.lit("")), F.lit(NO_NAME)).alias("name"),
+        F.col(content).cast("binary").alias("content"))
+    named = rows.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+    total, most = named.agg(F.sum("n"), F.max(F.struct("n", "name"))).first()
+    if most and most["n"] > 1:
+        raise ValueError(f"{most['n']} rows are named {most['name']}")
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = fs.makeQualified(target).toString()
+    try:
+        opened(full)
+    except (OSError, ValueError):  # pyarrow knows no such store
+        lines = rows.select("name", F.col("content").cast("string").alias("value"))
+        lines.write.mode("overwrite").partitionBy("name").text(path)
+        return path
+    fs.delete(target, True)
+    fs.mkdirs(target)
+    folders = -(-(total or 0) // FILES_PER_FOLDER)
+    try:
+        # Row by row: Arrow batches count rows, however large the images are.
+        rows.foreachPartition(_write_files(full, folders))
+    except Exception:
+        fs.delete(target, True)  # all files or none
+        raise
     return path
 
 
 def named_image_files(files: DataFrame) -> DataFrame:
-    """Give files written by ``sink_image_files`` the path they stand for, escapes undone.
-
-    File names are escaped once by the writer and once more in the path column.
-    """
-    folder = F.regexp_extract("path", r"^(.*)/name=[^/]*/[^/]*$", 1)
-    name = F.regexp_extract("path", r"/name=([^/]*)/[^/]*$", 1)
+    """Give files written by ``sink_image_files`` the path they stand for, escapes undone; other paths stay."""
+    folder = F.regexp_extract("path", r"^(.*)/(?:[^/]*/name=[^/]*|name=[^/]*/[^/]*)$", 1)
+    name = F.regexp_extract("path", r"/name=([^/]*)(?:/[^/]*)?$", 1)
     plain = lambda text: F.url_decode(F.replace(text, F.lit("+"), F.lit("%2B")))
-    return files.withColumn("path", F.concat(folder, F.lit("/"), plain(name)))
+    return files.withColumn(
+        "path", F.when(F.col("path").rlike(r"/name=[^/]*(/[^/]*)?$"), F.concat(folder, F.lit("/"), plain(name))).otherwise(F.col("path")))

@@ -233,3 +233,32 @@ def test_shared_folder_rules(spark):
     for master in ("local-cluster[2,1,1024]", "spark://x:7077", "yarn"):
         with pytest.raises(RuntimeError):
             workspace.shared_root(session(master))
+
+
+def test_image_files_share_folders(spark, tmp_path):
+    """Folders come with a thousand files, not with each, so listing them stays short."""
+    rows = spark.range(2_500).selectExpr("concat(id, '/science#.fits') AS file_name", "cast(cast(id AS string) AS binary) AS content")
+    path = sinks.sink_image_files(rows, f"{tmp_path}/many")
+    assert 1 <= sum(p.is_dir() for p in (tmp_path / "many").rglob("*")) <= 4
+    assert sum(p.is_file() for p in (tmp_path / "many").rglob("name=*")) == 2_500
+    back = sinks.named_image_files(tables.scan_binary(spark, path, recursive=True)).collect()
+    names = {r["path"].split("/many/")[1]: bytes(r["content"]) for r in back}
+    assert names == {f"{i}/science#.fits": f"{i}\n".encode() for i in range(2_500)}
+    # Written again: the files before are gone. Missing names and bytes are files too.
+    few = spark.createDataFrame([(None, b"x"), ("empty", None)], "file_name string, content binary")
+    again = sinks.named_image_files(tables.scan_binary(spark, sinks.sink_image_files(few, path), recursive=True)).collect()
+    assert {r["path"].rsplit("/", 1)[1]: bytes(r["content"]) for r in again} == {sinks.NO_NAME: b"x\n", "empty": b"\n"}
+    assert tables.scan_binary(spark, sinks.sink_image_files(few.limit(0), path), recursive=True).count() == 0
+
+
+def test_image_files_are_all_there_or_none(spark, tmp_path):
+    rows = spark.createDataFrame([("a", b"x"), ("b" * 300, b"y")], "file_name string, content binary")
+    with pytest.raises(Exception):
+        sinks.sink_image_files(rows, f"{tmp_path}/broken")  # no file system holds the second name
+    assert not (tmp_path / "broken").exists()
+
+
+def test_paths_of_other_files_stay(spark):
+    paths = ["file:/a/000001/name=x%2Fy.fits", "file:/a/name=x+y%25.fits/part-0.txt", "file:/a/missing", "/b/c.fits"]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert [r[0] for r in sinks.named_image_files(df).collect()] == ["file:/a/x/y.fits", "file:/a/x+y%.fits", "file:/a/missing", "/b/c.fits"]
