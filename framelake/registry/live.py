@@ -94,10 +94,13 @@ def live_triplet_rows(spark, sf):
         "came", F.timestamp_seconds(F.lit(1_700_000_000) + F.pmod(F.xxhash64("file_path"), F.lit(600))))
     schema = schemas.with_fields(schemas.BRONZE, came=T.TimestampType())
     bronze = materialize(bronze.select(*[F.col(f.name).cast(f.dataType) for f in schema]), "bronze")
+    files = 0
     for parts in ((3, 0), (1, 2)):
         for part in parts:
             bronze.filter(F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(4)) == part).write.mode("append").parquet(folder)
-        stream = live.stream_parquet(spark, folder, schema, files_per_batch=1)
+        # A part is a batch, however many files it has: every batch looks through all that is kept.
+        before, files = files, len(spark.read.schema(schema).parquet(folder).inputFiles())
+        stream = live.stream_parquet(spark, folder, schema, files_per_batch=max(1, -(-(files - before) // len(parts))))
         rows = live_triplets(stream, "came", target, checkpoint)
     out = rows.filter("state = 'complete'").drop("state", "missing")
     metrics = [c for c in out.columns if c.endswith(("_bg", "_sub"))]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F, types as T
@@ -12,10 +13,12 @@ from framelake.functions import naming
 from framelake.functions.pattern_index import classify_by_index, literals
 from framelake.operators import aggregates
 from framelake.plans import medallion
+from framelake.registry.live import live_triplet_rows
 from framelake.sources import sinks, tables
 from framelake.sources.manifest import MANIFEST, list_files
 from framelake.streaming import live
 from framelake.streaming.triplets import live_triplets
+from framelake.workspace import run_folder
 from tests.helpers import fits_bytes, golden_image
 
 ARRIVING = schemas.with_fields(schemas.BRONZE, came=T.TimestampType())
@@ -82,6 +85,16 @@ def test_incomplete_objects_time_out(spark, tmp_path):
         ("a", "incomplete", "TEMPLATE"), ("b", "complete", ""), ("c", "incomplete", "SCIENCE")}
 
 
+def test_a_part_is_one_batch_however_many_files_it_has(spark, tmp_path):
+    frames = spark.range(0, 240, 1, 12).selectExpr("id AS vec_id", "transform(sequence(0, 63), x -> cast((x * 7 + id) % 11 AS float)) AS embedding")
+    frames.write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = live_triplet_rows(spark, str(tmp_path))
+    newest = max(Path(run_folder(spark)).glob("triplets-checkpoint-*"), key=lambda p: p.stat().st_mtime)
+    assert found.count() == 80
+    # Two runs of two parts each; a run may end with a batch without rows, for what has timed out.
+    assert 4 <= sum(p.name.isdigit() for p in (newest / "commits").iterdir()) <= 6
+
+
 def test_a_file_listed_twice_is_one_row(spark, tmp_path):
     raw, folder = tmp_path / "raw", f"{tmp_path}/manifest"
     raw.mkdir()
