@@ -16,6 +16,8 @@ from framelake import schemas
 from framelake.registry.base import table
 
 SIDE = 8
+#: Files handed over at a time: a file has twenty times the bytes of its frame.
+FILES_PER_BATCH = 500
 
 # A path per order: ten digits spread over the key space, a kind, some names without either.
 PATH = """
@@ -116,11 +118,11 @@ def image_bytes(pixels: np.ndarray, side: int = SIDE) -> bytes:
     return header.ljust(-(-len(header) // 2880) * 2880) + data.ljust(-(-len(data) // 2880) * 2880, b"\0")
 
 
-def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> DataFrame:
-    """vec_id, path and the bytes of an image file per frame."""
+def encoded(gzipped: bool):
+    """A function over Arrow batches of named frames that makes image files of them, ``FILES_PER_BATCH`` at a time."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, FILES_PER_BATCH) for b in batches for at in range(0, b.num_rows, FILES_PER_BATCH)):
             files = [
                 image_bytes(np.asarray(row.values, np.float32)) for row in batch.column("pixels")
             ]
@@ -132,8 +134,13 @@ def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> Data
                 names=["vec_id", "path", "content"],
             )
 
+    return run
+
+
+def image_files(spark: SparkSession, sf_dir: str, gzipped: bool = False) -> DataFrame:
+    """vec_id, path and the bytes of an image file per frame."""
     return named_frames(spark, sf_dir).mapInArrow(
-        encode, schemas.struct(vec_id=schemas.BIGINT, path=schemas.STRING, content=schemas.BINARY)
+        encoded(gzipped), schemas.struct(vec_id=schemas.BIGINT, path=schemas.STRING, content=schemas.BINARY)
     )
 
 

@@ -2,6 +2,7 @@
 
 import gzip
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from framelake import schemas
 from framelake.functions import naming
 from framelake.operators import aggregates, history, relational
 from framelake.plans import catalog
+from framelake.registry import derived
 from framelake.sources import images, sinks, specs, tables
 
 
@@ -262,3 +264,15 @@ def test_paths_of_other_files_stay(spark):
     paths = ["file:/a/000001/name=x%2Fy.fits", "file:/a/name=x+y%25.fits/part-0.txt", "file:/a/missing", "/b/c.fits"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
     assert [r[0] for r in sinks.named_image_files(df).collect()] == ["file:/a/x/y.fits", "file:/a/x+y%.fits", "file:/a/missing", "/b/c.fits"]
+
+
+def test_frames_become_files_in_small_batches():
+    """A batch of frames is twenty times as large as files, which a worker does not hold at once."""
+    n = 10_000
+    frames = pa.RecordBatch.from_pydict({
+        "vec_id": pa.array(range(n), pa.int64()), "pixels": pa.array([[float(i)] * 64 for i in range(n)], pa.list_(pa.float32())),
+        "path": [f"{i}.fits" for i in range(n)]})
+    batches = list(derived.encoded(False)(iter([frames, frames.slice(0, 0)])))
+    assert max(b.num_rows for b in batches) <= derived.FILES_PER_BATCH
+    assert [i for b in batches for i in b.column("vec_id").to_pylist()] == list(range(n))
+    assert {len(f) for b in batches for f in b.column("content").to_pylist()} == {5760}
