@@ -10,7 +10,8 @@ each merge would cost n squared.
 
 A rank is a token's id, and the lowest rank goes first, the leftmost of equal ones; a pre-token that is a
 token as a whole is taken as it is. Pre-tokens of up to ``CACHED_BYTES`` bytes are remembered, in two
-generations of ``CACHED`` in a worker; that changes the time only.
+generations of ``CACHED`` in a worker; that changes the time only. They are remembered as packed ids, so that
+a text's ids are its pre-tokens' bytes joined, without a step of the interpreter for each.
 
 Nulls: a null text has no tokens, as an empty one; null ids decode to no bytes. Ids that the vocabulary
 lacks, or a null among them, make the decoded bytes null. Repeated rows give a row each, an empty table an
@@ -21,10 +22,10 @@ from __future__ import annotations
 
 import base64
 import importlib.util
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -67,6 +68,17 @@ class RankQueue:
         self.words = [0] * -(-ranks // WORD)
 
 
+class Recent(dict[str, bytes]):
+    """Packed ids by pre-token; ``find`` gives those of one that is not here."""
+
+    def __init__(self, find: Callable[[str], bytes]):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, part: str) -> bytes:
+        return self.find(part)
+
+
 class Codec:
     """Encoding and decoding by one vocabulary."""
 
@@ -76,6 +88,7 @@ class Codec:
         lines = (line.split() for line in vocabulary.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.column = pa.array([self.tokens.get(rank) for rank in range(max(self.tokens) + 1)], pa.binary())
         self.queue = RankQueue(max(self.tokens) + 1)
         self.split = regex.compile(pattern).findall
         self.single = [self.ranks.get(bytes([value])) for value in range(256)]
@@ -83,8 +96,8 @@ class Codec:
             raise ValueError("the vocabulary lacks single bytes")
         #: Rank of two bytes, or -1.
         self.couple = [[self.ranks.get(bytes([a, b]), -1) for b in range(256)] for a in range(256)]
-        self.recent: dict[str, tuple[int, ...]] = {}
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.recent = Recent(self.remembered)
+        self.before: dict[str, bytes] = {}
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one pre-token."""
@@ -148,29 +161,37 @@ class Codec:
             at = following[at]
         return tuple(ids)
 
-    def remembered(self, part: str) -> tuple[int, ...]:
-        """Ids of a pre-token that is not among the recent ones."""
+    def remembered(self, part: str) -> bytes:
+        """Packed ids of a pre-token that is not among the recent ones."""
         ids = self.before.get(part)
         if ids is None:
             piece = part.encode("utf-8", "surrogatepass")
-            ids = self.merge(piece)
+            ids = array("i", self.merge(piece)).tobytes()
             if len(piece) > CACHED_BYTES:
                 return ids
         if len(self.recent) >= CACHED:
-            self.before, self.recent = self.recent, {}
+            self.before = dict(self.recent)
+            self.recent.clear()  # the same dict goes on, as a text that is being encoded reads it
         self.recent[part] = ids
         return ids
 
+    def packed(self, text: str | None) -> bytes:
+        """Ids of a text, four bytes each."""
+        return b"".join(map(self.recent.__getitem__, self.split(text))) if text else b""
+
     def encode(self, text: str | None) -> list[int]:
-        ids: list[int] = []
-        known = self.recent.get
-        for part in self.split(text) if text else ():
-            own = known(part)
-            if own is None:
-                own = self.remembered(part)
-                known = self.recent.get  # another generation, perhaps
-            ids += own
-        return ids
+        return array("i", self.packed(text)).tolist()
+
+    def encode_all(self, texts: pa.Array) -> pa.ListArray:
+        coded = [self.packed(text) for text in texts.to_pylist()]
+        ends = np.cumsum([0, *map(len, coded)], dtype=np.int64) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
+
+    def decode_all(self, coded: pa.ListArray) -> pa.BinaryArray:
+        """Bytes of each list of ``encode_all``: tokens are taken one after the other, and the lists' ends part them."""
+        _, ends, data = self.column.take(coded.values).buffers()
+        ends = np.frombuffer(ends, np.int32)[coded.offsets.to_numpy()]
+        return pa.BinaryArray.from_buffers(pa.binary(), len(coded), [None, pa.py_buffer(ends), data])
 
     def decode(self, ids: Iterable[int] | None) -> bytes | None:
         try:
@@ -204,17 +225,11 @@ def encode(docs: DataFrame, text: str = "text", into: str = "ids", vocabulary: s
 
     @F.arrow_udf("array<int>")
     def run(texts: pa.Array) -> pa.Array:
-        return _lists([codec(data, cut).encode(value.as_py()) for value in texts])
+        return codec(data, cut).encode_all(texts)
 
     return docs.withColumn(into, run(F.col(text)))
 
 
-def _lists(rows: list[list[int]]) -> pa.ListArray:
-    ends = np.concatenate([[0], np.cumsum([len(row) for row in rows], dtype=np.int64)]).astype(np.int32)
-    flat = np.fromiter(chain.from_iterable(rows), np.int32, int(ends[-1]))
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-
-
 def decode(df: DataFrame, ids: str = "ids", into: str = "decoded", vocabulary: str | None = None) -> DataFrame:
     """``df`` with the bytes that ``ids`` stand for in ``into``."""
     data = read_vocabulary(vocabulary)
@@ -244,9 +259,8 @@ def round_trip(docs: DataFrame, text: str = "text", vocabulary: str | None = Non
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
-                coded = [own.encode(value.as_py()) for value in part.column(0)]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns[1:], _lists(coded), pa.array(map(own.decode, coded), pa.binary())], names=schema.names)
+                coded = own.encode_all(part.column(0))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], coded, own.decode_all(coded)], names=schema.names)
 
     return texts.mapInArrow(run, schema)
 

@@ -4,9 +4,11 @@ import base64
 import hashlib
 import math
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -240,6 +242,30 @@ def test_generations_change_nothing(own, monkeypatch):
     assert [small.encode(t) for t in texts] == expected and len(small.recent) <= 16 and len(small.before) <= 16
 
 
+def test_remembered_pre_tokens_cost_no_step(own):
+    text = " ".join(f"w{i % 50}" for i in range(5000))
+    expected, calls = own.encode(text), []
+    sys.setprofile(lambda *event: calls.append(event))
+    try:
+        found = own.encode(text)
+    finally:
+        sys.setprofile(None)
+    assert found == expected and len(calls) < 50
+
+
+def test_texts_of_a_batch(other, monkeypatch):
+    """Ids and bytes of whole batches are those of single texts, also where a generation ends within a text."""
+    monkeypatch.setattr(byte_bpe, "CACHED", 16)
+    small = byte_bpe.Codec(byte_bpe.read_vocabulary(), public_tokenizers.PATTERN)
+    texts = ["", None, "a lone word", "\x00 漢字🙂 e\u0301", "x" * 200, *(f"v{i} {i * i}" for i in range(300)), None]
+    column = pa.array(["cut off", *texts])[1:]
+    coded = small.encode_all(column)
+    assert coded.to_pylist() == [other.encode_ordinary(text or "") for text in texts]
+    assert small.decode_all(coded).to_pylist() == [(text or "").encode() for text in texts]
+    assert small.decode_all(small.encode_all(column[:0])).to_pylist() == []
+    assert small.decode_all(small.encode_all(pa.array([None, ""], pa.string()))).to_pylist() == [b"", b""]
+
+
 def test_lower_ranks_go_before_equal_ones():
     """A merge may make a pair of a lower rank than the bucket it came from."""
     tokens = [b"abc", b"ab", b"abcabc"]
