@@ -2,8 +2,10 @@
 
 The model has an entry for every different pair of words of a language, so it grows with the corpus and
 never lies in one place. Texts are read once, in blocks of ``BLOCK`` bytes. A block's words become numbers
-of its own word list, and that is written. The different pairs of a block, summed up, are dealt by hash to
-ranges of about ``ENTRIES`` pairs. A range merges what all blocks sent into one sorted array of keys with
+of its own word list, and that is written. The different pairs of a block, summed up, are dealt to ranges of
+about ``ENTRIES`` pairs, the cells of a grid: the row by a hash of the first word, the column by one of the second.
+So a word goes along to the cells of a row and of a column only, and a frequent one is still spread over
+many. A range merges what all blocks sent into one sorted array of keys with
 counts, and answers each block with the counts of its pairs. What a range learns about the words (how often
 and with how many different followers each occurs as a context, after how many different words it comes)
 is summed up in the same way by ranges of words, which answer the blocks too. A block then scores its
@@ -20,6 +22,7 @@ of ten million words about one in four hundred shares its hash with another.
 
 from __future__ import annotations
 
+import math
 import re
 import secrets
 import struct
@@ -171,9 +174,11 @@ class Pairs:
         return np.searchsorted(self.different, self._both(start, end))
 
     def dealt(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
-        """(range, language, pairs in order of their keys)."""
-        keys = self.keys
-        return _parts(((keys * _MIX) >> np.uint64(32)).astype(np.int64) % ranges, self.word_langs[self.right], keys)
+        """(range, language, pairs in order of their keys); as many ranges or a few more, to fill a grid."""
+        rows = math.isqrt(ranges)
+        columns = -(-ranges // rows)
+        cells = slot_of(self.hashes, rows)[self.left] * columns + slot_of(self.hashes, columns)[self.right]
+        return _parts(cells, self.word_langs[self.right], self.keys)
 
     def dealt_words(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         return _parts(slot_of(self.hashes, ranges), self.word_langs, self.hashes)
@@ -422,9 +427,9 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int =
     blocks, name = blocks_of(docs, measure, block, **columns)
     size = blocks.agg(F.sum("tokens"), F.sum("distinct")).first()
     ranges, slots = (-(-(n or 1) // entries) or 1 for n in size)
-    learnt = materialize(_dealt(_send_pairs(blocks, ranges), "range", "lang").mapInArrow(_merge_pairs(slots), LEARNT), "ngram-counts")
+    learnt = materialize(_dealt(_send_pairs(blocks, ranges), "range", "lang").mapInArrow(_merge_pairs(slots), LEARNT), "ngram-counts", tidy=True)
     statistics = learnt.filter("kind = 2").select("range", "lang", "block", "keys", "counts")
-    told = materialize(_dealt(_send_words(blocks, slots).unionByName(statistics), "range", "lang").mapInArrow(_merge_words, LEARNT), "ngram-words")
+    told = materialize(_dealt(_send_words(blocks, slots).unionByName(statistics), "range", "lang").mapInArrow(_merge_words, LEARNT), "ngram-words", tidy=True)
 
     parts = learnt.filter("kind = 3").unionByName(told.filter("kind = 4"))
     sums = parts.groupBy("kind", F.col("lang").alias("of")).agg(
@@ -435,6 +440,6 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int =
     every = answers.unionByName(totals, allowMissingColumns=True) \
         .unionByName(_copies(blocks).withColumn("kind", F.lit(5)), allowMissingColumns=True)
     told_all = every.groupBy("block").agg(F.collect_list(F.struct("kind", "range", "lang", "counts", "sums")).alias("told"))
-    found = materialize(blocks.join(told_all, "block", "left").mapInArrow(_score(ranges, slots, at_once), SCORES), "perplexity")
+    found = materialize(blocks.join(told_all, "block", "left").mapInArrow(_score(ranges, slots, at_once), SCORES), "perplexity", tidy=True)
     docs.sparkSession.sql(f"DROP TABLE {name}")  # the entry only, the files lie in the run's folder
     return found

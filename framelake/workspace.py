@@ -45,12 +45,26 @@ def drop_run(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Whether Spark deletes a query's shuffle files once it has run.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
     The lineage is cut at data that outlives any executor, and values that depend on how rows
-    were partitioned are fixed from here on.
+    were partitioned are fixed from here on. ``tidy`` deletes the shuffle files of this write when it is done;
+    else they lie on the executors' disks until the driver next collects its garbage.
     """
-    path = new_folder(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, before = new_folder(spark, label), spark.conf.get(_TIDY, None)
+    if tidy:
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy and before is None:
+            spark.conf.unset(_TIDY)
+        elif tidy:
+            spark.conf.set(_TIDY, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -2,10 +2,13 @@
 
 import math
 import random
+import tempfile
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from framelake import workspace
 from framelake.llm import kneser_ney, perplexity
 from framelake.llm.common import table
 
@@ -117,3 +120,31 @@ def test_shuffled_words_stand_out(spark, sf):
         docs.unionByName(spark.createDataFrame(rows, docs.schema))).collect()}
     assert all(scores[-1 - r.doc_id] > scores[r.doc_id] for r in some)
     assert sum(scores[-100_000_000 - r.doc_id] > scores[r.doc_id] for r in some) >= 0.9 * len(some)
+
+
+def test_a_word_goes_along_to_a_row_and_a_column(spark):
+    """Its hash is sent with the pairs of each range, so it must not go to all of them."""
+    rng = random.Random(31)
+    text = " ".join(f"w{rng.randrange(60)}" for _ in range(20_000))
+    pairs = len(set(zip(["", *text.split()], text.split())))
+    blocks, _ = kneser_ney.blocks_of(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), lambda text: ())
+    sent = kneser_ney._send_pairs(blocks, 36).collect()
+    keys = [kneser_ney.unpack_pairs(r["keys"]) for r in sent]
+    assert len(sent) == 36 and len(np.unique(np.concatenate(keys))) == sum(map(len, keys)) == pairs
+    words = [set((k >> np.uint64(32)).tolist()) | set((k & np.uint64(0xFFFFFFFF)).tolist()) for k in keys]
+    assert max(sum(word in own for own in words) for word in set.union(*words)) <= 6 + 6 - 1
+    for ranges in (1, 2, 3, 7, 38):
+        found = kneser_ney._send_pairs(blocks, ranges).collect()
+        assert len({r["range"] for r in found}) >= ranges and sum(len(kneser_ney.unpack_pairs(r["keys"])) for r in found) == pairs
+
+
+def test_shuffles_are_deleted_with_their_step(spark):
+    """Else shuffle files of a step lie about until the driver collects its garbage."""
+    folder, key = Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    stored = lambda: set(folder.glob("blockmgr-*/*/shuffle_*.data"))
+    rows, before, held = spark.range(1000).repartition(3, "id"), spark.conf.get(key, None), stored()
+    untidy = workspace.materialize(rows, "untidy")
+    left = stored() - held
+    tidy = workspace.materialize(rows, "tidy", tidy=True)
+    assert left and not stored() - held - left and spark.conf.get(key, None) == before
+    assert tidy.count() == untidy.count() == 1000
