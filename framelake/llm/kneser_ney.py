@@ -171,7 +171,11 @@ class Pairs:
 
     def places(self, start: int, end: int) -> np.ndarray:
         """Where the pairs that end at these words stand among the different ones."""
-        return np.searchsorted(self.different, self._both(start, end))
+        both = self._both(start, end)
+        order = np.argsort(both)  # looked up in order, neighbours lie close in memory
+        found = np.empty(len(both), np.int64)
+        found[order] = np.searchsorted(self.different, both[order])
+        return found
 
     def dealt(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         """(range, language, pairs in order of their keys); as many ranges or a few more, to fill a grid."""
@@ -366,7 +370,8 @@ def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int,
     start = 0
     while start < len(pairs.words):  # a slice ends with a document
         end = int(pairs.ends[np.searchsorted(pairs.ends, min(start + at_once, len(pairs.words)))])
-        docs = np.searchsorted(pairs.ends, np.arange(start, end), side="right")
+        within = slice(np.searchsorted(pairs.ends, start, side="right"), np.searchsorted(pairs.ends, end, side="right"))
+        docs = np.repeat(np.arange(within.start, within.stop), pairs.lengths[within])
         own, times = np.unique(docs * size + pairs.places(start, end), return_counts=True)
         doc, pair = own // size, own % size
         start = end
@@ -374,7 +379,7 @@ def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int,
         taken = times * copies[doc]
         count = total - taken
 
-        _, at = np.unique(doc * vocabulary + left, return_inverse=True)
+        at = np.cumsum(np.diff(doc * vocabulary + left, prepend=0) != 0)  # pairs are in order of their first word
         context = stats[0][left] - np.bincount(at, taken)[at].astype(np.int64)
         followers = []
         for k in (1, 2, 3):

@@ -39,10 +39,11 @@ def repeated_words(tokens: list[bytes]) -> int:
     windows = np.zeros(n, np.uint64)
     for i, factor in enumerate(_FACTORS):
         windows += hashes[i:i + n] * factor
+    ordered = np.sort(windows)  # much faster than their order, which few texts need
+    if not (ordered[1:] == ordered[:-1]).any():
+        return 0
     order = np.argsort(windows, kind="stable")
     equal = windows[order[1:]] == windows[order[:-1]]
-    if not equal.any():
-        return 0
     # Equal hashes are candidates; the words decide.
     twice, first = np.zeros(n, bool), {}
     for i in sorted({*order[1:][equal].tolist(), *order[:-1][equal].tolist()}):
