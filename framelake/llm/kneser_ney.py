@@ -27,6 +27,7 @@ import re
 import secrets
 import struct
 import uuid
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -37,20 +38,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from framelake.llm.common import schema_of
 from framelake.llm.transcripts import groups
-from framelake.workspace import materialize, new_folder
+from framelake.workspace import materialize, new_folder, setting
 
 #: Bytes of text and documents of a block, and pairs or words of a range.
 BLOCK, DOCS, ENTRIES = 1 << 25, 1 << 16, 1 << 22
 #: Documents are scored in slices of about this many words.
 SLICE = 1 << 18
+#: Most bytes of rows that go to Python at once, but for a longer row: a row can be a whole block.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 _APART = re.compile("([^\\w\\s]|[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af])")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def pack(values: np.ndarray, kind: str) -> bytes:
     """Whole numbers as compressed bytes, equal places together."""
-    planes = np.ascontiguousarray(values.astype(kind)).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 3)
+    planes = np.ascontiguousarray(values, kind).view(np.uint8).reshape(len(values), np.dtype(kind).itemsize).T
+    return zstandard.compress(np.ascontiguousarray(planes).ravel(), 3)
 
 
 def unpack(data: bytes, kind: str) -> np.ndarray:
@@ -101,16 +104,14 @@ class Block:
 
     def __init__(self):
         self.bytes, self.langs, self.seeds, self.known = 0, {}, [], []
-        self.hashes, self.hash_langs, self.by_hash = [], [], {}
-        self.ids, self.measures, self.doc_langs, self.words, self.texts = [], [], [], [], []
+        self.hashes, self.hash_langs, self.words = array("I"), array("I"), array("I")
+        self.ids, self.measures, self.doc_langs, self.lengths, self.texts = [], [], [], [], []
 
     def _word(self, lang: int, word: str) -> int:
-        digest = xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), self.seeds[lang])
-        if (at := self.by_hash.get(lang << 32 | digest)) is None:
-            at = self.by_hash[lang << 32 | digest] = len(self.hashes)
-            self.hashes.append(digest)
+        if (at := self.known[lang].get(word)) is None:
+            at = self.known[lang][word] = len(self.hashes)
+            self.hashes.append(xxhash.xxh32_intdigest(word.encode("utf-8", "surrogatepass"), self.seeds[lang]))
             self.hash_langs.append(lang)
-        self.known[lang][word] = at
         return at
 
     def add(self, doc_id: int | None, lang: str | None, text: str, measures: tuple[int, ...]) -> None:
@@ -126,22 +127,29 @@ class Block:
         self.ids.append(doc_id)
         self.measures += measures
         self.doc_langs.append(k)
-        self.words.append(np.array(found, np.uint32))
+        self.words.extend(found)
+        self.lengths.append(len(found))
         self.texts += struct.unpack("<qq", xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass"), self.seeds[k]))
         self.bytes += len(text)
 
     def row(self) -> pa.RecordBatch:
-        words = np.concatenate(self.words)
+        """The block as a row; no text can be added then."""
+        self.known.clear()
+        words, hashes, langs = (np.frombuffer(x, np.uint32) for x in (self.words, self.hashes, self.hash_langs))
+        _, first, at = np.unique(langs.astype(np.uint64) << np.uint64(32) | hashes, return_index=True, return_inverse=True)
+        if len(first) < len(hashes):  # words of the same hash are one, in the place of the first
+            places = np.sort(first)
+            words = np.searchsorted(places, first).astype(np.uint32)[at][words]
+            hashes, langs = hashes[places], langs[places]
         columns = [
-            [secrets.randbits(62)], [len(words)], [len(self.hashes)], [self.ids], [self.measures], [self.doc_langs],
-            [[len(w) for w in self.words]], [self.texts], [list(self.langs)], [pack(np.array(self.hashes), "<u4")],
-            [pack(np.array(self.hash_langs), "<u4")], [pack(words, "<u4")]]
+            [secrets.randbits(62)], [len(words)], [len(hashes)], [self.ids], [self.measures], [self.doc_langs],
+            [self.lengths], [self.texts], [list(self.langs)], [pack(hashes, "<u4")], [pack(langs, "<u4")], [pack(words, "<u4")]]
         schema = schema_of(BLOCKS)
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 class Pairs:
-    """Word pairs of a written block."""
+    """Word pairs of a written block; the numbers of a pair's words lie in one whole number."""
 
     def __init__(self, row: dict):
         self.langs = row["langs"]
@@ -151,23 +159,35 @@ class Pairs:
         self.lengths, self.ends = lengths, np.cumsum(lengths)
         self.words = unpack(row["words"], "<u4")
         _, first = np.unique(self.word_langs, return_index=True)  # a language's first word starts its texts
-        self.before = np.empty_like(self.words)
-        self.before[1:] = self.words[:-1]
-        begins = (self.ends - lengths)[lengths > 0]
-        self.before[begins] = first[np.array(row["doc_langs"], np.int64)[lengths > 0]]
+        self.begins = (self.ends - lengths)[lengths > 0]
+        self.starts = first[np.array(row["doc_langs"], np.int64)[lengths > 0]]
         both = self._both(0, len(self.words))
         both.sort()  # in place, as a block's words are many
         first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]) if len(both) else [])
-        self.different, self.counts = both[first], np.diff(first, append=len(both)).astype(np.uint32)
-        del both, first
-        self.left, self.right = (self.different >> 32).astype(np.uint32), self.different.astype(np.uint32)
+        self.different = both[first]
+        del both
+        self.counts = np.diff(first, append=len(self.words)).astype(np.uint32)
+
+    def keys_of(self, part: np.ndarray | slice) -> np.ndarray:
+        left, right = halves(self.different[part])
+        keys = self.hashes[left].astype(np.uint64)
+        keys <<= np.uint64(32)
+        keys |= self.hashes[right]
+        return keys
 
     @property
     def keys(self) -> np.ndarray:
-        return self.hashes[self.left].astype(np.uint64) << np.uint64(32) | self.hashes[self.right].astype(np.uint64)
+        return self.keys_of(slice(None))
 
     def _both(self, start: int, end: int) -> np.ndarray:
-        return self.before[start:end].astype(np.int64) << 32 | self.words[start:end]
+        both = np.empty(end - start, np.int64)
+        both[:1] = self.words[max(start - 1, 0):max(start, 1)][:len(both)]
+        both[1:] = self.words[start:max(end - 1, start)]
+        texts = slice(*np.searchsorted(self.begins, (start, end)))
+        both[self.begins[texts] - start] = self.starts[texts]
+        both <<= 32
+        both |= self.words[start:end]
+        return both
 
     def places(self, start: int, end: int) -> np.ndarray:
         """Where the pairs that end at these words stand among the different ones."""
@@ -181,13 +201,26 @@ class Pairs:
         """(range, language, pairs in order of their keys); as many ranges or a few more, to fill a grid."""
         rows = math.isqrt(ranges)
         columns = -(-ranges // rows)
-        cells = slot_of(self.hashes, rows)[self.left] * columns + slot_of(self.hashes, columns)[self.right]
-        return _parts(cells, self.word_langs[self.right], self.keys)
+        cells = (slot_of(self.hashes, rows) * columns).astype(np.int32)[self.different >> 32]
+        cells += slot_of(self.hashes, columns).astype(np.int32)[self.different & 0xFFFFFFFF]
+        ends = np.cumsum(np.bincount(cells, minlength=rows * columns))
+        order = np.argsort(cells).astype(np.uint32)
+        del cells
+        for cell, end in enumerate(ends.tolist()):  # one at a time is put in the order of its keys
+            pairs = order[ends[cell - 1] if cell else 0:end]
+            langs = self.word_langs[halves(self.different[pairs])[1]]
+            for _, lang, part in _parts(np.zeros(len(pairs), np.int8), langs, self.keys_of(pairs)):
+                yield cell, lang, pairs[part]
 
     def dealt_words(self, ranges: int) -> Iterator[tuple[int, int, np.ndarray]]:
         return _parts(slot_of(self.hashes, ranges), self.word_langs, self.hashes)
 
 
+def halves(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the first and of the second words."""
+    return pairs >> 32, pairs & 0xFFFFFFFF
+
+
 def slot_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return ((hashes.astype(np.uint64) * _MIX) >> np.uint64(32)).astype(np.int64) % ranges
 
@@ -220,7 +253,8 @@ def blocks_of(docs: DataFrame, measure: Measure, size: int = BLOCK, text: str =
     rows = docs.select(F.col(doc_id).cast("long"), F.col(lang).cast("string"), F.col(text).cast("string"))
     spark = docs.sparkSession
     name, buckets = f"ngram_blocks_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.mapInArrow(run, BLOCKS).write.option("path", new_folder(spark, "ngram-blocks")).bucketBy(buckets, "block").saveAsTable(name)
+    with setting(spark, BATCH):
+        rows.mapInArrow(run, BLOCKS).write.option("path", new_folder(spark, "ngram-blocks")).bucketBy(buckets, "block").saveAsTable(name)
     return spark.table(name), name
 
 
@@ -248,8 +282,7 @@ def _send_pairs(blocks: DataFrame, ranges: int) -> DataFrame:
             for i in range(batch.num_rows):
                 row = _row_of(batch, i)
                 pairs = Pairs(row)
-                keys = pairs.keys
-                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_pairs(keys[part]), pack(pairs.counts[part], "<u4"))
+                yield _rows(SENT, [(r, pairs.langs[k], row["block"], pack_pairs(pairs.keys_of(part)), pack(pairs.counts[part], "<u4"))
                                    for r, k, part in pairs.dealt(ranges)])
 
     return blocks.drop("ids", "measures", "texts").mapInArrow(run, SENT)
@@ -261,14 +294,14 @@ def counts_of_counts(counts: np.ndarray) -> list[int]:
 
 def word_statistics(keys: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words in order and their statistics, from different pairs and their counts."""
-    left, right = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    left, right = (keys >> np.uint64(32)).astype(np.uint32), keys.astype(np.uint32)
     words, at = np.unique(np.concatenate([left, right]), return_inverse=True)
     stats = np.zeros((_STATS, len(words)), np.int64)
     stats[0] = np.bincount(at[:len(keys)], totals, len(words))
     for k in (1, 2, 3):
         stats[k] = np.bincount(at[:len(keys)], np.minimum(totals, 3) == k, len(words))
     stats[4] = np.bincount(at[len(keys):], minlength=len(words))
-    return words.astype(np.uint32), stats
+    return words, stats
 
 
 def _merge_pairs(slots: int):
@@ -375,7 +408,7 @@ def scores(pairs: Pairs, totals: np.ndarray, stats: np.ndarray, sums: dict[int,
         own, times = np.unique(docs * size + pairs.places(start, end), return_counts=True)
         doc, pair = own // size, own % size
         start = end
-        left, right, total = pairs.left[pair].astype(np.int64), pairs.right[pair].astype(np.int64), totals[pair]
+        (left, right), total = halves(pairs.different[pair]), totals[pair]
         taken = times * copies[doc]
         count = total - taken
 
@@ -405,7 +438,7 @@ def _score(ranges: int, slots: int, at_once: int):
         for row in (_row_of(batch, i) for batch in batches for i in range(batch.num_rows)):
             pairs = Pairs(row)
             told = {(x["kind"], x["range"], x["lang"]): x["sums"] if x["kind"] > 2 else x["counts"] for x in row["told"] or []}
-            totals, stats = np.zeros(len(pairs.keys), np.int64), np.zeros((_STATS, len(pairs.hashes)), np.int64)
+            totals, stats = np.zeros(len(pairs.different), np.int64), np.zeros((_STATS, len(pairs.hashes)), np.int64)
             for r, k, part in pairs.dealt(ranges):
                 totals[part] = unpack(told[1, r, pairs.langs[k]], "<u8")
             for s, k, part in pairs.dealt_words(slots):
@@ -430,6 +463,13 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int =
                at_once: int = SLICE, **columns) -> DataFrame:
     """(id, lang, measures, score) of every row, written; a text without words scores null."""
     blocks, name = blocks_of(docs, measure, block, **columns)
+    with setting(docs.sparkSession, BATCH):
+        found = _scored(blocks, entries, at_once)
+    docs.sparkSession.sql(f"DROP TABLE {name}")  # the entry only, the files lie in the run's folder
+    return found
+
+
+def _scored(blocks: DataFrame, entries: int, at_once: int) -> DataFrame:
     size = blocks.agg(F.sum("tokens"), F.sum("distinct")).first()
     ranges, slots = (-(-(n or 1) // entries) or 1 for n in size)
     learnt = materialize(_dealt(_send_pairs(blocks, ranges), "range", "lang").mapInArrow(_merge_pairs(slots), LEARNT), "ngram-counts", tidy=True)
@@ -445,6 +485,4 @@ def perplexity(docs: DataFrame, measure: Measure = lambda text: (), block: int =
     every = answers.unionByName(totals, allowMissingColumns=True) \
         .unionByName(_copies(blocks).withColumn("kind", F.lit(5)), allowMissingColumns=True)
     told_all = every.groupBy("block").agg(F.collect_list(F.struct("kind", "range", "lang", "counts", "sums")).alias("told"))
-    found = materialize(blocks.join(told_all, "block", "left").mapInArrow(_score(ranges, slots, at_once), SCORES), "perplexity", tidy=True)
-    docs.sparkSession.sql(f"DROP TABLE {name}")  # the entry only, the files lie in the run's folder
-    return found
+    return materialize(blocks.join(told_all, "block", "left").mapInArrow(_score(ranges, slots, at_once), SCORES), "perplexity", tidy=True)

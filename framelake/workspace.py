@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +51,22 @@ def drop_run(spark: SparkSession) -> None:
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def setting(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """These settings of the session meanwhile, and what it had before afterwards."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` once and continue from the written table.
 
@@ -57,14 +75,7 @@ def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     else they lie on the executors' disks until the driver next collects its garbage.
     """
     spark = df.sparkSession
-    path, before = new_folder(spark, label), spark.conf.get(_TIDY, None)
-    if tidy:
-        spark.conf.set(_TIDY, "true")
-    try:
+    path = new_folder(spark, label)
+    with setting(spark, {_TIDY: "true"} if tidy else {}):
         df.write.parquet(path)
-    finally:
-        if tidy and before is None:
-            spark.conf.unset(_TIDY)
-        elif tidy:
-            spark.conf.set(_TIDY, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -3,6 +3,7 @@
 import math
 import random
 import tempfile
+import tracemalloc
 from collections import Counter
 from pathlib import Path
 
@@ -148,3 +149,63 @@ def test_shuffles_are_deleted_with_their_step(spark):
     tidy = workspace.materialize(rows, "tidy", tidy=True)
     assert left and not stored() - held - left and spark.conf.get(key, None) == before
     assert tidy.count() == untidy.count() == 1000
+
+
+def block_of(texts):
+    block = kneser_ney.Block()
+    for i, (text, lang) in enumerate(texts):
+        block.add(i, lang, text, ())
+    return block.row().to_pylist()[0]
+
+
+def test_pairs_of_a_block_take_little_memory():
+    """A task holds its block beside that of another one; it was stopped at over 3 GB of an executor."""
+    draw = random.Random(8)
+    names = [f"w{i}" for i in range(3000)]
+    row = block_of([(" ".join(draw.choices(names, k=1000)), lang) for lang in ("a", "b") for _ in range(150)])
+    tracemalloc.start()
+    try:
+        pairs = kneser_ney.Pairs(row)
+        dealt = sum(len(part) for _, _, part in pairs.dealt(9))
+        _, most = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    assert dealt == len(pairs.different) > 250_000
+    assert most < 48 * len(pairs.words)
+
+
+def test_words_of_one_hash_are_one_word(monkeypatch):
+    draw, real = random.Random(9), kneser_ney.xxhash.xxh32_intdigest
+    monkeypatch.setattr(kneser_ney.xxhash, "xxh32_intdigest", lambda *of: real(*of) % 97)
+    texts = [(" ".join(f"w{draw.randrange(400)}" for _ in range(50)), lang) for lang in ("a", None, "a") for _ in range(5)]
+    row = block_of([*texts, ("", "b")])
+    hashes, langs, words = (kneser_ney.unpack(row[k], "<u4") for k in ("vocabulary", "word_langs", "words"))
+    assert len(set(zip(langs.tolist(), hashes.tolist()))) == len(hashes) == row["distinct"] <= 3 * 97
+    seeds = {"a": real(b"a", 1) % 97, None: 0}
+    assert hashes[words].tolist() == [real(w.encode(), seeds[lang]) % 97 for text, lang in texts for w in text.split()]
+    assert [row["langs"][k] for k in langs[words]] == [lang for text, lang in texts for _ in text.split()]
+
+
+def test_rows_go_to_python_a_few_megabytes_at_once(spark):
+    """A row can be a whole block, and a batch of Arrow had up to 10,000 rows."""
+    def sizes(batches):
+        for batch in batches:
+            yield kneser_ney._rows("n long", [(batch.num_rows,)])
+
+    name = next(iter(kneser_ney.BATCH))
+    before = spark.conf.get(name, None)
+    docs = spark.range(0, 12, 1, 1).selectExpr("repeat('a', 1 << 21) AS text")
+    with workspace.setting(spark, kneser_ney.BATCH):
+        found = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+    assert sum(found) == 12 and max(found) <= 3
+    assert spark.conf.get(name, None) == before
+
+
+def test_all_steps_bound_what_goes_to_python(spark, monkeypatch):
+    seen, write = [], kneser_ney.materialize
+    name = next(iter(kneser_ney.BATCH))
+    monkeypatch.setattr(kneser_ney, "materialize", lambda *a, **b: seen.append(spark.conf.get(name)) or write(*a, **b))
+    before = spark.conf.get(name, None)
+    docs = spark.createDataFrame([(1, "some few words", "en")], "doc_id long, text string, lang string")
+    kneser_ney.perplexity(docs)
+    assert seen == [kneser_ney.BATCH[name]] * 3 and spark.conf.get(name, None) == before
